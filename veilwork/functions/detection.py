@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .patterns import SEVERITY_ORDER, PatternSpec, builtin_specs, severity_rank
 from .validators import VALIDATORS
 
+DIGIT = r"\p{Nd}"
 FINDING_TYPE = "array<struct<name:string,category:string,severity:string,match:string,start:int,end:int>>"
 
 
@@ -29,26 +30,25 @@ def severity_rank_col(severity: Column) -> Column:
     return rank
 
 
-def _may_match(text: Column, spec: PatternSpec) -> Column:
+def sql_literal(text: str) -> str:
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def _may_match(text: str, spec: PatternSpec) -> str:
     if spec.anchor is None:
-        return F.lit(True)
+        return "true"
     if spec.anchor == "digit":
-        return text.rlike(r"\p{Nd}")
-    test = F.lit(False)
-    for literal in spec.anchor:
-        test = test | F.contains(text, F.lit(literal))
-    return test
+        return f"{text} RLIKE {sql_literal(DIGIT)}"
+    return " OR ".join(f"contains({text}, {sql_literal(a)})" for a in spec.anchor)
 
 
-def _raw_hits(text: Column, number: int, spec: PatternSpec) -> Column:
+def _raw_hit(text: str, number: int, spec: PatternSpec) -> str:
     """(spec number, matches, gaps) or null. Gaps are the stretches around the matches."""
-    pattern = spec.java()
-    hit = _may_match(text, spec) & text.rlike(pattern)
-    return F.when(hit, F.struct(
-        F.lit(number).alias("no"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"),
-        F.split(text, pattern, -1).alias("gaps"),
-    ))
+    pattern = sql_literal(spec.java())
+    return (f"CASE WHEN ({_may_match(text, spec)}) AND {text} RLIKE {pattern} THEN named_struct("
+            f"'no', {number}, 'matches', regexp_extract_all({text}, {pattern}, 0), "
+            f"'gaps', split({text}, {pattern}, -1)) END")
 
 
 def _placed(hit: Column) -> Column:
@@ -84,18 +84,18 @@ def _valid(match: Column, number: Column, specs: Sequence[PatternSpec]) -> Colum
 
 
 def _pick(number: Column, values: Sequence[str]) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), number)
+    return F.get(F.expr(f"array({', '.join(sql_literal(v) for v in values)})"), number)
 
 
-def findings(text: Column, specs: Sequence[PatternSpec] | None = None, dedupe: bool = True) -> Column:
-    """Findings ordered by start, then severity (highest first), then spec order.
+def findings(text: str, specs: Sequence[PatternSpec] | None = None, dedupe: bool = True) -> Column:
+    """Findings of a text column, ordered by start, then severity (highest first), then spec order.
 
     With `dedupe`, only the first finding of each identical span stays; findings that merely
     overlap all stay. A null text gives an empty array.
     """
     specs = list(specs or builtin_specs())
-    ranks = F.array(*[F.lit(-severity_rank(s.severity)) for s in specs])
-    hits = F.array_compact(F.array(*[_raw_hits(text, i, s) for i, s in enumerate(specs)]))
+    ranks = F.expr(f"array({', '.join(str(-severity_rank(s.severity)) for s in specs)})")
+    hits = F.expr(f"array_compact(array({', '.join(_raw_hit(text, i, s) for i, s in enumerate(specs))}))")
     placed = F.flatten(F.transform(hits, _placed))
     checked = F.filter(placed, lambda f: _valid(f["match"], f["no"], specs))
 
@@ -132,6 +132,6 @@ def long_findings(df: DataFrame, id_col: str, text_col: str = "text",
     The array is exploded as an expression, not as a named column: Spark would derive a
     "not empty" filter from a column and search every text twice.
     """
-    found = findings(F.col(text_col), specs, dedupe)
+    found = findings(text_col, specs, dedupe)
     return df.select(id_col, F.posexplode(found).alias("ordinal", "_f")).select(
         id_col, "ordinal", "_f.name", "_f.category", "_f.severity", "_f.match", "_f.start", "_f.end")
