@@ -6,7 +6,7 @@ import importlib
 
 from .base import ORACLES, QUERIES
 
-MODULES = ["detection", "masking", "decisions"]
+MODULES = ["detection", "masking", "decisions", "sources", "cleaning"]
 
 
 def load() -> None:

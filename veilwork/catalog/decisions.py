@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.decisions import (confidence, decide, decide_by_severity, flag_block, flag_email, flag_entity,
                                    flag_mask, flag_secret, flag_unsafe, no_labels)
-from ..functions.detection import findings
+from ..functions.detection import with_findings
 from ..operators.ranking import hash_order, hash_unit
 from ..plans.analyze import analyze, attach_scores, policy_events, with_scan_status
 from ..sources.policy import Policy
@@ -18,7 +18,7 @@ _FLAGS = f"WITH {CORPUS_SQL}, {findings_sql('corpus')}, {flags_sql('corpus', POL
 
 
 def _found(t):
-    return t.corpus().select("id", findings("text").alias("f"))
+    return with_findings(t.corpus(), "text", "f")
 
 
 @query("decide_action_severity", f"""{_FLAGS} SELECT id, CASE WHEN worst >= 3 THEN 'block' WHEN worst >= 1 THEN 'mask' ELSE 'allow' END AS action FROM flags""")
@@ -85,7 +85,7 @@ def _scores(t):
 
 @query("flag_email_override", f"WITH {_DOC_FLAGS} SELECT id, email OR entity_email AS flag FROM full_flags")
 def email_flag(t):
-    found = _with_labels(t.texts().select("id", findings("text").alias("f")))
+    found = _with_labels(with_findings(t.texts(), "text", "f"))
     return found.select("id", flag_email(F.col("f"), F.col("labels")).alias("flag"))
 
 
@@ -95,7 +95,7 @@ def _scored_labelled(t):
 
 @query("decide_policy", f"WITH {_DOC_FLAGS} SELECT id, {_DOC_ACTION} AS action FROM full_flags")
 def policy(t):
-    found = _scored_labelled(t).withColumn("f", findings("text"))
+    found = with_findings(_scored_labelled(t), "text", "f")
     return found.select("id", decide(F.col("f"), F.col("secret_score"), F.col("unsafe_score"), F.col("labels")).alias("action"))
 
 
@@ -157,6 +157,6 @@ def event_rows(t):
   CASE WHEN length(id) = 4 THEN 'block' ELSE {ACTION_SQL} END AS action FROM flags""")
 def fail_default(t):
     """An analysis that gave no result (here: of the ids of four characters) blocks by default."""
-    decided = t.corpus().select("id", decide(findings("text")).alias("action"))
+    decided = with_findings(t.corpus(), "text", "f").select("id", decide(F.col("f")).alias("action"))
     partial = decided.withColumn("action", F.when(F.length("id") != 4, F.col("action")))
     return with_scan_status(partial).select("id", "scan_status", "action")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.detection import finding_names, findings, long_findings, severity_rank_col
+from ..functions.detection import finding_names, long_findings, severity_rank_col, with_findings
 from ..functions.patterns import PatternSpec, builtin_specs
 from ..functions.validators import ipv4_ok, luhn_ok, ssn_ok
 from .base import CORPUS_SQL, ORDER_TEXTS_SQL, TEXTS_SQL, query
@@ -40,7 +40,7 @@ def order_and_dedupe(t):
 SELECT c.id, coalesce(n.names, '') AS names FROM corpus c LEFT JOIN (
   SELECT id, string_agg(name, '; ' ORDER BY ordinal) AS names FROM found GROUP BY id) n USING (id)""")
 def names(t):
-    return t.corpus().select("id", F.array_join(finding_names(findings("text")), "; ").alias("names"))
+    return with_findings(t.corpus(), "text", "f").select("id", F.array_join(finding_names(F.col("f")), "; ").alias("names"))
 
 
 @query("severity_rank", f"""WITH {CORPUS_SQL}, {findings_sql('corpus')}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.detection import findings, long_findings
+from ..functions.detection import long_findings, with_findings
 from ..functions.masking import (mask, mask_entities, normalize_masked_email, partial_replacement,
                                  safe_store_text)
 from ..functions.patterns import builtin_specs
@@ -24,20 +24,20 @@ spans AS (SELECT id, "start", "end", ordinal, {token} AS token FROM found),
 
 @query("mask_redact", _stale_sql(REDACT_TOKEN_SQL))
 def mask_redact(t):
-    found = t.corpus().withColumn("f", findings("text"))
+    found = with_findings(t.corpus(), "text", "f")
     return found.select("id", mask(F.col("text"), F.col("f"), "redact", "reference").alias("masked"))
 
 
 @query("mask_partial", _stale_sql(PARTIAL_TOKEN_SQL))
 def mask_partial(t):
-    found = t.corpus().withColumn("f", findings("text"))
+    found = with_findings(t.corpus(), "text", "f")
     return found.select("id", mask(F.col("text"), F.col("f"), "partial", "reference").alias("masked"))
 
 
 @query("mask_merged_spans", f"""WITH RECURSIVE {CORPUS_SQL}, {findings_sql('corpus')}, {merged_sql('corpus')}
 SELECT id, out AS masked FROM masked""")
 def mask_merged_spans(t):
-    found = t.corpus().withColumn("f", findings("text"))
+    found = with_findings(t.corpus(), "text", "f")
     return found.select("id", mask(F.col("text"), F.col("f"), "partial", "merge").alias("masked"))
 
 

@@ -10,11 +10,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .patterns import SEVERITY_ORDER, PatternSpec, builtin_specs, severity_rank
+from .patterns import DIGIT, ODD_FOLDS, SEVERITY_ORDER, PatternSpec, builtin_specs, java_pattern, severity_rank
 from .validators import VALIDATORS
 
-DIGIT = r"\p{Nd}"
-FINDING_TYPE = "array<struct<name:string,category:string,severity:string,match:string,start:int,end:int>>"
+
+
+HITS = "_hits"
+NO_HITS = "CAST(array() AS array<struct<no:int,matches:array<string>,gaps:array<string>>>)"
+FINDINGS = "array<struct<name:string,category:string,severity:string,match:string,start:int,end:int>>"
 
 
 def bind(value: Column, body) -> Column:
@@ -36,19 +39,26 @@ def sql_literal(text: str) -> str:
 
 
 def _may_match(text: str, spec: PatternSpec) -> str:
-    if spec.anchor is None:
-        return "true"
-    if spec.anchor == "digit":
-        return f"{text} RLIKE {sql_literal(DIGIT)}"
-    return " OR ".join(f"contains({text}, {sql_literal(a)})" for a in spec.anchor)
+    """Cheap tests that every match implies, cheapest first."""
+    tests = []
+    if spec.anchor:
+        tests.append(" OR ".join(f"contains({text}, {sql_literal(a)})" for a in spec.anchor))
+    if spec.keywords:
+        words = [f"contains(lower({text}), {sql_literal(k)})" for k in spec.keywords]
+        tests.append(" OR ".join(words + [f"contains({text}, {sql_literal(c)})" for c in ODD_FOLDS]))
+    if spec.gate and DIGIT in spec.gate:
+        tests.insert(0, f"{text} RLIKE {sql_literal(java_pattern(DIGIT))}")
+    if spec.gate:
+        tests.append(f"{text} RLIKE {sql_literal(java_pattern(spec.gate))}")
+    return " AND ".join(f"({t})" for t in tests) or "true"
 
 
 def _raw_hit(text: str, number: int, spec: PatternSpec) -> str:
-    """(spec number, matches, gaps) or null. Gaps are the stretches around the matches."""
+    """Array of one (spec number, matches, gaps), or of none. Gaps are the stretches around the matches."""
     pattern = sql_literal(spec.java())
-    return (f"CASE WHEN ({_may_match(text, spec)}) AND {text} RLIKE {pattern} THEN named_struct("
+    return (f"CASE WHEN ({_may_match(text, spec)}) AND {text} RLIKE {pattern} THEN array(named_struct("
             f"'no', {number}, 'matches', regexp_extract_all({text}, {pattern}, 0), "
-            f"'gaps', split({text}, {pattern}, -1)) END")
+            f"'gaps', split({text}, {pattern}, -1))) ELSE {NO_HITS} END")
 
 
 def _placed(hit: Column) -> Column:
@@ -87,15 +97,12 @@ def _pick(number: Column, values: Sequence[str]) -> Column:
     return F.get(F.expr(f"array({', '.join(sql_literal(v) for v in values)})"), number)
 
 
-def findings(text: str, specs: Sequence[PatternSpec] | None = None, dedupe: bool = True) -> Column:
-    """Findings of a text column, ordered by start, then severity (highest first), then spec order.
+def _raw_hits(text: str, specs: Sequence[PatternSpec]) -> Column:
+    return F.expr(f"concat({', '.join(_raw_hit(text, i, s) for i, s in enumerate(specs))})")
 
-    With `dedupe`, only the first finding of each identical span stays; findings that merely
-    overlap all stay. A null text gives an empty array.
-    """
-    specs = list(specs or builtin_specs())
+
+def _from_hits(hits: Column, specs: Sequence[PatternSpec], dedupe: bool) -> Column:
     ranks = F.expr(f"array({', '.join(str(-severity_rank(s.severity)) for s in specs)})")
-    hits = F.expr(f"array_compact(array({', '.join(_raw_hit(text, i, s) for i, s in enumerate(specs))}))")
     placed = F.flatten(F.transform(hits, _placed))
     checked = F.filter(placed, lambda f: _valid(f["match"], f["no"], specs))
 
@@ -112,13 +119,27 @@ def findings(text: str, specs: Sequence[PatternSpec] | None = None, dedupe: bool
         spans = bind(spans, lambda a: F.filter(a, lambda f, i: (i == 0) | ~(
             (F.get(a, i - 1)["start"] == f["start"]) & (F.get(a, i - 1)["end"] == f["end"]))))
     ordered = F.array_sort(F.transform(spans, by_order))
-    full = F.transform(ordered, lambda f: F.struct(
+    return F.transform(ordered, lambda f: F.struct(
         _pick(f["no"], [s.name for s in specs]).alias("name"),
         _pick(f["no"], [s.category for s in specs]).alias("category"),
         _pick(f["no"], [s.severity for s in specs]).alias("severity"),
         f["match"].alias("match"), f["start"].alias("start"), f["end"].alias("end")))
-    empty = F.array().cast(FINDING_TYPE)
-    return F.when(F.size(hits) > 0, full).otherwise(empty)
+
+
+def with_findings(df: DataFrame, text: str = "text", out: str = "findings",
+                  specs: Sequence[PatternSpec] | None = None, dedupe: bool = True) -> DataFrame:
+    """Adds the findings of a text column, ordered by start, then severity (highest first), then spec.
+
+    With `dedupe`, only the first finding of each identical span stays; findings that merely
+    overlap all stay. A null text has no findings.
+
+    Two projections on purpose: the searches run in generated code once per text, and only
+    texts with a hit enter the second one's array functions.
+    """
+    specs = list(specs or builtin_specs())
+    hits = F.col(HITS)
+    found = F.when(F.size(hits) > 0, _from_hits(hits, specs, dedupe)).otherwise(F.array().cast(FINDINGS))
+    return df.withColumn(HITS, _raw_hits(text, specs)).withColumn(out, found).drop(HITS)
 
 
 def finding_names(found: Column) -> Column:
@@ -132,6 +153,8 @@ def long_findings(df: DataFrame, id_col: str, text_col: str = "text",
     The array is exploded as an expression, not as a named column: Spark would derive a
     "not empty" filter from a column and search every text twice.
     """
-    found = findings(text_col, specs, dedupe)
-    return df.select(id_col, F.posexplode(found).alias("ordinal", "_f")).select(
+    specs = list(specs or builtin_specs())
+    searched = df.select(id_col, _raw_hits(text_col, specs).alias(HITS))
+    found = F.when(F.size(HITS) > 0, _from_hits(F.col(HITS), specs, dedupe))
+    return searched.select(id_col, F.posexplode(found).alias("ordinal", "_f")).select(
         id_col, "ordinal", "_f.name", "_f.category", "_f.severity", "_f.match", "_f.start", "_f.end")

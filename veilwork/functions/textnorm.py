@@ -31,20 +31,24 @@ def escape_newlines(text: Column) -> Column:
     return F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit("\\n"))
 
 
+ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?([+-]\d{2}:?\d{2}|Z)?)?$"
+
+
 def parse_time(value: Column) -> Column:
-    """ISO text with Z, an offset or none (UTC), or epoch seconds; null if neither."""
-    text = strip(value.cast("string"))
-    iso = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?([+-]\d{2}:?\d{2}|Z)?)?$"
-    number = r"^[+-]?\d+(\.\d+)?([eE][+-]?\d+)?$"
-    seconds = text.try_cast("double")
-    as_iso = F.regexp_replace(
-        F.regexp_replace(text, r"Z$", "+00:00"), r"([+-]\d{2})(\d{2})$", "$1:$2")
-    as_iso = F.when(as_iso.rlike(r"[T ]\d{2}([+-]|$)"),
-                    F.regexp_replace(as_iso, r"([T ]\d{2})", "$1:00")).otherwise(as_iso)
-    return (
-        F.when(text.rlike(number) & (seconds != 0), F.timestamp_micros((seconds * 1000000).cast("bigint")))
-        .when(text.rlike(iso), as_iso.try_cast("timestamp"))
-    )
+    """ISO text with Z, an offset or none (meaning UTC); null if it is anything else."""
+    text = value.cast("string")
+    time = F.regexp_extract(text, r"[T ](\d{2}(?::\d{2}(?::\d{2}(?:\.\d{1,6})?)?)?)", 1)
+    time = F.concat(time, F.substr(F.lit("00:00:00"), F.length(time) + 1, F.greatest(8 - F.length(time), F.lit(0))))
+    offset = F.regexp_extract(text, r"([+-]\d{2}):?\d{2}$", 1)
+    minutes = F.regexp_extract(text, r"[+-]\d{2}:?(\d{2})$", 1)
+    zone = F.when((offset != "") & (F.length(text) > 10), F.concat(offset, F.lit(":"), minutes)).otherwise("+00:00")
+    full = F.concat(F.substring(text, 1, 10), F.lit(" "), time, zone)
+    return F.when(text.rlike(ISO), full.try_cast("timestamp"))
+
+
+def parse_epoch(value: Column) -> Column:
+    """Epoch seconds; 0 counts as missing."""
+    return F.when(value != 0, F.timestamp_micros((value * 1000000).cast("bigint")))
 
 
 def iso_text(ts: Column) -> Column:

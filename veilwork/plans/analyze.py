@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.decisions import confidence, decide, no_labels
-from ..functions.detection import finding_names, findings
+from ..functions.detection import finding_names, with_findings
 from ..functions.masking import mask, mask_entities, safe_store_text
 from ..functions.patterns import PatternSpec
 from ..sources.policy import Policy
@@ -35,7 +35,7 @@ def analyze(df: DataFrame, text: str = "text", secret_score: Column | None = Non
     scored = unsafe_score.isNotNull() if unsafe_score is not None else F.lit(False)
     missing = F.lit(None).cast("double")
     return (
-        df.withColumn("findings", findings(text, specs))
+        with_findings(df, text, "findings", specs)
         .withColumns({
             "action": action,
             "pii_entities": F.array_sort(F.array_distinct(entity_list)),
