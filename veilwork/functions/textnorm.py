@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import sys
+import unicodedata
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from .patterns import SPACE
@@ -54,3 +57,40 @@ def parse_epoch(value: Column) -> Column:
 def iso_text(ts: Column) -> Column:
     """Timestamp as ISO text in the session's zone, microseconds included."""
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+@lru_cache(maxsize=1)
+def _accent_table() -> tuple[str, str, str]:
+    """Letters that lose a mark (from, to) and marks that vanish, by rule from their decomposition."""
+    source, target, marks = [], [], []
+    for code in range(0x80, sys.maxunicode + 1):
+        char = chr(code)
+        if 0xD800 <= code <= 0xDFFF:
+            continue
+        plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+        if plain == "":
+            marks.append(char)
+        elif plain != char and len(plain) == 1:
+            source.append(char)
+            target.append(plain)
+    return "".join(source), "".join(target), "".join(marks)
+
+
+def strip_accents(text: Column) -> Column:
+    """Letters without their marks.
+
+    Characters that decompose into several (ligatures, Korean syllables) stay whole, so that
+    this needs no Python; `strip_accents_exact` splits them too.
+    """
+    source, target, marks = _accent_table()
+    plain = F.translate(text, source + marks, target)
+    return F.when(text.rlike(r"[^\x00-\x7f]"), plain).otherwise(text)
+
+
+@F.pandas_udf("string")
+def strip_accents_exact(text: pd.Series) -> pd.Series:
+    """Full compatibility decomposition without combining marks."""
+    def plain(value):
+        return "".join(c for c in unicodedata.normalize("NFKD", value) if not unicodedata.combining(c))
+
+    return text.map(plain, na_action="ignore")
