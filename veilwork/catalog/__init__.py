@@ -6,7 +6,7 @@ import importlib
 
 from .base import ORACLES, QUERIES
 
-MODULES = ["detection", "masking", "decisions", "sources", "cleaning", "features", "summaries", "sampling"]
+MODULES = ["detection", "masking", "decisions", "sources", "cleaning", "features", "summaries", "sampling", "joins", "logs"]
 
 
 def load() -> None:

@@ -10,7 +10,8 @@ import pyspark
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ..functions.text_features import FEATURES_13, entropy, features_13, features_5, pii_flags, secret_features
+from ..functions.text_features import (FEATURES_5, FEATURES_13, entropy, pii_flags, secret_features, with_features_5,
+                                       with_features_13)
 from ..functions.textnorm import strip
 from ..operators.features import align_width, assemble, explode_terms, fit_scale, scale, tfidf_fit, tfidf_transform
 from .base import CORPUS_SQL, query, quote
@@ -57,7 +58,7 @@ def flags(t):
   round(entropy * 10, 6) AS entropy, round(digits::DOUBLE / greatest(chars, 1) * 10, 6) AS digit_ratio,
   round(symbols::DOUBLE / greatest(chars, 1) * 10, 6) AS symbol_ratio FROM base""")
 def five(t):
-    return t.corpus().select("id", *[F.round(c, 6).alias(n) for n, c in features_5(F.col("text")).items()])
+    return with_features_5(t.corpus()).select("id", *[F.round(c, 6).alias(c) for c in FEATURES_5])
 
 
 _THIRTEEN_SQL = """chars / 500.0::DOUBLE * 10 AS chars, words / 100.0::DOUBLE * 10 AS words, chars::DOUBLE / greatest(words, 1) AS avg_word_length,
@@ -72,14 +73,14 @@ def _rounded(columns=FEATURES_13):
 
 @query("text_features_13", f"WITH {_CLEAN_CTE}, f AS (SELECT id, {_THIRTEEN_SQL} FROM base) SELECT id, {_rounded()} FROM f")
 def thirteen(t):
-    return t.corpus().select("id", *[F.round(c, 6).alias(n) for n, c in features_13(F.col("text")).items()])
+    return with_features_13(t.corpus()).select("id", *[F.round(c, 6).alias(c) for c in FEATURES_13])
 
 
 @query("scale_unit_variance", f"""WITH {_CLEAN_CTE}, f AS (SELECT id, {_THIRTEEN_SQL} FROM base),
 s AS (SELECT {', '.join(f'CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END AS s_{c}' for c in FEATURES_13)} FROM f)
 SELECT id, {', '.join(f'round({c} / s_{c}, 5) AS {c}' for c in FEATURES_13)} FROM f, s""")
 def scaled(t):
-    table = t.corpus().select("id", *[c.alias(n) for n, c in features_13(F.col("text")).items()])
+    table = with_features_13(t.corpus()).drop("text")
     done = scale(table, fit_scale(table, FEATURES_13))
     return done.select("id", *[F.round(c, 5).alias(c) for c in FEATURES_13])
 
@@ -119,7 +120,7 @@ def transform(t):
 SELECT id, 13 AS width, round({' + '.join(FEATURES_13)}, 4) AS total FROM f""")
 def assembled(t):
     """Vector width and sum, which a vector column can be compared by."""
-    table = t.corpus().select("id", *[c.alias(n) for n, c in features_13(F.col("text")).items()])
+    table = with_features_13(t.corpus()).drop("text")
     vectors = assemble(table, FEATURES_13).select("id", vector_to_array("features").alias("v"))
     return vectors.select("id", F.size("v").alias("width"),
                           F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))

@@ -61,26 +61,38 @@ def _raw_hit(text: str, number: int, spec: PatternSpec) -> str:
             f"'gaps', split({text}, {pattern}, -1))) ELSE {NO_HITS} END")
 
 
+CHUNK = 64
+
+
+def running_starts(steps: Column) -> Column:
+    """Sum of the steps before each one. Chunk by chunk, so that long arrays stay cheap."""
+    def local(chunk: Column) -> Column:
+        start = F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(chunk, start, lambda acc, n: F.struct(
+            (acc["total"] + n).alias("total"), F.concat(acc["out"], F.array(acc["total"])).alias("out")))
+
+    def chunked(all_steps: Column) -> Column:
+        firsts = F.sequence(F.lit(0), F.floor((F.size(all_steps) - 1) / CHUNK).cast("int"))
+        blocks = F.transform(firsts, lambda c: local(F.slice(all_steps, c * CHUNK + 1, CHUNK)))
+        return bind(blocks, lambda b: F.flatten(F.zip_with(
+            b, local(F.transform(b, lambda x: x["total"]))["out"],
+            lambda block, base: F.transform(block["out"], lambda n: n + base))))
+
+    return bind(steps, lambda s: F.when(F.size(s) <= CHUNK, local(s)["out"]).otherwise(chunked(s)))
+
+
+def place_matches(matches: Column, gaps: Column) -> Column:
+    """(match, start, end) in code points: each match starts where the gaps and matches before it end."""
+    pairs = F.zip_with(matches, F.slice(gaps, 1, F.size(matches)), lambda m, g: F.struct(
+        m.alias("match"), F.length(g).alias("gap"), F.length(m).alias("size")))
+    starts = running_starts(F.transform(pairs, lambda p: p["gap"] + p["size"]))
+    return F.zip_with(pairs, starts, lambda p, s: F.struct(
+        p["match"].alias("match"), (s + p["gap"]).alias("start"), (s + p["gap"] + p["size"]).alias("end")))
+
+
 def _placed(hit: Column) -> Column:
-    """Offsets in code points: each match starts where the gaps and matches before it end."""
-    pairs = F.zip_with(
-        hit["matches"], F.slice(hit["gaps"], 1, F.size(hit["matches"])),
-        lambda m, g: F.struct(m.alias("match"), F.length(g).alias("gap")),
-    )
-    start = F.struct(
-        F.lit(0).alias("pos"),
-        F.lit(None).cast("array<struct<no:int,match:string,start:int,end:int>>").alias("out"),
-    )
-
-    def place(acc: Column, pair: Column) -> Column:
-        begin = acc["pos"] + pair["gap"]
-        end = begin + F.length(pair["match"])
-        one = F.array(F.struct(
-            hit["no"].alias("no"), pair["match"].alias("match"), begin.alias("start"), end.alias("end")))
-        return F.struct(end.alias("pos"),
-                        F.when(acc["out"].isNull(), one).otherwise(F.concat(acc["out"], one)).alias("out"))
-
-    return F.aggregate(pairs, start, place, lambda acc: acc["out"])
+    return F.transform(place_matches(hit["matches"], hit["gaps"]), lambda m: F.struct(
+        hit["no"].alias("no"), m["match"].alias("match"), m["start"].alias("start"), m["end"].alias("end")))
 
 
 def _valid(match: Column, number: Column, specs: Sequence[PatternSpec]) -> Column:

@@ -7,7 +7,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from .patterns import SPACE
 
@@ -87,7 +87,7 @@ def strip_accents(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7f]"), plain).otherwise(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_accents_exact(text: pd.Series) -> pd.Series:
     """Full compatibility decomposition without combining marks."""
     def plain(value):
