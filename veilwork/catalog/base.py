@@ -36,7 +36,8 @@ class Tables:
 
     def order_texts(self) -> DataFrame:
         """One derived text per order; together they hold every kind of finding."""
-        return self.orders.select(F.col("o_orderkey").alias("id"), F.expr(RECIPE).alias("text"))
+        keys = spread(self.orders.select("o_orderkey", "o_custkey", "o_orderdate"))
+        return keys.select(F.col("o_orderkey").alias("id"), F.expr(RECIPE).alias("text"))
 
     def labelled(self) -> DataFrame:
         """documents with a safe / unsafe label from the labels table."""

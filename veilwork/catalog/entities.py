@@ -44,8 +44,8 @@ def _gold(t):
         f["start"].alias("start"), f["end"].alias("end"), f["name"].alias("label"))).alias("spans"))
 
 
-def _bio(t, mode="reference"):
-    return _gold(t).select("id", spans_to_bio(tokens(F.col("text")), F.col("spans"), mode=mode).alias("b"))
+def _bio():
+    return spans_to_bio(tokens(F.col("text")), F.col("spans"))
 
 
 _FOUND = f"{ORDER_TEXTS_SQL}, {findings_sql('order_texts')}, {_tokens_sql('order_texts')}"
@@ -57,7 +57,7 @@ bio AS (SELECT t.id, t.k, token, t."start", t."end", CASE WHEN n IS NULL THEN 'O
 
 @query("spans_to_bio", f"WITH {_BIO} SELECT id, CAST(k AS INT) AS k, token, label FROM bio")
 def bio(t):
-    return _bio(t).select("id", F.posexplode("b").alias("k", "x")).select("id", "k", "x.token", "x.label")
+    return _gold(t).select("id", F.posexplode(_bio()).alias("k", "x")).select("id", "k", "x.token", "x.label")
 
 
 _PSEUDO = " ".join(f"WHEN {i} THEN {quote(x)}" for i, x in enumerate(["O", "B-NAME", "I-NAME", "B-ID"]))
@@ -104,7 +104,7 @@ chunks AS (SELECT id, min(kind) AS type, min("start") AS "start", max("end") AS
 
 
 def _chunks(t):
-    return _bio(t).select("id", F.explode(bio_to_entities(F.col("b"))).alias("e")).select("id", "e.type", "e.start", "e.end")
+    return _gold(t).select("id", F.explode(bio_to_entities(_bio())).alias("e")).select("id", "e.type", "e.start", "e.end")
 
 
 @query("bio_to_entities", f"""WITH {_CHUNKS} SELECT id, type, "start", "end" FROM chunks""")

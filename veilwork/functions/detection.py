@@ -83,11 +83,14 @@ def running_starts(steps: Column) -> Column:
 
 def place_matches(matches: Column, gaps: Column) -> Column:
     """(match, start, end) in code points: each match starts where the gaps and matches before it end."""
-    pairs = F.zip_with(matches, F.slice(gaps, 1, F.size(matches)), lambda m, g: F.struct(
-        m.alias("match"), F.length(g).alias("gap"), F.length(m).alias("size")))
-    starts = running_starts(F.transform(pairs, lambda p: p["gap"] + p["size"]))
-    return F.zip_with(pairs, starts, lambda p, s: F.struct(
-        p["match"].alias("match"), (s + p["gap"]).alias("start"), (s + p["gap"] + p["size"]).alias("end")))
+    def place(both: Column) -> Column:
+        pairs = F.zip_with(both["m"], F.slice(both["g"], 1, F.size(both["m"])), lambda m, g: F.struct(
+            m.alias("match"), F.length(g).alias("gap"), F.length(m).alias("size")))
+        return bind(pairs, lambda ps: F.zip_with(
+            ps, running_starts(F.transform(ps, lambda p: p["gap"] + p["size"])), lambda p, s: F.struct(
+                p["match"].alias("match"), (s + p["gap"]).alias("start"), (s + p["gap"] + p["size"]).alias("end"))))
+
+    return bind(F.struct(matches.alias("m"), gaps.alias("g")), place)
 
 
 def _placed(hit: Column) -> Column:
