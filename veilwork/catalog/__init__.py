@@ -6,7 +6,7 @@ import importlib
 
 from .base import ORACLES, QUERIES
 
-MODULES = ["detection", "masking", "decisions", "sources", "cleaning", "features", "summaries", "sampling", "joins", "logs", "entities", "metrics"]
+MODULES = ["detection", "masking", "decisions", "sources", "cleaning", "features", "summaries", "sampling", "joins", "logs", "entities", "models", "metrics", "streams"]
 
 
 def load() -> None:

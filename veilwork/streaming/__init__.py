@@ -1,0 +1 @@
+"""Structured Streaming on the same columns and operators as batch."""
