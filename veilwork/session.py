@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_local: dict[str, str] = {}
 
 
 def build_session(app: str = "veilwork", cpus: int | None = None, **conf: str) -> SparkSession:
@@ -34,16 +35,17 @@ def build_session(app: str = "veilwork", cpus: int | None = None, **conf: str) -
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: the one the cluster names in spark.checkpoint.dir.
 
-    A machine-local folder is only ever chosen for a local master.
+    A machine-local folder is only ever chosen for a local master, once per application.
     """
-    named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
+    context = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="veilwork-")
-    spark.conf.set(CHECKPOINT_CONF, path)
-    return path
+    if context.applicationId not in _local:
+        _local[context.applicationId] = tempfile.mkdtemp(prefix="veilwork-")
+    return _local[context.applicationId]
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
