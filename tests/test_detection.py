@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilwork.functions.decisions import decide, decide_by_severity
-from veilwork.functions.detection import long_findings, running_starts, with_findings
+from veilwork.functions.detection import long_findings, running_totals, with_findings
 from veilwork.functions.masking import mask, mask_entities, normalize_masked_email
 from veilwork.functions.patterns import PatternSpec, builtin_specs
 from veilwork.functions.validators import register_validator
@@ -93,10 +93,10 @@ def test_gates_never_hide_a_match(spark):
     assert long_findings(rows, "i").collect() == long_findings(rows, "i", specs=open_specs).collect()
 
 
-def test_running_starts_over_chunks(spark):
+def test_running_totals_over_chunks(spark):
     steps = list(range(1, 500))
-    row = spark.createDataFrame([(steps,)], "s array<int>").select(running_starts(F.col("s"))).first()[0]
-    assert row == [sum(steps[:i]) for i in range(len(steps))]
+    row = spark.createDataFrame([(steps,)], "s array<int>").select(running_totals(F.col("s"))).first()[0]
+    assert row == [sum(steps[:i + 1]) for i in range(len(steps))]
 
 
 def test_nothing_found_is_left_after_merging(spark):

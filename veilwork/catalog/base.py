@@ -28,11 +28,11 @@ class Tables:
     def corpus(self) -> DataFrame:
         """documents, pages and one derived text per order, as (id, text)."""
         parts = [
-            self.documents.select(F.expr("'d' || CAST(doc_id AS STRING)").alias("id"), "text"),
-            self.pages.select(F.expr("'p' || CAST(page_id AS STRING)").alias("id"), F.col("html").alias("text")),
+            spread(self.documents.select("doc_id", "text")).select(F.expr("'d' || CAST(doc_id AS STRING)").alias("id"), "text"),
+            spread(self.pages.select("page_id", "html")).select(F.expr("'p' || CAST(page_id AS STRING)").alias("id"), F.col("html").alias("text")),
             self.order_texts().select(F.expr("'o' || CAST(id AS STRING)").alias("id"), "text"),
         ]
-        return spread(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+        return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
     def order_texts(self) -> DataFrame:
         """One derived text per order; together they hold every kind of finding."""

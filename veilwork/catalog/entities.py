@@ -28,10 +28,11 @@ tokens AS (SELECT id, k - 1 AS k, token, CAST(sum(length(gap) + length(token)) O
 
 
 @query("tokens_with_offsets", f"""WITH texts AS (SELECT doc_id AS id, text FROM documents), {_tokens_sql('texts')}
-SELECT id, count(*) AS n, CAST(sum("start") AS BIGINT) AS starts, CAST(sum("end") AS BIGINT) AS ends, md5(string_agg(token, ' ' ORDER BY k)) AS tokens FROM tokens GROUP BY id""")
+SELECT t.id, count(k) AS n, CAST(coalesce(sum("start"), 0) AS BIGINT) AS starts, CAST(coalesce(sum("end"), 0) AS BIGINT) AS ends, md5(coalesce(string_agg(token, ' ' ORDER BY k), '')) AS tokens
+FROM texts t LEFT JOIN tokens USING (id) GROUP BY t.id""")
 def offsets(t):
     """Every token of every document, summed up per document to be comparable."""
-    rows = t.texts().select("id", tokens(F.col("text")).alias("t")).filter(F.size("t") > 0)
+    rows = t.texts().select("id", tokens(F.col("text")).alias("t"))
     return rows.select("id", F.size("t").alias("n"),
                        F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a + x["start"]).alias("starts"),
                        F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a + x["end"]).alias("ends"),

@@ -61,34 +61,32 @@ def _raw_hit(text: str, number: int, spec: PatternSpec) -> str:
             f"'gaps', split({text}, {pattern}, -1))) ELSE {NO_HITS} END")
 
 
-CHUNK = 64
+CHUNK = 16
 
 
-def running_starts(steps: Column) -> Column:
-    """Sum of the steps before each one. Chunk by chunk, so that long arrays stay cheap."""
+def running_totals(steps: Column) -> Column:
+    """Sum of the steps up to and with each one. Chunk by chunk, so that long arrays stay cheap."""
     def local(chunk: Column) -> Column:
         start = F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("out"))
         return F.aggregate(chunk, start, lambda acc, n: F.struct(
-            (acc["total"] + n).alias("total"), F.concat(acc["out"], F.array(acc["total"])).alias("out")))
+            (acc["total"] + n).alias("total"), F.concat(acc["out"], F.array(acc["total"] + n)).alias("out")))
 
     def chunked(all_steps: Column) -> Column:
         firsts = F.sequence(F.lit(0), F.floor((F.size(all_steps) - 1) / CHUNK).cast("int"))
         blocks = F.transform(firsts, lambda c: local(F.slice(all_steps, c * CHUNK + 1, CHUNK)))
         return bind(blocks, lambda b: F.flatten(F.zip_with(
             b, local(F.transform(b, lambda x: x["total"]))["out"],
-            lambda block, base: F.transform(block["out"], lambda n: n + base))))
+            lambda block, after: F.transform(block["out"], lambda n: n + after - block["total"]))))
 
     return bind(steps, lambda s: F.when(F.size(s) <= CHUNK, local(s)["out"]).otherwise(chunked(s)))
 
 
 def place_matches(matches: Column, gaps: Column) -> Column:
-    """(match, start, end) in code points: each match starts where the gaps and matches before it end."""
+    """(match, start, end) in code points: each match ends where the gaps and matches up to it end."""
     def place(both: Column) -> Column:
-        pairs = F.zip_with(both["m"], F.slice(both["g"], 1, F.size(both["m"])), lambda m, g: F.struct(
-            m.alias("match"), F.length(g).alias("gap"), F.length(m).alias("size")))
-        return bind(pairs, lambda ps: F.zip_with(
-            ps, running_starts(F.transform(ps, lambda p: p["gap"] + p["size"])), lambda p, s: F.struct(
-                p["match"].alias("match"), (s + p["gap"]).alias("start"), (s + p["gap"] + p["size"]).alias("end"))))
+        steps = F.zip_with(F.slice(both["g"], 1, F.size(both["m"])), both["m"], lambda g, m: F.length(g) + F.length(m))
+        return F.zip_with(both["m"], running_totals(steps), lambda m, end: F.struct(
+            m.alias("match"), (end - F.length(m)).alias("start"), end.alias("end")))
 
     return bind(F.struct(matches.alias("m"), gaps.alias("g")), place)
 

@@ -21,7 +21,7 @@ MIN_TOKEN_LENGTH = 2
 MAX_DIGIT_RATIO = 0.5
 # ---------------------------------------------------------------------------
 
-TOKEN = f"{WORD}+|[^{WORD[1:-1]}{SPACE}]"
+TOKEN = f"(?U){WORD}+|[^{WORD[1:-1]}{SPACE}]"
 NO_SPANS = "array<struct<start:int,end:int,label:string>>"
 
 

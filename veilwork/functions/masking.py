@@ -118,7 +118,7 @@ def mask_entities(text: Column, entities: Column, token: str = REDACTED_ENTITY)
         (-F.length(e)).alias("n"), e.alias("term"))))
     useful = F.filter(keyed, lambda k: F.length(F.trim(k["term"])) > 0)
     replaced = F.aggregate(useful, text, lambda acc, k: F.regexp_replace(
-        acc, F.concat(F.lit("(?iu)" + BOUNDARY), _quoted(k["term"]), F.lit(BOUNDARY)), F.lit(token)))
+        acc, F.concat(F.lit("(?iU)" + BOUNDARY), _quoted(k["term"]), F.lit(BOUNDARY)), F.lit(token)))
     return F.when(F.coalesce(F.size(entities), F.lit(0)) > 0, replaced).otherwise(text)
 
 

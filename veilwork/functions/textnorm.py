@@ -21,7 +21,7 @@ def strip(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of white-space separated words; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0))
+    return F.coalesce(F.regexp_count(text, F.lit(f"(?U)[^{SPACE}]+")), F.lit(0))
 
 
 def first_text(*candidates: Column) -> Column:
