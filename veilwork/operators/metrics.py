@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 LOG_LOSS_CLIP = 2.220446049250313e-16
@@ -72,8 +73,8 @@ def cumulative(df: DataFrame, truth: str, score: str, buckets: int = 1000) -> Da
         F.sum(F.when(F.col(truth) == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col(truth) == 1, 0).otherwise(1)).alias("neg"))
     limits = sorted(set(df.approxQuantile(score, [i / buckets for i in range(1, buckets)], 0.5 / buckets)))
-    bucket = F.expr(f"size(filter(array({', '.join(f'{v!r}D' for v in limits) or '0D'}), x -> x <= score))")
-    placed = ties.withColumn("bucket", bucket)
+    splits = [-float("inf"), *(limits or [0.0]), float("inf")]
+    placed = Bucketizer(splits=splits, inputCol="score", outputCol="bucket").transform(ties)
     totals = placed.groupBy("bucket").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     above = Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
     shifts = totals.select("bucket", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("p", "n")])

@@ -13,7 +13,7 @@ def hash_order(seed: str | int, *ids: Column) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
-def hash_bucket(key: Column, digits: int = 3) -> Column:
+def hash_bucket(key: Column, digits: int = 4) -> Column:
     """Leading digits of a hash key; monotone in the key."""
     return F.substring(key, 1, digits)
 

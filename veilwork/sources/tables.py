@@ -11,12 +11,12 @@ def scan_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a scan that comes in fewer pieces than there are cores.
+    """Give every core a share of a scan that comes in far fewer pieces than there are cores.
 
-    Only a table of a few small files is shuffled; a large table has more splits than cores
-    and stays as it is.
+    Only a table of a few files is shuffled; a large table has more splits than cores and
+    stays as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    if df.rdd.getNumPartitions() * 2 <= cores:
         return df.repartition(cores)
     return df
