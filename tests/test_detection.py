@@ -108,6 +108,22 @@ def test_nothing_found_is_left_after_merging(spark):
     assert off.count() == 0
 
 
+def test_merged_mask_of_many_findings(spark):
+    """More findings than fit one block, some of them overlapping; compared with a plain loop."""
+    text = " ".join(f"u{i}@ex{i}.com é password=foo{i}@bar.com 10.0.{i}.1" for i in range(150))
+    rows = spark.createDataFrame([(text,)], "text string")
+    row = with_findings(rows, "text", "f").select("f", mask(F.col("text"), F.col("f"), "redact").alias("m")).first()
+    out, done, spans = "", 0, []
+    for f in row.f:
+        if spans and f.start < spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], f.end)
+        else:
+            spans.append([f.start, f.end, f"[REDACTED:{f['name']}]"])
+    for start, end, token in spans:
+        out, done = out + text[done:start] + token, end
+    assert len(spans) > 400 and row.m == out + text[done:]
+
+
 def test_custom_validator_and_null_text(spark):
     register_validator("even", lambda v: F.right(v, F.lit(1)).isin("0", "2", "4", "6", "8"))
     spec = PatternSpec("Ticket", "Business", "low", r"\bT-\d+\b", "even")

@@ -61,24 +61,41 @@ def _raw_hit(text: str, number: int, spec: PatternSpec) -> str:
             f"'gaps', split({text}, {pattern}, -1))) ELSE {NO_HITS} END")
 
 
-CHUNK = 16
+CHUNK = 32
 
 
-def running_totals(steps: Column) -> Column:
-    """Sum of the steps up to and with each one. Chunk by chunk, so that long arrays stay cheap."""
+def running(values: Column, combine) -> Column:
+    """Running result of an associative `combine` over non-negative integers, 0 being its neutral element.
+
+    Chunk by chunk: growing one array element by element would copy it each time.
+    """
     def local(chunk: Column) -> Column:
-        start = F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(chunk, start, lambda acc, n: F.struct(
-            (acc["total"] + n).alias("total"), F.concat(acc["out"], F.array(acc["total"] + n)).alias("out")))
-
-    def chunked(all_steps: Column) -> Column:
-        firsts = F.sequence(F.lit(0), F.floor((F.size(all_steps) - 1) / CHUNK).cast("int"))
-        blocks = F.transform(firsts, lambda c: local(F.slice(all_steps, c * CHUNK + 1, CHUNK)))
-        return bind(blocks, lambda b: F.flatten(F.zip_with(
-            b, local(F.transform(b, lambda x: x["total"]))["out"],
-            lambda block, after: F.transform(block["out"], lambda n: n + after - block["total"]))))
-
-    return bind(steps, lambda s: F.when(F.size(s) <= CHUNK, local(s)["out"]).otherwise(chunked(s)))
+        start = F.struct(F.lit(0).alias("so_far"), F.array().cast("array<int>").alias("out"))
+
+        def step(acc: Column, n: Column) -> Column:
+            now = combine(acc["so_far"], n)
+            return F.struct(now.alias("so_far"), F.concat(acc["out"], F.array(now)).alias("out"))
+
+        return F.aggregate(chunk, start, step)
+
+    def chunked(v: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(v), F.lit(CHUNK))
+        blocks = F.transform(firsts, lambda first: local(F.slice(v, first, CHUNK)))
+
+        def joined(b: Column) -> Column:
+            ends = local(F.transform(b, lambda x: x["so_far"]))["out"]
+            return bind(ends, lambda e: F.flatten(F.transform(b, lambda block, i: bind(
+                F.when(i > 0, F.get(e, i - 1)).otherwise(0),
+                lambda before: F.transform(block["out"], lambda n: combine(before, n))))))
+
+        return bind(blocks, joined)
+
+    return bind(values, lambda v: F.when(F.size(v) <= CHUNK, local(v)["out"]).otherwise(chunked(v)))
+
+
+def running_totals(steps: Column) -> Column:
+    """Sum of the steps up to and with each one."""
+    return running(steps, lambda a, b: a + b)
 
 
 def place_matches(matches: Column, gaps: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .detection import bind, running
 from .patterns import BOUNDARY, java_pattern
 
 # ---------------------------------------------------------------------------
@@ -71,26 +72,57 @@ def _mask_stale(text: Column, found: Column, replace) -> Column:
         F.substr(acc, f["end"] + 1, F.greatest(F.length(acc), F.lit(0)))))
 
 
+BLOCK = 64
+
+
+def _merged_spans(found: Column, replace, merged_token) -> Column:
+    """(start, end, token) of each union of overlapping findings, in order.
+
+    A finding opens a union if it starts behind the furthest end so far.
+    """
+    def unions(f: Column) -> Column:
+        furthest = running(F.transform(f, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+        return bind(furthest, lambda reach: bind(
+            F.filter(F.sequence(F.lit(0), F.size(f) - 1),
+                     lambda i: (i == 0) | (F.get(f, i)["start"] >= F.get(reach, i - 1))),
+            lambda opens: F.transform(opens, lambda i, k: union(f, reach, i, F.coalesce(F.get(opens, k + 1), F.size(f))))))
+
+    def union(f: Column, reach: Column, first: Column, after: Column) -> Column:
+        one = F.get(f, first)
+        token = replace(one["name"], one["match"])
+        return F.struct(one["start"].alias("start"), F.get(reach, after - 1).alias("end"),
+                        F.when(after - first > 1, merged_token(token)).otherwise(token).alias("token"))
+
+    return bind(found, unions)
+
+
 def _mask_merged(text: Column, found: Column, replace, merged_token) -> Column:
-    """Left to right over the union of overlapping spans; each union gets one token."""
-    start = F.struct(
-        F.lit("").alias("out"), F.lit(0).alias("done"),
-        F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("token"))
-
-    def flushed(s: Column) -> Column:
-        return F.concat(s["out"], F.substr(text, s["done"] + 1, s["start"] - s["done"]), s["token"])
-
-    def step(s: Column, f: Column) -> Column:
-        joined = F.struct(
-            s["out"].alias("out"), s["done"].alias("done"), s["start"].alias("start"),
-            F.greatest(s["end"], f["end"]).alias("end"), merged_token(s["token"]).alias("token"))
-        opened = F.struct(
-            flushed(s).alias("out"), s["end"].alias("done"), f["start"].alias("start"),
-            f["end"].alias("end"), replace(f["name"], f["match"]).alias("token"))
-        return F.when(f["start"] < s["end"], joined).otherwise(opened)
-
-    return F.aggregate(found, start, step, lambda s: F.concat(
-        flushed(s), F.substr(text, s["end"] + 1, F.length(text))))
+    """The text with each union replaced by its token.
+
+    Cutting a string by position walks from its start. The text is therefore cut into blocks
+    of spans first and each block on its own, so that a long text with very many findings
+    does not cost their product.
+    """
+    def blockwise(m: Column) -> Column:
+        def end_before(i: Column) -> Column:
+            return F.when(i > 0, F.get(m, i - 1)["end"]).otherwise(0)
+
+        def block(first: Column) -> Column:
+            base, last = end_before(first), F.least(first + BLOCK, F.size(m)) - 1
+            cut = F.substr(text, base + 1, F.get(m, last)["end"] - base)
+
+            def pieces(b: Column) -> Column:
+                return F.array_join(F.transform(F.slice(m, first + 1, F.lit(BLOCK)), lambda s, i: F.concat(
+                    F.substr(b["cut"], end_before(first + i) - b["base"] + 1, s["start"] - end_before(first + i)),
+                    s["token"])), "")
+
+            return bind(F.struct(cut.alias("cut"), base.alias("base")), pieces)
+
+        firsts = F.sequence(F.lit(0), F.size(m) - 1, F.lit(BLOCK))
+        tail = F.substr(text, F.get(m, F.size(m) - 1)["end"] + 1, F.length(text))
+        return F.concat(F.array_join(F.transform(firsts, block), ""), tail)
+
+    return bind(_merged_spans(found, replace, merged_token), blockwise)
 
 
 def mask(text: Column, found: Column, strategy: str = "partial", overlap: str = "merge") -> Column:
