@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.decisions import (confidence, decide, decide_by_severity, flag_block, flag_email, flag_entity,
-                                   flag_mask, flag_secret, flag_unsafe, no_labels)
+                                   flag_mask, flag_secret, flag_unsafe)
 from ..functions.detection import with_findings
 from ..operators.ranking import hash_order, hash_unit
 from ..plans.analyze import analyze, attach_scores, policy_events, with_scan_status

@@ -13,7 +13,7 @@ from ..functions.entities import (IGNORED_TOKENS, TAGGER_LABELS, bio_to_entities
                                   filter_token_labels, spans_to_bio, tokens)
 from ..operators.entities import entity_averages, entity_scores, label_counts, label_set, schema_form, top_by_f1
 from ..operators.ranking import hash_order
-from .base import ORDER_TEXTS_SQL, hash_sql, query, quote
+from .base import ORDER_TEXTS_SQL, query, quote
 from .finding_sql import findings_sql
 
 _TOKEN_SQL = "'[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]'"

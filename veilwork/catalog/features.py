@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text_features import (FEATURES_5, FEATURES_13, entropy, pii_flags, secret_features, with_features_5,
                                        with_features_13)
-from ..functions.textnorm import strip
-from ..operators.features import align_width, assemble, explode_terms, fit_scale, scale, tfidf_fit, tfidf_transform
+from ..operators.features import align_width, assemble, fit_scale, scale, tfidf_fit, tfidf_transform
 from .base import CORPUS_SQL, query, quote
 
 _ENTROPY_CTE = """letters AS (SELECT id, unnest(string_split({text}, '')) AS c FROM {source} WHERE length({text}) > 0),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.decisions import any_finding
 from ..functions.detection import long_findings, with_findings
 from ..operators.features import english_stop_words, explode_terms
-from ..operators.summaries import class_balance, class_counts, distinct_matches, findings_summary, top_terms
+from ..operators.summaries import class_balance, class_counts, findings_summary, top_terms
 from .base import CORPUS_SQL, LABELLED_SQL, query
 from .features import _STOP
 from .finding_sql import findings_sql
