@@ -12,6 +12,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+# Stop words of the registered term queries and of their checks; the operators take any list
+# and use Spark's English one by default.
+STOP_WORDS = ("a an and are as at be by for from has he in is it its of on that the to was were "
+              "will with").split()
+
+
 class Tables:
     """Given tables by attribute: t.documents, t.orders, ..."""
 

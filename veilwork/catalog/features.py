@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import zipfile
-from functools import lru_cache
-from pathlib import Path
-
-import pyspark
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.text_features import (FEATURES_5, FEATURES_13, entropy, pii_flags, secret_features, with_features_5,
                                        with_features_13)
-from ..operators.features import align_width, assemble, fit_scale, scale, tfidf_fit, tfidf_transform
-from .base import CORPUS_SQL, query, quote
+from ..operators.features import MAX_FEATURES, align_width, assemble, fit_scale, scale, tfidf_fit, tfidf_transform
+from .base import CORPUS_SQL, STOP_WORDS, query, quote
 
 _ENTROPY_CTE = """letters AS (SELECT id, unnest(string_split({text}, '')) AS c FROM {source} WHERE length({text}) > 0),
 bits AS (SELECT id, -sum(n * 1.0 / total * log2(n * 1.0 / total)) AS entropy FROM (
@@ -84,16 +79,8 @@ def scaled(t):
     return done.select("id", *[F.round(c, 5).alias(c) for c in FEATURES_13])
 
 
-@lru_cache(maxsize=1)
-def _stop_words() -> list[str]:
-    """Spark's own English list, read from the jar so that the check needs no session."""
-    jar = next((Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as z:
-        return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split("\n")
-
-
-_STOP = ", ".join(quote(w) for w in _stop_words() if w)
-_FEATURES = 3000
+_STOP = ", ".join(quote(w) for w in STOP_WORDS)
+_FEATURES = MAX_FEATURES
 _TERMS_SQL = f"""words AS (SELECT doc_id, list_filter(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({_STOP})) AS w FROM documents),
 terms AS (SELECT doc_id, unnest(list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM words),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
@@ -105,14 +92,14 @@ tfidf AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) A
 
 @query("tfidf_fit", f"WITH {_TERMS_SQL} SELECT term, df, cf, round(idf, 6) AS idf FROM vocab")
 def fit(t):
-    return tfidf_fit(t.texts(), "id", "text", _FEATURES).withColumn("idf", F.round("idf", 6))
+    return tfidf_fit(t.texts(), "id", "text", _FEATURES, stop_words=STOP_WORDS).withColumn("idf", F.round("idf", 6))
 
 
 @query("tfidf_transform", f"""WITH {_TERMS_SQL} SELECT doc_id AS id, term, round(tfidf, 5) AS tfidf FROM tfidf""")
 def transform(t):
     texts = t.texts()
-    vocabulary = tfidf_fit(texts, "id", "text", _FEATURES)
-    return tfidf_transform(texts, "id", "text", vocabulary).withColumn("tfidf", F.round("tfidf", 5))
+    vocabulary = tfidf_fit(texts, "id", "text", _FEATURES, stop_words=STOP_WORDS)
+    return tfidf_transform(texts, "id", "text", vocabulary, stop_words=STOP_WORDS).withColumn("tfidf", F.round("tfidf", 5))
 
 
 @query("assemble_features", f"""WITH {_CLEAN_CTE}, f AS (SELECT id, {_THIRTEEN_SQL} FROM base)

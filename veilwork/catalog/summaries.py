@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.decisions import any_finding
 from ..functions.detection import long_findings, with_findings
-from ..operators.features import english_stop_words, explode_terms
+from ..operators.features import explode_terms
 from ..operators.summaries import class_balance, class_counts, findings_summary, top_terms
-from .base import CORPUS_SQL, LABELLED_SQL, query
+from .base import CORPUS_SQL, LABELLED_SQL, STOP_WORDS, query
 from .features import _STOP
 from .finding_sql import findings_sql
 
@@ -59,7 +59,7 @@ def log_odds(t):
     """Terms that speak most for a class, by smoothed log odds of occurring in a text."""
     labelled = t.labelled()
     sizes = {r["label"]: r["n"] for r in class_counts(labelled).collect()}
-    rows = explode_terms(labelled, "doc_id", "text", english_stop_words(), keep=["label"])
+    rows = explode_terms(labelled, "doc_id", "text", STOP_WORDS, keep=["label"])
     per_term = rows.groupBy("term").agg(F.count_if(F.col("label") == "unsafe").alias("u"),
                                         F.count_if(F.col("label") == "safe").alias("s"))
     weight = (F.ln((F.col("u") + 1.0) / (sizes["unsafe"] + 2.0)) - F.ln((F.col("s") + 1.0) / (sizes["safe"] + 2.0)))

@@ -12,7 +12,7 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 _local: dict[str, str] = {}
 
 
-def build_session(app: str = "veilwork", cpus: int | None = None, **conf: str) -> SparkSession:
+def build_session(app: str = "veilwork", cpus: int | None = None, memory: str = "8g", **conf: str) -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
     cores = cpus or os.cpu_count() or 8
     builder = (
@@ -22,7 +22,7 @@ def build_session(app: str = "veilwork", cpus: int | None = None, **conf: str) -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", memory)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in conf.items():
@@ -53,6 +53,33 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table on whatever file system it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """Intermediate tables of one job, dropped as soon as no later step reads them.
+
+    Written tables survive lost executors, which cached blocks do not. What the returned frame
+    still reads stays; everything else goes with drop().
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.label, self.paths = spark, label, {}
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_dir(self.spark, f"{self.label}-{name}")
+        df.write.parquet(path)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            remove(self.spark, self.paths.pop(name))
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a frame that several branches read and read it back.
 
