@@ -4,7 +4,7 @@ Texts are folded to lower-case letters and single spaces. Spark counts the 4-gra
 language; lower orders follow from them as continuation counts. The model is one table per
 order: hashes of the n-grams in rising order, found by binary search, with a count per language.
 A text gets the language of lowest cross-entropy per character. It is rejected when that is
-farther above its language's usual cross-entropy than calibration allows.
+farther above its language's usual cross-entropy than calibration on the learning texts allows.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ from .kernel import mix, parts
 
 #: Cells (n-grams x languages) of the model's largest table; rarer 4-grams are left out beyond it.
 CELLS = 1 << 22
-#: Rejection: this quantile of the calibration texts' excess, times this factor.
-QUANTILE, SLACK = 0.9995, 2.0
+#: Rejection starts half-way between this quantile of the learning texts' cross-entropy and
+#: what a text costs without any model.
+QUANTILE = 0.999
 #: Characters up to which a longer text counts as better evidence.
 EVIDENCE = 256
 _OUTSIDE = 0xFFFF
@@ -221,9 +222,8 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lan
 
     Learns from texts with a language that are not `held_out` (by default none are). score is
     the posterior of the language, 0 to 1, with a text's evidence capped at EVIDENCE characters.
-    cross_entropy is in bits a character. rejected: no letters, or an excess over the language's
-    mean, scaled with the root of the length, beyond SLACK times the QUANTILE of that excess
-    among learning texts of the language.
+    cross_entropy is in bits a character. rejected: no letters, or a cross-entropy nearer to that
+    of random letters than to the QUANTILE among learning texts of the language.
 
     Null texts and texts without letters get `und`, score 0, and are rejected. Rows without an
     id count as held out when `held_out` is null. Repeated rows are predicted alike. Without any
@@ -247,12 +247,10 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lan
                                f"id {kind}, lang string, held boolean, pred string, entropy double, score double, chars long")
     scored = Scratch(spark, "language-id").table(scored, "scored")
     sure = scored.filter("NOT held AND lang = pred")
-    weight = F.sqrt(F.least("chars", F.lit(EVIDENCE)).cast("double"))
-    means = {r["pred"]: r["m"] for r in sure.groupBy("pred").agg(F.avg("entropy").alias("m")).collect()}  # a row a language
-    mean = F.create_map(*[F.lit(x) for kv in (means or {"": 0.0}).items() for x in kv])[F.col("pred")]
-    excess = (F.col("entropy") - mean) * weight
-    bound = {r["pred"]: r["q"] for r in sure.groupBy("pred").agg(F.percentile_approx(excess, QUANTILE, 10_000).alias("q")).collect()}
-    most = F.create_map(*[F.lit(x) for k, q in (bound or {"": 0.0}).items() for x in (k, max(q, 1.0) * SLACK)])[F.col("pred")]
+    blind = float(np.log2(model.alphabet))
+    usual = sure.groupBy("pred").agg(F.percentile_approx("entropy", QUANTILE, 10_000).alias("q")).collect()  # a row a language
+    bounds = {r["pred"]: (r["q"] + max(blind, r["q"])) / 2 for r in usual}
+    bound = F.create_map(*[F.lit(x) for kv in (bounds or {"": 0.0}).items() for x in kv])[F.col("pred")]
     return scored.select(*back, F.col("held").alias("held_out"), F.coalesce("pred", F.lit("und")).alias("lang_pred"), "score",
                          F.when(F.col("pred").isNotNull(), F.col("entropy")).alias("cross_entropy"),
-                         F.coalesce(excess > most, F.col("pred").isNull()).alias("rejected"))
+                         F.coalesce(F.col("entropy") > bound, F.col("pred").isNull()).alias("rejected"))

@@ -226,8 +226,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: i
     alive = classes.join(enough, classes["s1"] == enough["c"]).filter(
         F.col("m") * 1000 >= F.greatest(F.col("n") * percent, F.lit(1)))
     alive = scratch.table(alive.select("least", F.col("s1").alias("c")), "alive")
-    scratch_rows = source.join(alive.select(F.col("least").alias("id")).distinct(), "id", "left_semi")
-    sets = scratch_rows.select("id", "text").mapInArrow(_profiles(k, percent, True), _PROFILE)
+    # Sorted and merged at every size: the living documents grow with the input.
+    living = source.join(alive.select(F.col("least").alias("id")).distinct().hint("merge"), "id", "left_semi")
+    sets = living.select("id", "text").mapInArrow(_profiles(k, percent, True), _PROFILE)
     entries = sets.select(F.explode("shingles").alias("h"), F.col("s1").alias("c"), "n")
     frequent = entries.repartition(F.col("h")).sortWithinPartitions("h", "c").mapInArrow(
         _frequencies, "c long, n long, f long, h long")

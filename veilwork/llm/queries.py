@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import public_tokenizers
+
+from ..session import fresh_dir
 from .exact_dedup import exact_dedup
 from .hash_tree import hash_tree_shards, regular_tree
 from .language_id import language_id
 from .mixing import mix_sources
 from .ngram_join import ngram_join
+from .packing import pack_documents
+from .token_scan import token_counts, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,11 +35,21 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def tokenizer() -> str:
+    """The public vocabulary file; another file's path can be given to the operators."""
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 @query("op2_ngram_join")
 def op2(spark, folder):
     return ngram_join(documents(spark, folder), k=4, percent=85)
 
 
+@query("op3_packing")
+def op3(spark, folder):
+    return pack_documents(documents(spark, folder), tokenizer())
+
+
 # Base rates and Poisson steps as in mixing.py; the number comes from the same 52 bits.
 @query("op5_source_mixing", """WITH RECURSIVE n AS (SELECT source, count(*) AS n, sqrt(count(*)) AS w FROM documents GROUP BY source),
 rates AS (SELECT source, ((SELECT sum(n) FROM n)::DOUBLE * w / (SELECT sum(w ORDER BY source) FROM n)) / n AS rate FROM n),
@@ -49,6 +64,15 @@ def op5(spark, folder):
     return mixed.select("doc_id", "source", F.col("_copy").alias("copy"), F.col("_order").alias("shuffle_key"))
 
 
+@query("op6_token_counts")
+def op6(spark, folder):
+    """Token files written from all documents, then counted; `file` is the writing task's number."""
+    path = fresh_dir(spark, "token-files")
+    write_token_files(documents(spark, folder), path, tokenizer())
+    counts = token_counts(spark, path)
+    return counts.withColumn("file", F.regexp_extract("file", r"^part-(\d+)", 1).cast("int"))
+
+
 @query("op7_hash_tree")
 def op7(spark, folder):
     return hash_tree_shards(documents(spark, folder), regular_tree(24), regular_tree(25))
