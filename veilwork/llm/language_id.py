@@ -254,3 +254,9 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lan
     return scored.select(*back, F.col("held").alias("held_out"), F.coalesce("pred", F.lit("und")).alias("lang_pred"), "score",
                          F.when(F.col("pred").isNotNull(), F.col("entropy")).alias("cross_entropy"),
                          F.coalesce(F.col("entropy") > bound, F.col("pred").isNull()).alias("rejected"))
+
+
+def drop_rejected(docs: DataFrame, row: str, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of `docs` that language_id does not reject, all columns; `row` tells them apart."""
+    rejected = language_id(docs, id_col, text, lang, row=row).filter("rejected").select(F.col(row))
+    return docs.join(rejected.hint("merge"), row, "left_anti")

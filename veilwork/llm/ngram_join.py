@@ -263,3 +263,17 @@ def _links(grouped: DataFrame, percent: int) -> DataFrame:
     pairs = placed.select("root", "c", "n", "columns", "own", other.alias("other"))
     pairs = pairs.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "c", "n", "columns")
     return pairs.groupBy("root", "i", "j").applyInArrow(_product(percent), "a long, b long")
+
+
+def drop_near_copies(docs: DataFrame, row: str, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of ngram_join, all columns: the one of the smallest id, nulls last.
+
+    `row` names a column that tells rows apart; documents are linked by it, so null and repeated
+    ids take part like others.
+    """
+    groups = ngram_join(docs, row, text, k, percent).select(row, "component_id")
+    ids = docs.select(row, F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("order"), F.col(row).alias("row")).alias("o"))
+    members = Scratch(docs.sparkSession, "near-copies").table(groups.join(ids, row), "members")
+    least = members.groupBy("component_id").agg(F.min("o").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    dropped = members.join(least, "component_id").filter(F.col("o.row") != F.col("first.row")).select(row)
+    return docs.join(dropped.hint("merge"), row, "left_anti")
