@@ -13,6 +13,7 @@ from ..session import fresh_dir
 from .exact_dedup import exact_dedup
 from .hash_tree import hash_tree_shards, regular_tree
 from .language_id import language_id
+from .lm_scoring import lm_scores
 from .mixing import mix_sources
 from .ngram_join import ngram_join
 from .packing import pack_documents
@@ -41,6 +42,12 @@ def tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op1_context_mixing")
+def op1(spark, folder):
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return lm_scores(documents(spark, folder), held_out=held)
+
+
 @query("op2_ngram_join")
 def op2(spark, folder):
     return ngram_join(documents(spark, folder), k=4, percent=85)
