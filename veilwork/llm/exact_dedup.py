@@ -59,7 +59,8 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ro
     going = (F.col("n") > 1) & (F.col("length") > FIRST)
     out = _leave(heads.join(groups, ["length", "digit"], "left").filter(~F.coalesce(going, F.lit(False))), F.col("sha"))
 
-    rows = source.join(groups.filter(going).select("length", "digit", "group"), ["length", "digit"]).select(
+    # Sorted and merged at every size: the groups that go on grow with the input.
+    rows = source.join(groups.filter(going).select("length", "digit", "group").hint("merge"), ["length", "digit"]).select(
         "row", "id", "length", "group", "bytes")
     rows, start, width, step = scratch.table(rows, "round-0"), FIRST, FIRST * WIDER, 0
     spent = scratch.paths["round-0"]
@@ -68,7 +69,7 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ro
         split = rows.withColumn("digit", F.substring("bytes", start + 1, width))
         found = scratch.table(_split(split, "group", "digit").withColumn("next", F.monotonically_increasing_id()), f"groups-{step}")
         ends = F.col("n").isNull() | (F.col("length") <= start + width)
-        met = split.join(found, ["group", "digit"], "left").select(
+        met = split.join(found.hint("merge"), ["group", "digit"], "left").select(
             "row", "id", "length", F.col("next").alias("group"), "first", "n",
             F.when(ends, F.sha2("bytes", 256)).alias("sha"), F.when(~ends, F.col("bytes")).alias("bytes"), (~ends).alias("going"))
         path = fresh_dir(spark, f"exact-dedup-split-{step}")
@@ -100,4 +101,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 def drop_exact_copies(docs: DataFrame, row: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that exact_dedup keeps, all columns; `row` tells them apart."""
     dropped = radix_groups(docs, id_col, text, row).filter(~F.col("kept")).select(F.col("row").alias(row))
-    return docs.join(dropped, row, "left_anti")
+    return docs.join(dropped.hint("merge"), row, "left_anti")
