@@ -31,24 +31,28 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return docs.withColumn(name, F.monotonically_increasing_id()), name
 
 
+def _own(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     numbered, row = _numbered(docs)
-    return drop_rejected(numbered, row).select(*docs.columns)
+    return drop_rejected(numbered, row).select(*_own(docs))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     numbered, row = _numbered(docs)
-    return drop_exact_copies(numbered, row).select(*docs.columns)
+    return drop_exact_copies(numbered, row).select(*_own(docs))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     numbered, row = _numbered(docs)
-    return drop_near_copies(numbered, row, k=5, percent=80).select(*docs.columns)
+    return drop_near_copies(numbered, row, k=5, percent=80).select(*_own(docs))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     numbered, row = _numbered(docs)
-    return mix_sources(numbered, row=row, temperature=0.5).select(*docs.columns)
+    return mix_sources(numbered, row=row, temperature=0.5).select(*_own(docs))
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,17 +74,18 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source: str = "source",
     rates = Scratch(docs.sparkSession, "mixing").table(rates.select(
         F.col("source").alias("_source"), "rate",
         F.when(F.col("rate") <= 600, poisson_steps(F.least("rate", F.lit(600.0)))).alias("steps")), "rates")
+    # The row travels as one struct, so that no name of its can clash.
     names = [c for c in docs.columns if c not in ("_copy", "_order")]
-    key = F.col(row or id_col)
+    rest = F.xxhash64(*[F.col(f"`{c}`") for c in names])
+    key = F.col(row or id_col).cast("string")
     if row is None:
-        rest = F.xxhash64(*[F.col(c) for c in names])
-        key = F.coalesce(key.cast("string"), F.concat(F.lit("~"), rest.cast("string")))
-    unit = hash_unit(F.lit(str(seed)), key)
+        key = F.coalesce(key, F.concat(F.lit("~"), rest.cast("string")))
+    drawn = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col(source).alias("source"), key.alias("key"))
+    unit = hash_unit(F.lit(str(seed)), F.col("key"))
     count = F.when(F.col("steps").isNull(), F.round("rate")).otherwise(
         F.size(F.filter("steps", lambda s: s < unit))).cast("int")
-    joined = docs.select(*names).join(rates, F.col(source).eqNullSafe(F.col("_source")))
-    copies = F.explode(F.sequence(F.lit(0), F.col("_count") - 1))
-    repeated = joined.withColumn("_count", count).filter("_count > 0").withColumn("_copy", copies)
-    order = F.md5(F.concat_ws("|", F.lit(f"order{seed}"), key, F.col("_copy").cast("string")))
-    repeated = repeated.withColumn("_order", order).select(*names, "_copy", "_order")
+    joined = drawn.join(rates, F.col("source").eqNullSafe(F.col("_source"))).select("doc", "key", count.alias("count"))
+    repeated = joined.filter("count > 0").select("doc", "key", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("_copy"))
+    order = F.md5(F.concat_ws("|", F.lit(f"order{seed}"), "key", F.col("_copy").cast("string")))
+    repeated = repeated.select("doc.*", "_copy", order.alias("_order"))
     return repeated.repartition(F.col("_order")).sortWithinPartitions("_order")

@@ -17,7 +17,9 @@ from .lm_scoring import lm_scores
 from .mixing import mix_sources
 from .ngram_join import ngram_join
 from .packing import pack_documents
+from .projections import near_vectors
 from .token_scan import token_counts, write_token_files
+from .url_filter import url_verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,6 +60,14 @@ def op3(spark, folder):
     return pack_documents(documents(spark, folder), tokenizer())
 
 
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+@query("op4_url_filter")
+def op4(spark, folder):
+    return url_verdicts(spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url"), RULES)
+
+
 # Base rates and Poisson steps as in mixing.py; the number comes from the same 52 bits.
 @query("op5_source_mixing", """WITH RECURSIVE n AS (SELECT source, count(*) AS n, sqrt(count(*)) AS w FROM documents GROUP BY source),
 rates AS (SELECT source, ((SELECT sum(n) FROM n)::DOUBLE * w / (SELECT sum(w ORDER BY source) FROM n)) / n AS rate FROM n),
@@ -86,6 +96,11 @@ def op7(spark, folder):
     return hash_tree_shards(documents(spark, folder), regular_tree(24), regular_tree(25))
 
 
+@query("op8_embedding_collisions")
+def op8(spark, folder):
+    return near_vectors(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 @query("op9_language_id")
 def op9(spark, folder):
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
