@@ -262,7 +262,8 @@ def _links(grouped: DataFrame, percent: int) -> DataFrame:
     other = F.expr("explode(IF(blocks = 1, array(0), filter(sequence(0, blocks - 1), x -> x <> own)))")
     pairs = placed.select("root", "c", "n", "columns", "own", other.alias("other"))
     pairs = pairs.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "c", "n", "columns")
-    return pairs.groupBy("root", "i", "j").applyInArrow(_product(percent), "a long, b long")
+    # Dealt by pairs of blocks: by the group alone, a large one would be one task.
+    return pairs.repartition("root", "i", "j").groupBy("root", "i", "j").applyInArrow(_product(percent), "a long, b long")
 
 
 def drop_near_copies(docs: DataFrame, row: str, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
