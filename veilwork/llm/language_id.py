@@ -24,20 +24,20 @@ CELLS = 1 << 22
 #: Rejection starts half-way between this quantile of the learning texts' cross-entropy and
 #: what a text costs without any model.
 QUANTILE = 0.999
-#: Characters up to which a longer text counts as better evidence.
-EVIDENCE = 256
+#: Characters up to which a longer text counts as better evidence, and characters at the usual
+#: cross-entropy that every text is credited with before it is rejected.
+EVIDENCE, CREDIT = 256, 50
 _OUTSIDE = 0xFFFF
 
 
 def letter_table() -> np.ndarray:
-    """Code point -> its lower-case letter, space for what is no letter; one code beyond the BMP."""
-    table = np.full(65537, 32, np.uint64)
+    """16-bit code point -> its lower-case letter, or space for what is no letter."""
+    table = np.full(65536, 32, np.uint64)
     for code in range(0xFFFF):
         letter = chr(code)
         if letter.isalpha():
             lower = letter.lower()
             table[code] = ord(lower) if len(lower) == 1 else ord(lower[0])
-    table[65536] = _OUTSIDE
     return table
 
 
@@ -49,7 +49,12 @@ def folded_grams(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tu
     lead = (data & 0xC0) != 0x80
     places = np.concatenate(([0], np.cumsum(lead)))[offsets]
     codes = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
-    c = table[np.minimum(codes, 65536)]
+    c = table[np.minimum(codes, 0xFFFF)]
+    outside = np.flatnonzero(codes > 0xFFFF)
+    if len(outside):
+        # Letters beyond 16 bits share one code.
+        found, which = np.unique(codes[outside], return_inverse=True)
+        c[outside] = np.array([_OUTSIDE if chr(x).isalpha() else 32 for x in found], np.uint64)[which]
     before = np.empty_like(c)
     before[1:] = c[:-1]
     starts = places[:-1][places[:-1] < len(c)]
@@ -223,7 +228,8 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lan
     Learns from texts with a language that are not `held_out` (by default none are). score is
     the posterior of the language, 0 to 1, with a text's evidence capped at EVIDENCE characters.
     cross_entropy is in bits a character. rejected: no letters, or a cross-entropy nearer to that
-    of random letters than to the QUANTILE among learning texts of the language.
+    of random letters than to the QUANTILE among learning texts of the language, where a text is
+    credited with CREDIT more characters at that quantile.
 
     Null texts and texts without letters get `und`, score 0, and are rejected. Rows without an
     id count as held out when `held_out` is null. Repeated rows are predicted alike. Without any
@@ -249,11 +255,12 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lan
     sure = scored.filter("NOT held AND lang = pred")
     blind = float(np.log2(model.alphabet))
     usual = sure.groupBy("pred").agg(F.percentile_approx("entropy", QUANTILE, 10_000).alias("q")).collect()  # a row a language
-    bounds = {r["pred"]: (r["q"] + max(blind, r["q"])) / 2 for r in usual}
-    bound = F.create_map(*[F.lit(x) for kv in (bounds or {"": 0.0}).items() for x in kv])[F.col("pred")]
+    quantile = {r["pred"]: r["q"] for r in usual}
+    above = F.create_map(*[F.lit(x) for kv in (quantile or {"": 0.0}).items() for x in kv])[F.col("pred")]
+    excess = (F.col("entropy") - above) * F.col("chars") / (F.col("chars") + CREDIT)
     return scored.select(*back, F.col("held").alias("held_out"), F.coalesce("pred", F.lit("und")).alias("lang_pred"), "score",
                          F.when(F.col("pred").isNotNull(), F.col("entropy")).alias("cross_entropy"),
-                         F.coalesce(F.col("entropy") > bound, F.col("pred").isNull()).alias("rejected"))
+                         F.coalesce(excess > F.greatest(F.lit(blind) - above, F.lit(1.0)) / 2, F.col("pred").isNull()).alias("rejected"))
 
 
 def drop_rejected(docs: DataFrame, row: str, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -368,7 +368,7 @@ def _score(tables, rest):
                 known, costs = known[order], costs[order]
                 cost = costs[np.searchsorted(known, found)]
                 rows = np.repeat(np.arange(j - i), np.diff(bounds))
-                total = np.bincount(rows, cost[codes], j - i)
+                total = np.bincount(rows, cost[codes], j - i).astype(np.float64)
                 rows = np.repeat(np.arange(j - i), np.diff(word_bounds))
                 at = np.minimum(np.searchsorted(names, hashes), max(len(names) - 1, 0))
                 hit = names[at] == hashes if len(names) else np.zeros(len(hashes), bool)
@@ -377,7 +377,7 @@ def _score(tables, rest):
                 other = hashes[~hit]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(word_bounds) + 1),
-                    pa.array(np.bincount(rows[hit], minlength=j - i)), pa.array(np.bincount(rows, gain, j - i)), pa.array(-total),
+                    pa.array(np.bincount(rows[hit], minlength=j - i)), pa.array(np.bincount(rows, gain, j - i).astype(np.float64)), pa.array(-total, pa.float64()),
                     pa.array(np.diff(bounds)), list_array([other[a:b] for a, b in zip(rare[:-1], rare[1:])])],
                     ["id", "held", "tokens", "known", "gain", "score", "bytes", "rare"])
 
