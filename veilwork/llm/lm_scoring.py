@@ -14,6 +14,7 @@ predicted as if one occurrence had not been seen. A text's score needs each dist
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -224,6 +225,15 @@ def load_tables(rows) -> list[np.ndarray]:
     return tables
 
 
+def packed(tables: list[np.ndarray]) -> list[bytes]:
+    """Tables as they travel: each executor keeps a copy on disk, and little text leaves them mostly empty."""
+    return [zlib.compress(t.tobytes(), 1) for t in tables]
+
+
+def unpacked(tables: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(zlib.decompress(t), np.uint32) for t in tables]
+
+
 class Mixer:
     """Gated weights over the predictors' logits, and the map that refines the sum."""
 
@@ -317,7 +327,7 @@ def learn(mixer: Mixer, units: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
 def _learn(shared):
     """(gram, word so far, n) -> (at, value, mass): the weights and map cells that one task has learned."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = Mixer(shared.value)
+        mixer = Mixer(unpacked(shared.value))
         mass, cells, seen = learn(mixer, ((b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy())
                                           for b in batches))
         if seen:
@@ -349,7 +359,7 @@ def _score(tables, rest):
     """(id, held, text) -> sums per row, and the words that the broadcast counts don't hold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, refined, names, counts = rest.value
-        mixer = Mixer(tables.value, weights, refined)
+        mixer = Mixer(unpacked(tables.value), weights, refined)
         known, costs = np.zeros(0, np.uint64), np.zeros(0)
         for batch in batches:
             for i, j, data, offsets in parts(batch.column(2), 1 << 21):
@@ -409,7 +419,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_
     rows = filled.toArrow()
     tables = load_tables(zip(*[rows.column(c).to_pylist() for c in ("order", "part", "counts")]))
     del rows
-    tables = spark.sparkContext.broadcast(tables)
+    tables = spark.sparkContext.broadcast(packed(tables))
     # In random order: counted units come frequent ones first.
     shuffled = units.sortWithinPartitions(F.xxhash64("key", "more"))
     learned = shuffled.mapInArrow(_learn(tables), "at long, value double, mass double").groupBy("at").agg(F.sum("value"), F.sum("mass"))
