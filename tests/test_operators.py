@@ -26,7 +26,7 @@ def test_running_rank_with_a_hot_key(spark):
     rng = random.Random(1)
     rows = [(i, "hot" if rng.random() < 0.6 else rng.choice(["a", "b", None])) for i in range(3000)]
     df = spark.createDataFrame(rows, "id int, k string")
-    got = {r.id: r["rank"] for r in running_rank(df, ["k"], [F.col("id")], F.floor(F.col("id") / 100), null_keys=True).collect()}
+    got = {r.id: r["rank"] for r in running_rank(df, ["k"], [F.col("id")], F.floor(F.col("id") / 100)).collect()}
     seen = Counter()
     for i, k in rows:
         seen[k] += 1
@@ -35,15 +35,14 @@ def test_running_rank_with_a_hot_key(spark):
     assert sorted(r["rank"] for r in everything.collect()) == list(range(1, 3001))
 
 
-@pytest.mark.parametrize("limit", [10_000, 0], ids=["broadcast", "shuffle"])
-def test_containment_equals_brute_force(spark, limit):
+def test_containment_equals_brute_force(spark):
     rng = random.Random(3)
     word = lambda n: "".join(rng.choice("abcdé😀 ") for _ in range(n))
     texts = [(i, word(rng.randint(0, 200))) for i in range(300)] + [(300, None), (301, "")]
     known = [t[1][5:5 + n] for t in texts[:60] for n in (3, 9, 14, 15, 16, 40) if t[1]] + [word(n) for n in (7, 20, 30)] + ["", " "]
     got = relabel_by_containment(
         spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(k,) for k in known], "match string"),
-        "id", max_strings=limit).collect()
+        "id").collect()
     trimmed = {k.strip(" ") for k in known} - {""}
     assert {r.id: r.label for r in got} == {i: int(any(k in (t or "") for k in trimmed)) for i, t in texts}
 
@@ -167,3 +166,33 @@ def test_log_file(spark):
     spark.createDataFrame(lines, "v string").coalesce(1).write.text(path)
     got = [(r.user, r.action, r.text) for r in read_chat_log(spark, path).orderBy("record_no").collect()]
     assert got == [(None, "allow", "a | b\nmore"), ("7", "block", "[X]")]
+
+
+def test_null_keys_are_a_group(spark):
+    from veilwork.operators.logs import guest_quota
+
+    rows = [(i, None if i % 3 == 0 else "u", None if i % 5 == 0 else f"2024-01-0{i % 7 + 1} 10:00:00") for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, user string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    got = guest_quota(df, "user", "at", "id").collect()
+    for user in (None, "u"):
+        assert sorted(r.message_no for r in got if r.user == user) == list(range(1, sum(u == user for _, u, _ in rows) + 1))
+    labelled = spark.createDataFrame([(i, None if i % 4 == 0 else "a") for i in range(103)], "id int, label string")
+    assert Counter(r.split for r in stratified_split(labelled, "label", "id").collect() if r.label is None) == {"train": 20, "test": 6}
+    assert Counter(r.label for r in oversample(labelled, "label", "id").collect()) == {None: 77, "a": 77}
+
+
+def test_headers_in_two_spellings(spark):
+    from veilwork.sources.sinks import client_agent, client_ip
+
+    maps = ["map('X-Real-IP', '1.1.1.1', 'x-real-ip', '2.2.2.2', 'User-Agent', 'a', 'user-agent', 'b')", "map('x', 'y')", "CAST(NULL AS MAP<STRING, STRING>)"]
+    rows = spark.sql(" UNION ALL ".join(f"SELECT {m} AS h" for m in maps))
+    got = rows.select(client_ip(F.col("h")).alias("ip"), client_agent(F.col("h")).alias("agent")).collect()
+    assert sorted(map(tuple, got)) == [("2.2.2.2", "b"), ("unknown", "unknown"), ("unknown", "unknown")]
+
+
+def test_json_text(spark):
+    from veilwork.operators.cleaning import json_text
+
+    rows = ['"a\\nb"', '"q\\"x"', "12", "1, 2", "plain", "", None, "null", "'x'"]
+    got = spark.createDataFrame([(r,) for r in rows], "v string").select(json_text(F.col("v")).alias("t")).collect()
+    assert [r.t for r in got] == ["a\nb", 'q"x', "12", None, None, None, None, None, None]

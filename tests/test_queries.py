@@ -26,5 +26,6 @@ def test_every_check_has_a_query():
 
 def test_entry(spark):
     df = entry.entry(spark)
-    assert df.columns == ["id", "action", "masked_output", "regex_findings", "secret_confidence", "ml_confidence", "sources"]
+    assert df.columns == ["id", "action", "masked_output", "unmasked", "regex_findings", "pii_entities", "secret_confidence", "ml_confidence", "sources"]
+    assert df.filter("unmasked").count() == 0
     assert df.count() == 200

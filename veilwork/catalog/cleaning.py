@@ -119,15 +119,16 @@ _EVENTS = """o_orderkey AS id, CASE WHEN o_custkey % 5 = 0 THEN NULL WHEN o_cust
  CASE o_orderkey % 5 WHEN 0 THEN '["US SSN","IPv4 Address"]' WHEN 1 THEN '[]' WHEN 2 THEN 'not json' WHEN 3 THEN NULL ELSE '["Email Address"]' END AS findings,
  CASE WHEN o_orderkey % 3 > 0 THEN '10.0.0.' || CAST(o_orderkey % 256 AS STRING) WHEN o_orderkey % 2 = 0 THEN '' END AS ip_address,
  CASE WHEN o_orderkey % 4 > 0 THEN 'agent' END AS user_agent,
- CASE o_orderkey % 3 WHEN 0 THEN '"quoted text"' WHEN 1 THEN 'plain [REDACTED]' ELSE '' END AS raw_content,
+ CASE o_orderkey % 7 WHEN 0 THEN '"quoted text"' WHEN 1 THEN 'plain [REDACTED]' WHEN 2 THEN '"say ' || chr(92) || '"hi' || chr(92) || '" ' || chr(92) || 'u00e9"'
+  WHEN 3 THEN '125' WHEN 4 THEN '[1]' WHEN 5 THEN '1, 2' ELSE '' END AS raw_content,
  CAST(o_orderdate AS STRING) AS created_at"""
 
 
 @query("policy_event_view", f"""SELECT id AS event_id, CASE WHEN user_id IS NULL OR user_id = 0 THEN 'Guest' ELSE CAST(user_id AS VARCHAR) END AS user_id,
   policy_id, action, CASE WHEN findings IS NULL OR findings = '[]' THEN '' WHEN findings = 'not json' THEN 'n' ELSE json_extract_string(findings, '$[0]') END AS findings,
   CASE WHEN coalesce(ip_address, '') = '' THEN 'Unknown' ELSE ip_address END AS ip, coalesce(user_agent, 'Unknown') AS user_agent,
-  CASE WHEN raw_content = '"quoted text"' THEN 'quoted text' ELSE raw_content END AS user_input, substr(created_at, 1, 19) AS created_at
-FROM (SELECT {_EVENTS} FROM orders)""")
+  CASE o_orderkey % 7 WHEN 0 THEN 'quoted text' WHEN 2 THEN 'say "hi" é' ELSE raw_content END AS user_input, substr(created_at, 1, 19) AS created_at
+FROM (SELECT o_orderkey, {_EVENTS} FROM orders)""")
 def event_view(t):
     view = policy_event_view(t.spark.sql(f"SELECT {_EVENTS} FROM {{o}}", o=t.orders))
     return view.withColumn("created_at", F.date_format(parse_time(F.col("created_at")), "yyyy-MM-dd HH:mm:ss"))
@@ -138,7 +139,7 @@ def event_view(t):
   CASE WHEN event_id % 6 = 5 THEN 'unknown' ELSE event_type END AS agent FROM events""")
 def headers(t):
     h = F.expr("""CASE event_id % 6 WHEN 0 THEN map('X-Forwarded-For', '10.1.0.' || CAST(user_id % 256 AS STRING) || ', 10.9.9.9', 'User-Agent', event_type)
-      WHEN 1 THEN map('x-forwarded-for', '', 'CF-Connecting-IP', '203.0.113.' || CAST(user_id % 256 AS STRING), 'X-Real-IP', '1.1.1.1', 'USER-AGENT', event_type)
+      WHEN 1 THEN map('x-forwarded-for', '', 'CF-CONNECTING-IP', '203.0.113.300', 'CF-Connecting-IP', '203.0.113.' || CAST(user_id % 256 AS STRING), 'X-Real-IP', '1.1.1.1', 'x-real-ip', '1.1.1.2', 'USER-AGENT', event_type)
       WHEN 2 THEN map('Forwarded', 'proto=https; For=192.0.2.60;by=10.0.0.1', 'user-agent', event_type)
       WHEN 3 THEN map('forwarded', 'for="[2001:db8::1]"', 'user-agent', event_type)
       WHEN 4 THEN map('Remote-Address', '198.51.100.7', 'user-agent', event_type)

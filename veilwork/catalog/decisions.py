@@ -66,12 +66,16 @@ def entity_flag(t):
                            flag_entity(F.col("labels"), POLICY, "block").alias("blocks"))
 
 
-_DOC_FLAGS = f"""{TEXTS_SQL}, {findings_sql('texts')}, {flags_sql('texts', POLICY)},
-entity AS (SELECT id, labels, {_ENTITY_FLAGS} FROM (SELECT doc_id AS id, {_two_labels('doc_id')} AS labels FROM documents)),
+def _doc_flags(labels: str) -> str:
+    return f"""{TEXTS_SQL}, {findings_sql('texts')}, {flags_sql('texts', POLICY)},
+entity AS (SELECT id, labels, {_ENTITY_FLAGS} FROM (SELECT doc_id AS id, {labels} AS labels FROM documents)),
 scores AS (SELECT doc_id AS id, {unit_sql('secret', 'doc_id')} AS secret_score, {unit_sql('unsafe', 'doc_id')} AS unsafe_score
   FROM documents WHERE doc_id % 5 < 3),
 full_flags AS (SELECT *, coalesce(secret_score, 0) AS ss, coalesce(unsafe_score, 0) AS us
   FROM flags JOIN entity USING (id) LEFT JOIN scores USING (id))"""
+
+
+_DOC_FLAGS = _doc_flags(_two_labels("doc_id"))
 _DOC_ACTION = """CASE WHEN email OR entity_email THEN 'mask' WHEN blocks OR ss >= 0.70 OR us >= 0.80 OR entity_blocks THEN 'block'
   WHEN masks OR entity_masks THEN 'mask' ELSE 'allow' END"""
 
@@ -128,28 +132,54 @@ def scores(t):
     return joined.select("id", F.round("secret_score", 6).alias("secret_score"), F.round("unsafe_score", 6).alias("unsafe_score"))
 
 
-@query("analyze", f"""WITH RECURSIVE {_DOC_FLAGS}, {merged_sql('texts')},
-named AS (SELECT id, string_agg(name, '; ' ORDER BY ordinal) AS names FROM found GROUP BY id)
-SELECT id, {_DOC_ACTION} AS action, CASE WHEN {_DOC_ACTION} = 'mask' THEN out END AS masked_output,
-  coalesce(names, '') AS regex_findings, round(ss, 3) AS secret_confidence, round(us, 3) AS ml_confidence,
+# Entities that a labelling model would give: the first two words of six or more ASCII letters
+# that stand between spaces, each with one of the document's two labels.
+_ENTITIES = "slice(filter(split(text, ' ', -1), x -> x RLIKE '^[A-Za-z]{6,}$'), 1, 2)"
+_ENTITIES_SQL = "list_filter(string_split(text, ' '), lambda x: regexp_full_match(x, '[A-Za-z]{6,}'))[1:2]"
+
+
+def _entity_mask_sql(flags: str, out: str = "out") -> str:
+    """CTE `veiled`(id, out, names): entities masked as whole words in any case, longest first."""
+    edge = "[^\\p{L}\\p{M}\\p{N}_]"
+    step = lambda text, n: f"""CASE WHEN len(e) >= {n} THEN regexp_replace({text}, '(?i)(^|{edge})(' || e[{n}] || ')($|{edge})', '\\1[REDACTED_PII]\\3', 'g') ELSE {text} END"""
+    # Twice each: neighbours share the character between them.
+    return f"""ordered AS (SELECT id, out, entities, list_transform(list_sort(list_transform(list_distinct(entities), lambda x: {{'n': -length(x), 't': x}})), lambda s: s.t) AS e
+  FROM masked JOIN {flags} USING (id)),
+veiled1 AS (SELECT id, entities, e, {step('out', 1)} AS out FROM ordered), veiled2 AS (SELECT id, entities, e, {step('out', 1)} AS out FROM veiled1),
+veiled3 AS (SELECT id, entities, e, {step('out', 2)} AS out FROM veiled2), veiled AS (SELECT id, entities, {step('out', 2)} AS out FROM veiled3)"""
+
+
+@query("analyze", f"""WITH RECURSIVE {_doc_flags(f"({_two_labels('doc_id')})[1:len({_ENTITIES_SQL})]")}, {merged_sql('texts')},
+named AS (SELECT id, string_agg(name, '; ' ORDER BY ordinal) AS names FROM found GROUP BY id),
+tokens AS (SELECT doc_id AS id, {_ENTITIES_SQL} AS entities FROM documents), {_entity_mask_sql('tokens')}
+SELECT id, {_DOC_ACTION} AS action, CASE WHEN {_DOC_ACTION} = 'mask' THEN veiled.out END AS masked_output,
+  {_DOC_ACTION} = 'mask' AND veiled.out = texts.text AS unmasked,
+  coalesce(names, '') AS regex_findings, array_to_string(list_sort(list_distinct(entities)), '; ') AS pii_entities,
+  round(ss, 3) AS secret_confidence, round(us, 3) AS ml_confidence,
   'regex; bert_secret_clf_v2; pii_ner_v3; ' || CASE WHEN unsafe_score IS NULL THEN 'none' ELSE 'ensemble' END AS sources
-FROM full_flags JOIN masked USING (id) LEFT JOIN named USING (id)""")
+FROM full_flags JOIN veiled USING (id) JOIN texts USING (id) LEFT JOIN named USING (id)""")
 def full_analysis(t):
-    """Findings, decision, masked text and confidences of every document."""
-    texts = _with_labels(t.texts().join(_scores(t), "id", "left"))
-    done = analyze(texts, "text", F.col("secret_score"), F.col("unsafe_score"), labels=F.col("labels"))
-    return done.select("id", "action", "masked_output", F.array_join("regex_findings", "; ").alias("regex_findings"),
-                       "secret_confidence", "ml_confidence", F.array_join("sources", "; ").alias("sources"))
+    """Findings, entities, decision, masked text and confidences of every document."""
+    texts = _with_labels(t.texts().join(_scores(t), "id", "left")).withColumn("entities", F.expr(_ENTITIES))
+    labels = F.expr("slice(labels, 1, size(entities))")
+    done = analyze(texts, "text", F.col("secret_score"), F.col("unsafe_score"), entities=F.col("entities"), labels=labels)
+    unmasked = F.coalesce(F.col("masked_output") == F.col("text"), F.lit(False))
+    return done.select("id", "action", "masked_output", unmasked.alias("unmasked"), F.array_join("regex_findings", "; ").alias("regex_findings"),
+                       F.array_join("pii_entities", "; ").alias("pii_entities"), "secret_confidence", "ml_confidence",
+                       F.array_join("sources", "; ").alias("sources"))
 
 
 @query("policy_event_rows", f"""WITH RECURSIVE {CORPUS_SQL}, {findings_sql('corpus')}, {merged_sql('corpus')}, {flags_sql('corpus', POLICY)},
-named AS (SELECT id, string_agg(name, '; ' ORDER BY ordinal) AS names FROM found GROUP BY id)
+named AS (SELECT id, string_agg(name, '; ' ORDER BY ordinal) AS names FROM found GROUP BY id),
+tokens AS (SELECT id, {_ENTITIES_SQL} AS entities FROM corpus), {_entity_mask_sql('tokens')}
 SELECT id, {ACTION_SQL} AS action, CASE {ACTION_SQL} WHEN 'mask' THEN 'chat_message_masked' WHEN 'block' THEN 'chat_message_blocked'
-  ELSE 'chat_message' END AS policy_id, coalesce(names, '') AS findings,
-  CASE {ACTION_SQL} WHEN 'block' THEN '[BLOCKED BY POLICY]' WHEN 'mask' THEN coalesce(nullif(out, ''), '[MASKED]') ELSE text END AS safe_text
-FROM corpus JOIN flags USING (id) JOIN masked USING (id) LEFT JOIN named USING (id)""")
+  ELSE 'chat_message' END AS policy_id,
+  concat_ws('; ', names, nullif(array_to_string(list_sort(list_distinct(entities)), '; '), '')) AS findings,
+  CASE {ACTION_SQL} WHEN 'block' THEN '[BLOCKED BY POLICY]' WHEN 'mask' THEN coalesce(nullif(veiled.out, ''), '[MASKED]') ELSE text END AS safe_text
+FROM corpus JOIN flags USING (id) JOIN veiled USING (id) LEFT JOIN named USING (id)""")
 def event_rows(t):
-    return policy_events(analyze(t.corpus())).select(
+    corpus = t.corpus().withColumn("entities", F.expr(_ENTITIES))
+    return policy_events(analyze(corpus, entities=F.col("entities"))).select(
         "id", "action", "policy_id", F.array_join("all_findings", "; ").alias("findings"), "safe_text")
 
 

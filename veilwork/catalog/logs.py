@@ -30,9 +30,12 @@ def retained(t):
 
 
 @query("guest_quota", """SELECT event_id, user_id, n AS message_no, CASE WHEN n > 15 THEN 'refused' WHEN n - 1 IN (4, 10) THEN 'warn' ELSE 'ok' END AS status
-FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)""")
+FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id) AS n FROM (
+  SELECT event_id, CASE WHEN event_id % 4 > 0 THEN user_id END AS user_id, CASE WHEN event_id % 9 > 0 THEN ts END AS ts FROM events))""")
 def quota(t):
-    messages = t.events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    """Every fourth message is a guest's without a name, every ninth has no time."""
+    messages = t.events.select("event_id", F.expr("IF(event_id % 4 > 0, user_id, NULL)").alias("user_id"),
+                               F.expr("IF(event_id % 9 > 0, CAST(ts AS TIMESTAMP), NULL)").alias("ts"))
     return guest_quota(messages, "user_id", "ts", "event_id").drop("ts")
 
 

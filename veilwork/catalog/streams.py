@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.decisions import decide
 from ..functions.detection import with_findings
-from ..streaming.gateway import (action_counts, analyze_stream, complete_to_table, policy_event_stream,
-                                 read_table_stream, run_to_table, session_stream)
+from ..streaming.gateway import (action_counts, analyze_stream, policy_event_stream, read_table_stream,
+                                 run_to_table, session_stream)
 from ..streaming.quota import guest_quota_stream
 from .base import query
 from .decisions import POLICY
@@ -39,17 +39,19 @@ def _events(t):
 
 
 @query("stream_guest_quota", """SELECT event_id, user_id, n AS message_no, CASE WHEN n > 15 THEN 'refused' WHEN n - 1 IN (4, 10) THEN 'warn' ELSE 'ok' END AS status
-FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)""")
+FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM (
+  SELECT event_id, CASE WHEN event_id % 4 > 0 THEN user_id END AS user_id, ts FROM events))""")
 def quota(t):
-    return guest_quota_stream(_events(t).select("event_id", "user_id", "ts"), "user_id", "ts", "event_id").drop("ts")
+    return guest_quota_stream(_events(t).select("event_id", F.expr("IF(event_id % 4 > 0, user_id, NULL)").alias("user_id"), "ts"), "user_id", "ts", "event_id").drop("ts")
 
 
 @query("stream_sessions", """WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 8 HOUR THEN 0 ELSE 1 END AS opens FROM events),
 n AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session_no FROM g)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start, strftime(max(ts) + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS session_end, count(*) AS events
-FROM n GROUP BY user_id, session_no""")
+FROM n GROUP BY user_id, session_no HAVING max(ts) + INTERVAL 8 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def sessions(t):
-    done = complete_to_table(session_stream(_events(t), "user_id", "ts"), "sessions")
+    """Closed sessions only: those that end before the watermark of the last event."""
+    done = run_to_table(session_stream(_events(t), "user_id", "ts"), "sessions")
     return done.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("session_start", "session_end")})
 
 
@@ -57,9 +59,11 @@ _KIND = "CASE event_type WHEN 'click' THEN 'mail ' || CAST(user_id AS STRING) ||
 
 
 @query("stream_action_counts", """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
-  CASE event_type WHEN 'click' THEN 'mask' WHEN 'error' THEN 'block' ELSE 'allow' END AS action, count(*) AS n FROM events GROUP BY ALL""")
+  CASE event_type WHEN 'click' THEN 'mask' WHEN 'error' THEN 'block' ELSE 'allow' END AS action, count(*) AS n FROM events
+WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY ALL""")
 def counts(t):
+    """Closed windows only: those that end before the watermark of the last event."""
     messages = _events(t).select("ts", F.expr(_KIND).alias("text"))
     decided = with_findings(messages, "text", "f").select("ts", decide(F.col("f")).alias("action"))
-    done = complete_to_table(action_counts(decided, "ts"), "action-counts")
+    done = run_to_table(action_counts(decided, "ts"), "action-counts")
     return done.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))

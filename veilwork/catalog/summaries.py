@@ -44,7 +44,7 @@ def matches(t):
 @query("findings_summary", f"""WITH {CORPUS_SQL}, {findings_sql('corpus')}
 SELECT category, severity, name, count(*) AS findings, count(DISTINCT id) AS texts FROM found GROUP BY ALL""")
 def summary(t):
-    return findings_summary(t.corpus(), "id")
+    return findings_summary(t.corpus())
 
 
 @query("top_terms_log_odds", f"""WITH {LABELLED_SQL},

@@ -116,23 +116,28 @@ def display_fields(ts: Column, role: Column, name: Column, email: Column) -> dic
     }
 
 
+def json_text(value: Column) -> Column:
+    """The text of a JSON value: strings decoded, others as written; null if it is no JSON or null."""
+    listed = F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<string>", {"allowSingleQuotes": "false"})
+    return F.when(F.size(listed) == 1, F.get(listed, 0))
+
+
 def policy_event_view(events: DataFrame) -> DataFrame:
-    """Policy events for display: first finding only, readable defaults, times parsed."""
-    found = F.col("findings")
-    decoded = F.from_json(found, "array<string>")
+    """Policy events for display: first finding only, readable defaults, times parsed.
+
+    A JSON list of findings shows its first one, other text its first character. Raw content
+    that is JSON is decoded, other content stays as it is.
+    """
+    found, raw, user = F.col("findings"), F.col("raw_content"), F.col("user_id")
+    decoded = F.from_json(found, "array<string>", {"allowSingleQuotes": "false"})
     is_list = F.trim(found).startswith("[") & decoded.isNotNull()
+    one = F.when(F.trim(found).startswith('"'), json_text(found))
     first = F.when(F.coalesce(found, F.lit("")) == "", "").when(
-        is_list, F.coalesce(F.get(decoded, 0), F.lit(""))).otherwise(F.substring(found, 1, 1))
-    user = F.col("user_id")
+        is_list, F.coalesce(F.get(decoded, 0), F.lit(""))).otherwise(F.substring(F.coalesce(one, found), 1, 1))
     return events.select(
         F.col("id").alias("event_id"),
         F.when(user.isNull() | (user == 0), "Guest").otherwise(user.cast("string")).alias("user_id"),
         "policy_id", "action", first.alias("findings"),
         F.coalesce(first_text(F.col("ip_address")), F.lit("Unknown")).alias("ip"),
         F.coalesce(first_text(F.col("user_agent")), F.lit("Unknown")).alias("user_agent"),
-        F.coalesce(F.regexp_extract(F.col("raw_content"), r'^\s*"([^"\\]*)"\s*$', 1), F.lit("")).alias("_json_text"),
-        F.col("raw_content"), "created_at",
-    ).select(
-        "event_id", "user_id", "policy_id", "action", "findings", "ip", "user_agent",
-        F.when(F.col("raw_content").rlike(r'^\s*"[^"\\]*"\s*$'), F.col("_json_text")).otherwise(
-            F.col("raw_content")).alias("user_input"), "created_at")
+        F.coalesce(json_text(raw), raw).alias("user_input"), "created_at")

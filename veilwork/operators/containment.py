@@ -1,46 +1,61 @@
-"""Which texts contain any of a set of known strings, without comparing all with all."""
+"""Which texts contain any of a set of known strings, by equi joins on shared pieces."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
-# Known strings up to these bounds travel to every task; beyond them both sides are shuffled.
-MAX_STRINGS = 200_000
-MAX_CHARS = 16_000_000
+from ..session import Scratch
 
-# Shared pieces of the shuffled way: pieces of GRAM characters, of which every run of WINDOW
-# neighbours keeps the one with the lowest hash. A known string of at least GRAM + WINDOW - 1
-# characters has a whole run, so any text that contains the string keeps the same piece.
+# Pieces are GRAM characters long. Of every run of WINDOW neighbouring pieces the one with the
+# lowest hash is kept, so a text that contains a string of GRAM + WINDOW - 1 characters keeps
+# one of the string's pieces. Shorter strings have a piece per length: the string itself.
 GRAM, WINDOW = 8, 8
 SHORT = GRAM + WINDOW - 1
-
-
-def _piece_hashes(text: str) -> np.ndarray:
-    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    if len(codes) < GRAM:
-        return np.empty(0, dtype=np.int64)
-    value = np.zeros(len(codes) - GRAM + 1, dtype=np.uint64)
-    for i in range(GRAM):
-        value = value * np.uint64(1099511628211) + codes[i:len(codes) - GRAM + 1 + i]
+_MULTIPLIER = 0x5851F42D4C957F2D
+
+
+def _piece_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of `size` characters, in order, from running sums: linear at any size."""
+    if len(codes) < size:
+        return np.empty(0, np.uint64)
+    powers = np.full(len(codes), _MULTIPLIER, np.uint64)
+    powers[0] = 1
+    np.multiply.accumulate(powers, out=powers)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * powers)))
+    powers[:] = pow(_MULTIPLIER, -1, 1 << 64)
+    powers[0] = 1
+    np.multiply.accumulate(powers, out=powers)
+    value = (total[size:] - total[:-size]) * powers[:len(codes) - size + 1] + np.uint64(size)
     value ^= value >> np.uint64(29)
     value *= np.uint64(0xBF58476D1CE4E5B9)
-    return (value ^ (value >> np.uint64(32))).view(np.int64)
+    return value ^ (value >> np.uint64(32))
+
+
+def _kept(codes: np.ndarray, lengths: list[int]) -> np.ndarray:
+    """Distinct lowest hashes over the runs of pieces, and all hashes of the short lengths."""
+    found = [_piece_hashes(codes, n) for n in lengths]
+    pieces = _piece_hashes(codes, GRAM)
+    if len(pieces) >= WINDOW:
+        found.append(np.lib.stride_tricks.sliding_window_view(pieces, WINDOW).min(axis=1))
+    return np.unique(np.concatenate(found)).view(np.int64) if found else np.empty(0, np.int64)
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def kept_pieces(texts: pd.Series) -> pd.Series:
-    """Distinct lowest piece hashes over all runs of a text; none if it is too short for a run."""
-    def kept(text):
-        hashes = _piece_hashes(text) if text else np.empty(0, dtype=np.int64)
-        if len(hashes) < WINDOW:
-            return []
-        return np.unique(np.lib.stride_tricks.sliding_window_view(hashes, WINDOW).min(axis=1))
+def _pieces(lengths: list[int], own: bool):
+    """(row, text) -> (row, piece); `own`: a short string's only piece is itself."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in zip(batch.column(0), batch.column(1)):
+                codes = np.frombuffer((text.as_py() or "").encode("utf-32-le"), np.uint32).astype(np.uint64)
+                some = ([len(codes)] if len(codes) < SHORT else []) if own else lengths
+                kept = _kept(codes, some)
+                if len(kept):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), row.as_py(), np.int64)), pa.array(kept)], ["row", "piece"])
 
-    return texts.map(kept)
+    return run
 
 
 def known_strings(matches: DataFrame, column: str = "match") -> DataFrame:
@@ -48,67 +63,31 @@ def known_strings(matches: DataFrame, column: str = "match") -> DataFrame:
     return matches.select(F.trim(column).alias("known")).filter(F.col("known") != "").distinct()
 
 
-def _by_broadcast(texts: DataFrame, key: str, text: str, strings: list[str]) -> DataFrame:
-    """One pass over the texts with an automaton of all strings."""
-    shared = texts.sparkSession.sparkContext.broadcast(strings)
-    schema = T.StructType([texts.schema[key], T.StructField("label", T.IntegerType())])
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for s in shared.value:
-            automaton.add_word(s, True)
-        automaton.make_automaton()
-        for batch in batches:
-            hit = [int(next(automaton.iter(t), None) is not None) if t else 0 for t in batch[text]]
-            yield pd.DataFrame({key: batch[key], "label": np.array(hit, dtype="int32")})
-
-    return texts.select(key, text).mapInPandas(scan, schema)
-
-
-def _candidates_long(texts: DataFrame, key: str, text: str, known: DataFrame) -> DataFrame:
-    """(key, known) pairs that share the known string's rarest kept piece."""
-    pieces = known.select("known", F.explode(kept_pieces("known")).alias("piece"))
-    spread = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("shared"))
-    anchors = pieces.join(spread, "piece").groupBy("known").agg(
-        F.min_by("piece", F.struct("shared", "piece")).alias("piece"))
-    of_texts = texts.select(key, F.explode(kept_pieces(text)).alias("piece"))
-    return of_texts.join(anchors, "piece").select(key, "known")
-
-
-def _hits_short(texts: DataFrame, key: str, text: str, known: DataFrame, lengths: list[int]) -> DataFrame:
-    """Keys of texts with a substring equal to a short known string: an equi join per length."""
-    def cut(n: int):
-        last = F.greatest(F.length(text) - n + 1, F.lit(0))
-        return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(F.col(text), i, F.lit(n))))
-
-    pieces = F.array_distinct(F.flatten(F.array(*[F.coalesce(cut(n), F.array().cast("array<string>")) for n in lengths])))
-    return texts.select(key, F.explode(pieces).alias("known")).join(known, "known", "left_semi").select(key).distinct()
-
-
-def _by_shuffle(texts: DataFrame, key: str, text: str, known: DataFrame) -> DataFrame:
-    """Equi joins on shared pieces, then a check of each candidate pair."""
-    long_known = known.filter(F.length("known") >= SHORT)
-    short_known = known.filter(F.length("known") < SHORT)
-    lengths = sorted(r[0] for r in short_known.select(F.length("known")).distinct().collect())  # at most SHORT values
-    pairs = _candidates_long(texts, key, text, long_known)
-    verified = pairs.join(texts.select(key, text), key).filter(F.contains(F.col(text), F.col("known")))
-    hits = verified.select(key).distinct()
-    if lengths:
-        hits = hits.unionByName(_hits_short(texts, key, text, short_known, lengths)).distinct()
-    marked = texts.select(key).join(hits.withColumn("_hit", F.lit(1)), key, "left")
-    return marked.select(key, F.coalesce("_hit", F.lit(0)).alias("label"))
-
-
-def relabel_by_containment(texts: DataFrame, matches: DataFrame, key: str, text: str = "text",
-                           match: str = "match", max_strings: int = MAX_STRINGS,
-                           max_chars: int = MAX_CHARS) -> DataFrame:
-    """(key, label): 1 if the text contains any known string as it is written, else 0."""
-    known = known_strings(matches, match)
-    count, chars = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("known")), F.lit(0))).first()
-    if count == 0:
-        return texts.select(key, F.lit(0).alias("label"))
-    if count <= max_strings and chars <= max_chars:
-        return _by_broadcast(texts, key, text, [r[0] for r in known.collect()])
-    return _by_shuffle(texts, key, text, known)
+def relabel_by_containment(texts: DataFrame, matches: DataFrame, key: str, text: str = "text", match: str = "match") -> DataFrame:
+    """(key, label) per text: 1 if it contains any known string as it is written, else 0.
+
+    Each known string is looked for by the one of its pieces that the fewest texts have, so a
+    line that stands in many texts is no join key unless a string consists of such lines alone;
+    then Spark splits it. Candidates are confirmed by the strings themselves. One way at all sizes:
+    nothing is collected but the lengths of short strings, which are less than SHORT numbers.
+    """
+    spark = texts.sparkSession
+    scratch = Scratch(spark, "containment")
+    known = scratch.table(known_strings(matches, match).withColumn("row", F.monotonically_increasing_id()), "known")
+    bodies = scratch.table(texts.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text")), "texts")
+    lengths = sorted(r[0] for r in known.select(F.length("known")).filter(F.length("known") < SHORT).distinct().collect())
+    wanted = scratch.table(known.select("row", "known").mapInArrow(_pieces([], True), "row long, piece long"), "wanted")
+    # Only pieces of known strings are kept of the texts'.
+    shared = bodies.select("row", "text").mapInArrow(_pieces(lengths, False), "row long, piece long").join(
+        wanted.select("piece").distinct(), "piece", "left_semi")
+    shared = scratch.table(shared, "shared")
+    often = shared.groupBy("piece").agg(F.count(F.lit(1)).alias("texts"))
+    # A string one of whose pieces no text has is in none.
+    rated = wanted.join(often, "piece", "left")
+    anchors = rated.groupBy("row").agg(F.min_by("piece", F.struct(F.coalesce("texts", F.lit(0)).alias("n"), "piece")).alias("piece"),
+                                       F.count_if(F.col("texts").isNull()).alias("absent")).filter("absent = 0")
+    pairs = shared.join(anchors.select(F.col("row").alias("string"), "piece"), "piece").select("row", "string")
+    candidates = pairs.join(known.select(F.col("row").alias("string"), "known"), "string").join(bodies.select("row", "text"), "row")
+    hits = candidates.filter(F.contains("text", F.col("known"))).select("row").distinct()
+    marked = bodies.select("row", "key").join(hits.withColumn("_hit", F.lit(1)), "row", "left")
+    return marked.select(F.col("key").alias(key), F.coalesce("_hit", F.lit(0)).alias("label"))

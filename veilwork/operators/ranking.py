@@ -24,26 +24,23 @@ def hash_unit(key: Column) -> Column:
 
 
 def running_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column,
-                 out: str = "rank", null_keys: bool = False) -> DataFrame:
-    """1-based rank of each row within its key group.
+                 out: str = "rank") -> DataFrame:
+    """1-based rank of each row within its key group; null keys are a group like any other.
 
-    `bucket` must not decrease along `order`. Rows are ranked inside (keys, bucket) only and
-    shifted by the sizes of the earlier buckets, so a key that holds a third of all rows is
-    still spread over as many tasks as it has buckets.
+    `bucket` must not decrease along `order` (null comes first, as Spark sorts it). Rows are
+    ranked inside (keys, bucket) only and shifted by the sizes of the earlier buckets, so a key
+    that holds a third of all rows is still spread over as many tasks as it has buckets.
     """
-    bucketed = df.withColumn("_bucket", bucket)
-    by = list(keys)
-    if null_keys:
-        bucketed = bucketed.withColumn("_group", F.to_json(F.struct(*keys)))
-        by = ["_group"]
-    sizes = bucketed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(*by, "_bucket", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_shift"))
-    inner = Window.partitionBy(*by, "_bucket").orderBy(*order)
-    ranked = bucketed.withColumn("_inner", F.row_number().over(inner))
-    joined = ranked.join(shifts, [*by, "_bucket"])
-    return joined.withColumn(out, F.col("_shift") + F.col("_inner")).drop(
-        "_bucket", "_size", "_shift", "_inner", "_group")
+    # Keys and bucket as one struct: structs are equal where their nulls are, so no row is lost.
+    cell = F.struct(F.struct(F.lit(0).alias("_"), *keys).alias("group"), bucket.alias("bucket"))
+    celled = df.withColumn("_cell", cell)
+    sizes = celled.groupBy("_cell").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.partitionBy("_cell.group").orderBy("_cell.bucket").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("_cell", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_shift"))
+    inner = Window.partitionBy("_cell").orderBy(*order)
+    ranked = celled.withColumn("_inner", F.row_number().over(inner))
+    joined = ranked.join(shifts, "_cell")
+    return joined.withColumn(out, F.col("_shift") + F.col("_inner")).drop("_cell", "_size", "_shift", "_inner")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,

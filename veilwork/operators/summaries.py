@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.detection import long_findings
+from ..functions.detection import with_findings
 
 
 def class_counts(df: DataFrame, label: str = "label") -> DataFrame:
@@ -18,12 +18,16 @@ def class_balance(df: DataFrame, source: str, label: str, classes: Sequence[str]
     return df.groupBy(source).pivot(label, list(classes)).agg(F.count(F.lit(1))).na.fill(0)
 
 
-def findings_summary(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
-    """Findings by category, severity and name; texts by how many they touch."""
-    found = long_findings(df, id_col, text)
-    per_text = found.groupBy(id_col, "category", "severity", "name").agg(F.count(F.lit(1)).alias("n"))
-    return per_text.groupBy("category", "severity", "name").agg(
-        F.sum("n").alias("findings"), F.count(F.lit(1)).alias("texts"))
+def findings_summary(df: DataFrame, text: str = "text") -> DataFrame:
+    """Findings by category, severity and name; texts by how many they touch.
+
+    Counted within each text first, so what is shuffled is a row per kind and task.
+    """
+    found = with_findings(df, text, "_found").select("_found")
+    kinds = F.array_distinct(F.transform("_found", lambda f: F.struct(f["category"].alias("category"), f["severity"].alias("severity"), f["name"].alias("name"))))
+    counted = F.transform(kinds, lambda k: F.struct(k.alias("kind"), F.size(F.filter("_found", lambda f: f["name"] == k["name"])).alias("n")))
+    return found.select(F.explode(counted).alias("c")).groupBy("c.kind").agg(
+        F.sum("c.n").alias("findings"), F.count(F.lit(1)).alias("texts")).select("kind.*", "findings", "texts")
 
 
 def top_terms(weights: DataFrame, term: str, weight: str, n: int = 20) -> DataFrame:

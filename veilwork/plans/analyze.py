@@ -26,8 +26,11 @@ def analyze(df: DataFrame, text: str = "text", secret_score: Column | None = Non
     """Adds findings, action, masked output, confidences, entities and sources to each row.
 
     Row by row, without a shuffle; the same code serves batch and streaming frames. Scores,
-    entities and labels come from other models as columns and may be absent.
+    entities and labels come from other models as columns and may be absent; labels come with
+    the entities they belong to, so that what a label asks to mask can be masked.
     """
+    if labels is not None and entities is None:
+        raise ValueError("labels need the entities they belong to")
     found, body = F.col("findings"), F.col(text)
     entity_list = F.coalesce(entities, no_labels()) if entities is not None else no_labels()
     action = decide(found, secret_score, unsafe_score, labels, policy)

@@ -7,9 +7,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.textnorm import first_text
 
 
+#: Tasks, and so files, that one day of an append is dealt to.
+FILES_PER_DAY = 8
+
+
 def append_table(df: DataFrame, path: str, time_col: str = "created_at") -> None:
-    """Append to a Parquet table that is partitioned by day, so that reads can skip days."""
-    df.withColumn("day", F.to_date(time_col)).write.mode("append").partitionBy("day").parquet(path)
+    """Append to a Parquet table that is partitioned by day, so that reads can skip days.
+
+    Rows are placed by day and a salt first: a day gets FILES_PER_DAY files at most, and a day
+    that holds most rows is still several tasks.
+    """
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if df.schema[c].dataType.typeName() != "map"]), F.lit(FILES_PER_DAY))
+    dated = df.withColumn("day", F.to_date(time_col))
+    dated.repartition(F.col("day"), salt).write.mode("append").partitionBy("day").parquet(path)
 
 
 def chat_message_rows(df: DataFrame, user_id: Column, role: Column, content: Column, at: Column) -> DataFrame:
@@ -44,11 +54,16 @@ CLIENT_HEADERS = [
 # ---------------------------------------------------------------------------
 
 
+def header(headers: Column, name: str) -> Column:
+    """A header's value by its name in lower case; of several spellings the last counts."""
+    found = F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == name)
+    return F.try_element_at(found, F.lit(-1))["value"]
+
+
 def client_ip(headers: Column) -> Column:
     """Client address from a header map of any letter case; `unknown` if there is none."""
-    lower = F.map_from_entries(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]), e["value"])))
-    direct = first_text(*[F.element_at(lower, F.lit(h)) for h in CLIENT_HEADERS])
-    forwarded = F.regexp_extract(F.element_at(lower, F.lit("forwarded")), r"(?i)(?:^|;)\s*for=([^;]*)", 1)
+    direct = first_text(*[header(headers, h) for h in CLIENT_HEADERS])
+    forwarded = F.regexp_extract(header(headers, "forwarded"), r"(?i)(?:^|;)\s*for=([^;]*)", 1)
     forwarded = F.btrim(F.btrim(F.trim(forwarded), F.lit('"')), F.lit("[]"))
     ip = first_text(direct, forwarded)
     first = F.when(F.contains(ip, F.lit(",")), F.trim(F.split(ip, ",", -1)[0])).otherwise(ip)
@@ -56,8 +71,7 @@ def client_ip(headers: Column) -> Column:
 
 
 def client_agent(headers: Column) -> Column:
-    lower = F.map_from_entries(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]), e["value"])))
-    return F.coalesce(F.element_at(lower, F.lit("user-agent")), F.lit("unknown"))
+    return F.coalesce(header(headers, "user-agent"), F.lit("unknown"))
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:

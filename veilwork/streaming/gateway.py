@@ -64,15 +64,3 @@ def run_batches(stream: DataFrame, label: str, build) -> DataFrame:
      .trigger(availableNow=True).start().awaitTermination())
     return spark.read.parquet(path).drop("batch_id")
 
-
-def complete_to_table(stream: DataFrame, label: str) -> DataFrame:
-    """The final result of an aggregation that is still open, via its last complete output."""
-    spark = stream.sparkSession
-    path, state = fresh_dir(spark, label), fresh_dir(spark, f"{label}-state")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
-
-    (stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", state)
-     .trigger(availableNow=True).start().awaitTermination())
-    return spark.read.schema(stream.schema).parquet(path)

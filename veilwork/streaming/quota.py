@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.logs import GUEST_LIMIT, WARN_AT, guest_quota
-from ..session import fresh_dir
+from ..session import fresh_dir, remove
 from .gateway import run_batches
 
 
@@ -13,20 +13,26 @@ def guest_quota_stream(messages: DataFrame, guest: str, at: str, key: str, limit
     """ok / warn / refused for every message, in order of arrival and, within a batch, of time.
 
     A batch numbers its messages with the batch operator, which splits busy guests, and adds
-    what earlier batches counted. Each batch leaves one row per guest it saw, under its own
-    id; earlier counts are sums over those rows, so a repeated batch counts once.
+    what earlier batches counted; messages without a guest's name count as one guest. Each batch
+    leaves the totals so far under its own id and reads those of the batch before only, so a
+    repeated batch counts once and the work does not grow with the number of batches.
     """
     spark = messages.sparkSession
     counts = fresh_dir(spark, "quota-counts")
+    schema = messages.select(F.col(guest).alias("_guest"), F.lit(0).cast("long").alias("_before")).schema
 
-    def earlier(batch_id: int) -> DataFrame:
-        seen = spark.read.parquet(counts).filter(F.col("batch_id") < batch_id)
-        return seen.groupBy(guest).agg(F.sum("n").alias("_before"))
+    def totals(batch_id: int) -> DataFrame:
+        if batch_id < 0:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(f"{counts}/{batch_id}")
 
     def build(batch: DataFrame, batch_id: int, path: str) -> DataFrame:
-        batch.groupBy(guest).agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(
-            f"{counts}/batch_id={batch_id}")
-        numbered = guest_quota(batch, guest, at, key, limit).join(earlier(batch_id), guest, "left")
+        before = totals(batch_id - 1)
+        seen = batch.groupBy(F.col(guest).alias("_guest")).agg(F.count(F.lit(1)).alias("_before"))
+        before.unionByName(seen).groupBy("_guest").agg(F.sum("_before").alias("_before")).write.mode("overwrite").parquet(f"{counts}/{batch_id}")
+        if batch_id > 1:
+            remove(spark, f"{counts}/{batch_id - 2}")
+        numbered = guest_quota(batch, guest, at, key, limit).join(before, F.col(guest).eqNullSafe(F.col("_guest")), "left").drop("_guest")
         total = F.col("message_no") + F.coalesce("_before", F.lit(0))
         status = F.when(total > limit, "refused").when((total - 1).isin(*WARN_AT), "warn").otherwise("ok")
         return numbered.withColumns({"message_no": total, "status": status}).drop("_before")
