@@ -19,9 +19,9 @@ from .base import CORPUS_SQL, SCORED_SQL, TEXTS_SQL, query, quote
 from .finding_sql import ACTION_SQL, findings_sql, flags_sql, merged_sql
 from .decisions import POLICY
 
-# A JSON line per document; every seventh is cut short.
-_LINE = """CASE WHEN doc_id % 7 = 0 THEN '{"id": ' || CAST(doc_id AS STRING) || ', "text": "' || lang
- ELSE '{"id": ' || CAST(doc_id AS STRING) || ', "text": "' || lang || ' ' || source || '", "label": "safe"}' END"""
+# A JSON line per document with its whole text; every seventh is cut short.
+_OBJECT = "to_json(struct(doc_id AS id, text, 'safe' AS label))"
+_LINE = f"CASE WHEN doc_id % 7 = 0 THEN left({_OBJECT}, length({_OBJECT}) DIV 2) ELSE {_OBJECT} END"
 _JSON = "id BIGINT, text STRING, label STRING"
 
 
@@ -29,20 +29,20 @@ def _lines(t):
     return t.documents.select("doc_id", "source", F.expr(_LINE).alias("line"))
 
 
-@query("read_jsonl_tolerant", "SELECT doc_id AS id, lang || ' ' || source AS text, 'safe' AS label FROM documents WHERE doc_id % 7 <> 0")
+@query("read_jsonl_tolerant", "SELECT doc_id AS id, text, 'safe' AS label FROM documents WHERE doc_id % 7 <> 0")
 def tolerant(t):
     path = fresh_dir(t.spark, "lines")
     write_lines(_lines(t), F.col("line"), path)
     return read_jsonl(t.spark, path, _JSON)
 
 
-@query("jsonl_label_override", "SELECT doc_id, lang || ' ' || source AS text, 'unsafe' AS label FROM documents WHERE doc_id % 7 <> 0")
+@query("jsonl_label_override", "SELECT doc_id, text, 'unsafe' AS label FROM documents WHERE doc_id % 7 <> 0")
 def override(t):
     parsed = parse_lines(_lines(t).select("doc_id", "line"), F.col("line"), "text STRING, label STRING")
     return override_label(parsed, "unsafe").drop("line")
 
 
-@query("read_first_n_lines", """SELECT source, doc_id, lang || ' ' || source AS text FROM (
+@query("read_first_n_lines", """SELECT source, doc_id, text FROM (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS line FROM documents) WHERE line <= 20 AND doc_id % 7 <> 0""")
 def first_n(t):
     return parse_lines(first_lines(_lines(t), "source", "doc_id", 20), F.col("line"), "text STRING").drop("line")
@@ -60,7 +60,7 @@ def union(t):
     })
 
 
-@query("merge_shards", "SELECT doc_id AS id, lang || ' ' || source AS text FROM documents WHERE doc_id % 7 <> 0 AND lang IN ('en', 'fr')")
+@query("merge_shards", "SELECT doc_id AS id, text FROM documents WHERE doc_id % 7 <> 0 AND lang IN ('en', 'fr')")
 def shards(t):
     root = fresh_dir(t.spark, "shards")
     for lang, name in [("en", "balanced_en_v2.jsonl"), ("fr", "balanced_fr_v2.jsonl"), ("de", "other_de.jsonl")]:
