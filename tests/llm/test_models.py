@@ -77,33 +77,73 @@ def test_lm_scores_without_learning(spark):
 def test_mixer_is_a_distribution():
     """After any bytes the probabilities of all next bytes add up to one, also after online learning."""
     rng = np.random.default_rng(1)
-    tables = [rng.integers(0, 30, 1 << b).astype(np.uint32) | (rng.integers(0, 30, 1 << b).astype(np.uint32) << np.uint32(16)) for b in lm.TABLE_BITS]
-    mixer = lm.Mixer(tables)
+    learning = [rng.integers(0, 30, 2 << b).astype(np.uint32) for b in lm.TABLE_BITS]
     grams, prefixes = rng.integers(0, 1 << 48, 500).astype(np.uint64), rng.integers(0, 1 << 60, 500).astype(np.uint64)
-    mass, cells, seen = lm.learn(mixer, [(grams, prefixes, rng.integers(1, 9, 500))], step=64)
-    assert seen > 0
-    mixer.refined = (cells[:, 0] + 1) / (cells[:, 1] + 2)
+    online = lm.Online(step=64)
+    online.learn(learning, grams, prefixes, rng.integers(1, 9, 500))
+    assert online.seen > 0
+    tables = [t.astype(np.uint16).view(np.uint32) for t in learning]
+    weights, refined = lm._averaged(zip(*(x.tolist() for x in online.learned())))
+    mixer = lm.Mixer(tables, weights, refined)
     for k in range(5):
         nexts = (grams[k] & ~np.uint64(255)) | np.arange(256, dtype=np.uint64)
         assert abs((10 ** -mixer.costs(nexts, np.full(256, prefixes[k]))).sum() - 1) < 1e-4
 
 
+def units_of(rows):
+    stream, bounds, _, _ = lm.byte_stream(*text_bytes(pa.array(rows)))
+    return lm.byte_units(stream, bounds, lm.Powers())
+
+
 def test_online_learning_lowers_the_cost():
-    text = pa.array([t for _, t, _ in texts(150)])
-    batches = list(lm._count(iter([pa.RecordBatch.from_arrays([text], ["text"])])))
-    units = pa.Table.from_batches(batches).to_pandas()
-    units = units[units.kind == 0].sample(frac=1, random_state=1)
-    grams, prefixes, n = units.key.to_numpy().view(np.uint64), units.more.to_numpy().view(np.uint64), units.n.to_numpy()
-    tables, (nodes, bits) = [], lm.bit_paths(grams)
-    for order, size in enumerate(lm.TABLE_BITS):
-        place = lm.slots(order, lm.contexts(order, grams, prefixes), nodes) * 2 + bits.astype(np.int64)
-        tables.append(np.bincount(place.ravel(), np.repeat(n, 8), 2 << size).astype(np.uint16).view(np.uint32))
-    mixer = lm.Mixer(tables)
-    stream, bounds, _, _ = lm.byte_stream(*text_bytes(pa.array([t for _, t, _ in texts(60, 9)])))
-    others = lm.byte_units(stream, bounds)
-    before = mixer.costs(*others).sum()
-    lm.learn(mixer, [(grams, prefixes, n)], step=128)
-    assert mixer.costs(*others).sum() < 0.95 * before
+    tables = [np.zeros(2 << b, np.uint32) for b in lm.TABLE_BITS]
+    tallies = lm.Tallies(1)
+    grams, prefixes = units_of([t for _, t, _ in texts(150)])
+    tallies.add(lm.unit_keys(grams, prefixes), grams, prefixes)
+    (_, n, grams, prefixes), = tallies.flush(True)
+    lm.count_bits(tables, grams, prefixes, n)
+    after = [t.astype(np.uint16).view(np.uint32) for t in tables]
+    others = units_of([t for _, t, _ in texts(60, 9)])
+    online = lm.Online(step=128)
+    order = np.random.default_rng(1).permutation(len(n))
+    online.learn(tables, grams[order], prefixes[order], n[order])
+    assert lm.Mixer(after, online.mixer.weights).costs(*others).sum() < 0.95 * lm.Mixer(after).costs(*others).sum()
+
+
+def test_large_counts_are_scaled_not_wrapped():
+    counts = np.zeros(2 << lm.PART_BITS, np.uint32)
+    counts[:8] = [3_000_000, 1, 70_001, 70_001, 65_535, 0, 200_003, 5]
+    rows = [pa.RecordBatch.from_arrays([pa.array([0, 0], pa.int32()), pa.array([1, 1], pa.int32()), pa.array([lm.zlib.compress(counts.tobytes(), 1)] * 2)],
+                                       ["order", "part", "counts"])]
+    (row,) = lm._add_up(iter(rows))
+    pairs = np.frombuffer(lm.zlib.decompress(row.column(2)[0].as_py()), "<u2")[:8].tolist()
+    assert pairs[0] == 65_535 and pairs[1] == 1 and pairs[2] == pairs[3] == 65_535 and pairs[4] == 65_535 and pairs[6] == 65_535 and pairs[7] == 2
+
+
+def test_units_look_back_within_their_row():
+    rows = ["Ab c", None, "xyz uvwxyz", ""]
+    grams, _ = units_of(rows)
+    stream = [b for t in rows for b in (" ".join(words_of(t)) + "\n").encode()]
+    expected = []
+    for t in rows:
+        text = b"\n" * 5 + (" ".join(words_of(t)) + "\n").encode()
+        expected += [int.from_bytes(text[k:k + 6], "big") for k in range(len(text) - 5)]
+    assert grams.tolist() == expected and len(stream) == len(expected)
+
+
+def test_runs_and_tallies():
+    rng = np.random.default_rng(3)
+    keys = lm.mix(rng.integers(0, 500, 5000).astype(np.uint64))
+    tallies = lm.Tallies(10)
+    counts = Counter()
+    for some in np.split(keys, 10):
+        tallies.add(some, some + np.uint64(1))
+        for found, n, more in tallies.flush():
+            counts.update(dict(zip(found.tolist(), n.tolist())))
+            assert (more == found + np.uint64(1)).all()
+    for found, n, _ in tallies.flush(True):
+        counts.update(dict(zip(found.tolist(), n.tolist())))
+    assert counts == Counter(keys.tolist())
 
 
 def test_word_hashes_follow_the_words():

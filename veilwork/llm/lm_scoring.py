@@ -6,10 +6,11 @@ word so far. A predictor is a table of bit counts by hashed context. Their predi
 logits, are added with weights; a gate chooses the weight set by the longest contexts met, how
 often and how surely. An adaptive map refines the sum.
 
-Training in Spark: (1) all distinct units - a byte, the five before it, the word so far - of the
-learning texts are counted, which grows with the corpus; (2) their bits fill the tables, one task
-per range of slots; (3) the weights learn online in one pass over the counted units, each
-predicted as if one occurrence had not been seen. A text's score needs each distinct unit once.
+Training is one pass in Spark. Each task counts the bits of its texts per slot and learns weights
+online, block by block of units - a byte, the five before it, the word so far - each predicted as
+if one occurrence had not been seen. Tasks that own a range of slots then add up what all others
+counted, which grows with the corpus, and the weights are averaged. A text's score needs each
+distinct unit of a task once.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -26,7 +26,8 @@ from ..session import Scratch
 from .kernel import list_array, lower_table, mix, parts, range_hashes, words
 
 #: Slots of each context's table, as powers of two: the model's fixed size, 71 MB. The last is
-#: that of the word so far.
+#: that of the word so far. A context has a run of 16 slots from a hashed place on for a byte's
+#: first half and one for its second half, so a byte's eight bits touch two places in memory.
 TABLE_BITS = (16, 20, 22, 22, 22, 22)
 #: Slots that one task of the filling step owns, as a power of two.
 PART_BITS = 14
@@ -36,7 +37,7 @@ _ORDERS = len(TABLE_BITS)
 _BYTES = _ORDERS - 1
 _GATES = (_BYTES + 1) * 5 * 2 * 5 * 8
 _STEPS, _REACH = 33, 8.0
-_GRAM, _WORD, _TEXT = 0, 1, 2
+_PART, _WORD, _TEXT, _WEIGHT = 0, 1, 2, 3
 
 
 def byte_stream(data: np.ndarray, offsets: np.ndarray):
@@ -57,29 +58,59 @@ def byte_stream(data: np.ndarray, offsets: np.ndarray):
     return stream, np.concatenate(([0], stops[last])), hashes, bounds
 
 
-def byte_units(stream: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Powers:
+    """Powers of a multiplier and of its inverse modulo 2 ** 64, kept for the next slice."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __call__(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < size:
+            base = 0x9E3779B97F4A7C15
+            for name, factor in (("up", base), ("down", pow(base, -1, 1 << 64))):
+                powers = np.full(size, factor, np.uint64)
+                powers[0] = 1
+                setattr(self, name, np.multiply.accumulate(powers))
+        return self.up[:size], self.down[:size]
+
+
+def byte_units(stream: np.ndarray, bounds: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
     """Per byte the 6-gram that ends there (line feeds stand before a row) and a hash of its word so far."""
     wide = stream.astype(np.uint64)
-    into = np.arange(len(stream)) - np.repeat(bounds[:-1], np.diff(bounds))
     grams = wide.copy()
     for back in range(1, _BYTES + 1):
-        earlier = np.full(len(wide), 10, np.uint64)
-        earlier[back:] = wide[:-back] if len(wide) > back else wide[:0]
-        earlier[into < back] = 10
-        grams |= earlier << np.uint64(8 * back)
+        grams[back:] |= wide[:max(len(wide) - back, 0)] << np.uint64(8 * back)
+    # The first bytes of a row look back to what is not theirs.
+    at = (bounds[:-1, None] + np.arange(_BYTES))[np.arange(_BYTES) < np.diff(bounds)[:, None]]
+    into = at - bounds[np.searchsorted(bounds, at, "right") - 1]
+    early = wide[at]
+    for back in range(1, _BYTES + 1):
+        early |= np.where(into < back, np.uint64(10), wide[np.maximum(at - back, 0)]) << np.uint64(8 * back)
+    grams[at] = early
     stops = np.flatnonzero((stream == 32) | (stream == 10)) + 1
     starts = np.concatenate(([0], stops[:-1]))
-    lengths = stops - starts
-    first = np.repeat(starts, lengths)
-    powers = np.full(len(stream), 0x9E3779B97F4A7C15, np.uint64)
-    powers[:1] = 1
-    np.multiply.accumulate(powers, out=powers)
+    first = np.repeat(starts, stops - starts)
+    up, down = powers(len(stream))
     total = np.zeros(len(stream) + 1, np.uint64)
-    np.cumsum((wide + np.uint64(1)) * powers, out=total[1:])
-    powers[:] = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-    powers[:1] = 1
-    np.multiply.accumulate(powers, out=powers)
-    return grams, mix((total[:-1] - total[first]) * powers[first])
+    wide += np.uint64(1)
+    wide *= up
+    np.cumsum(wide, out=total[1:])
+    return grams, mix((total[:-1] - total[first]) * down[first])
+
+
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): an order that puts equal keys side by side, and where each run begins.
+
+    Sorted by the keys' upper bits with the place in the lower ones, which is much faster than
+    an argsort. Keys alike in those bits may make a run of a key come in pieces, no more.
+    """
+    size = np.uint64(max(len(keys) - 1, 1).bit_length())
+    low = (np.uint64(1) << size) - np.uint64(1)
+    order = (keys & ~low) | np.arange(len(keys), dtype=np.uint64)
+    order.sort()
+    order = (order & low).astype(np.int64)
+    found = keys[order]
+    return order, np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1]))) if len(keys) else np.zeros(0, np.int64)
 
 
 def unit_keys(grams: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
@@ -87,75 +118,47 @@ def unit_keys(grams: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
 
 
 class Tallies:
-    """Counts by kind of (key, more) pairs, merged now and then and given up in large batches."""
+    """Counts by key with more that goes with a key, merged now and then and given up in blocks."""
 
     def __init__(self, limit: int):
-        self.limit, self.held = limit, {}
+        self.limit, self.held = limit, []
 
-    def add(self, kind: int, keys: np.ndarray, more: np.ndarray, counts: np.ndarray | None = None) -> None:
-        """`more` goes with a key: equal keys of a kind have an equal one."""
-        counts = np.ones(len(keys), np.int64) if counts is None else counts
-        self.held.setdefault(kind, []).append(self._merged(keys, more, counts))
+    def add(self, keys: np.ndarray, *more: np.ndarray) -> None:
+        self.held.append(self._merged(keys, np.ones(len(keys), np.int64), *more))
 
     @staticmethod
-    def _merged(keys, more, counts):
-        codes, found = pd.factorize(keys)
-        first = np.empty(len(found), np.int64)
-        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        return found, more[first], np.bincount(codes, counts, len(found)).astype(np.int64)
+    def _merged(keys, counts, *more):
+        order, starts = runs(keys)
+        first = order[starts]
+        return keys[first], np.add.reduceat(counts[order], starts) if len(starts) else counts, *(m[first] for m in more)
 
     def flush(self, last: bool = False):
-        for kind, kept in self.held.items():
-            if not last and sum(len(k[0]) for k in kept) <= 2 * self.limit:
-                continue
-            merged = self._merged(*(np.concatenate(x) for x in zip(*kept)))
-            kept[:] = [merged]
+        """(keys, counts, *more) of about `limit` keys or more, or what there is at last."""
+        if self.held and (last or sum(len(h[0]) for h in self.held) > 2 * self.limit):
+            merged = self._merged(*(np.concatenate(x) for x in zip(*self.held)))
+            self.held = [merged]
             if last or len(merged[0]) > self.limit:
-                kept[:] = []
-                yield kind, *merged
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) -> (kind, key, more, n): units as 6-gram and word so far, words by hash, and texts."""
-    tallies = Tallies(1 << 20)
-
-    def rows(kind, keys, more, counts):
-        if kind == _GRAM:
-            keys, more = np.ascontiguousarray(more[:, 0]), np.ascontiguousarray(more[:, 1])
-        else:
-            more = np.zeros_like(keys)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)),
-                                           pa.array(more.view(np.int64)), pa.array(counts)], ["kind", "key", "more", "n"])
-
-    for batch in batches:
-        for i, j, data, offsets in parts(batch.column(0), 1 << 21):
-            stream, bounds, hashes, _ = byte_stream(data, offsets)
-            grams, prefixes = byte_units(stream, bounds)
-            tallies.add(_GRAM, unit_keys(grams, prefixes), np.stack([grams, prefixes], axis=1))
-            tallies.add(_WORD, hashes, np.zeros((len(hashes), 2), np.uint64))
-            tallies.add(_TEXT, np.zeros(1, np.uint64), np.zeros((1, 2), np.uint64), np.array([j - i]))
-            for found in tallies.flush():
-                yield rows(*found)
-    for found in tallies.flush(True):
-        yield rows(*found)
-
-
-def slots(order: int, contexts: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    """Table slots of (context, node of the byte's bit tree); a context's nodes lie in one part."""
-    if not order:
-        return ((contexts[:, None] << np.uint64(8)) | nodes).view(np.int64)
-    h = mix(contexts + np.uint64(order << 56))
-    low = h[:, None] ^ (nodes * np.uint64(0x9E3779B97F4A7C15))
-    low *= np.uint64(0xD6E8FEB86659FD93)
-    low >>= np.uint64(64 - PART_BITS)
-    low += ((h >> np.uint64(64 - TABLE_BITS[order] + PART_BITS)) << np.uint64(PART_BITS))[:, None]
-    return low.view(np.int64)
+                self.held = []
+                yield merged
 
 
 def contexts(order: int, grams: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
     return prefixes if order == _BYTES else (grams >> np.uint64(8)) & np.uint64((1 << 8 * (order + 1)) - 1)
 
 
+def slots(order: int, seen: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """For contexts and their bytes the table slots of the eight bits."""
+    bits, mask = np.uint64(64 - TABLE_BITS[order]), np.uint64((1 << TABLE_BITS[order]) - 1)
+    first = mix(seen + np.uint64(order << 56))
+    second = mix(first + (byte >> np.uint64(4)) + np.uint64(1))
+    depth = np.arange(4, dtype=np.uint64)
+    places = np.empty((len(seen), 8), np.uint64)
+    for run, half, at in ((first, byte >> np.uint64(4), 0), (second, byte & np.uint64(15), 4)):
+        node = (np.uint64(1) << depth) | (half[:, None] >> (np.uint64(4) - depth))
+        places[:, at:at + 4] = ((run >> bits)[:, None] + node) & mask
+    return places.view(np.int64)
+
+
 def bit_paths(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per gram the eight nodes of its last byte's bit tree and the bits taken there."""
     byte = (grams & np.uint64(255))[:, None]
@@ -163,53 +166,84 @@ def bit_paths(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.uint64(1) << depth) | (byte >> (np.uint64(8) - depth)), (byte >> (np.uint64(7) - depth)) & np.uint64(1)
 
 
-def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, word so far, n) -> (order, part, context, byte, n) for each context."""
-    tallies = Tallies(1 << 19)
+def count_bits(tables: list[np.ndarray], grams: np.ndarray, prefixes: np.ndarray, n: np.ndarray) -> None:
+    """Add the bits of units to the counts of zeros and ones per slot."""
+    for first in range(0, len(grams), 1 << 15):
+        some = slice(first, first + (1 << 15))
+        byte, bits = grams[some] & np.uint64(255), bit_paths(grams[some])[1].astype(np.int64)
+        weights = np.repeat(n[some], 8).astype(np.uint32)
+        for order in range(_ORDERS):
+            place = slots(order, contexts(order, grams[some], prefixes[some]), byte) * 2 + bits
+            np.add.at(tables[order], place.ravel(), weights)
 
-    def rows(order, _, pairs, counts):
-        seen, byte = np.ascontiguousarray(pairs[:, 0]), pairs[:, 1]
-        part = slots(order, seen, np.zeros((1, 1), np.uint64))[:, 0] >> PART_BITS
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), order, np.int32)), pa.array(part.astype(np.int32)), pa.array(seen.view(np.int64)),
-                                           pa.array(byte.astype(np.int32)), pa.array(counts)], ["order", "part", "context", "byte", "n"])
 
-    for batch in batches:
-        grams, prefixes = (batch.column(c).to_numpy().view(np.uint64) for c in (0, 1))
-        n, byte = batch.column(2).to_numpy(), grams & np.uint64(255)
-        for order in range(_ORDERS):
-            seen = contexts(order, grams, prefixes)
-            tallies.add(order, mix(mix(seen) + byte), np.stack([seen, byte], axis=1), n)
-        for found in tallies.flush():
-            yield rows(*found)
-    for found in tallies.flush(True):
-        yield rows(*found)
+_LEARNED = "kind int, at int, part int, key long, n long, value double, mass double, counts binary"
+
 
+def _rows(kind: int, at=None, part=None, key=None, n=None, value=None, mass=None, counts=None) -> pa.RecordBatch:
+    given = {"at": (at, pa.int32()), "part": (part, pa.int32()), "key": (key, pa.int64()), "n": (n, pa.int64()),
+             "value": (value, pa.float64()), "mass": (mass, pa.float64()), "counts": (counts, pa.binary())}
+    size = next(len(x) for x, _ in given.values() if x is not None)
+    columns = [pa.nulls(size, t) if x is None else pa.array(x, t) for x, t in given.values()]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), *columns], ["kind", *given])
 
-def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (order, part, context, byte, n) in order -> (order, part, counts of zeros and ones per slot)."""
-    at, counts = None, None
+
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) -> words, texts, this task's bit counts by part, and the weights it learned."""
+    powers, units, names, texts = Powers(), Tallies(1 << 20), Tallies(1 << 20), 0
+    tables, online, rng = [np.zeros(2 << bits, np.uint32) for bits in TABLE_BITS], Online(), np.random.default_rng(5)
+
+    def take(n, grams, prefixes):
+        order = rng.permutation(len(n))  # counted units come in the order of their hashes
+        grams, prefixes, n = grams[order], prefixes[order], n[order]
+        count_bits(tables, grams, prefixes, n)
+        online.learn(tables, grams, prefixes, n)
+
+    for batch in batches:
+        texts += batch.num_rows
+        for _, _, data, offsets in parts(batch.column(0), 1 << 21):
+            stream, bounds, hashes, _ = byte_stream(data, offsets)
+            grams, prefixes = byte_units(stream, bounds, powers)
+            units.add(unit_keys(grams, prefixes), grams, prefixes)
+            names.add(hashes)
+            for _, n, *unit in units.flush():
+                take(n, *unit)
+            for keys, n in names.flush():
+                yield _rows(_WORD, key=keys.view(np.int64), n=n)
+    for _, n, *unit in units.flush(True):
+        take(n, *unit)
+    for keys, n in names.flush(True):
+        yield _rows(_WORD, key=keys.view(np.int64), n=n)
+    if texts:
+        yield _rows(_TEXT, key=[0], n=[texts])
+        at, values, masses = online.learned()
+        yield _rows(_WEIGHT, at=at, value=values, mass=masses)
+    for order, table in enumerate(tables):
+        found = [(k, zlib.compress(piece.tobytes(), 1)) for k, piece in enumerate(table.reshape(-1, 2 << PART_BITS)) if piece.any()]
+        for first in range(0, len(found), 64):
+            some = found[first:first + 64]
+            yield _rows(_PART, at=[order] * len(some), part=[k for k, _ in some], counts=[c for _, c in some])
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (order, part, counts) in order -> one row per part: the sums, two 16-bit numbers a slot."""
+    at, total = None, None
 
     def done():
         # Counts of a slot are scaled down together to fit 16 bits.
-        most = np.maximum(counts.max(axis=1, keepdims=True), 1)
-        small = np.where(most > 65535, np.ceil(counts * (65535 / most)), counts).astype("<u2")
-        return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([small.tobytes()], pa.binary())],
-                                          ["order", "part", "counts"])
+        pairs = total.reshape(-1, 2)
+        most = np.maximum(pairs.max(axis=1, keepdims=True), 1)
+        small = np.where(most > 65535, np.minimum(np.ceil(pairs * (65535 / most)), 65535), pairs).astype("<u2")
+        return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()),
+                                           pa.array([zlib.compress(small.tobytes(), 1)], pa.binary())], ["order", "part", "counts"])
 
     for batch in batches:
-        order, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        seen, byte = batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy().astype(np.uint64)
-        n = batch.column(4).to_numpy()
-        cuts = np.flatnonzero(np.concatenate(([True], (order[1:] != order[:-1]) | (part[1:] != part[:-1])))) if len(n) else []
-        for a, b in zip(cuts, [*cuts[1:], len(n)]):
-            here = (int(order[a]), int(part[a]))
-            if here != at:
+        for order, part, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            if (order, part) != at:
                 if at is not None:
                     yield done()
-                at, counts = here, np.zeros((1 << PART_BITS, 2))
-            nodes, bits = bit_paths(byte[a:b])
-            place = slots(here[0], seen[a:b], nodes) & ((1 << PART_BITS) - 1)
-            counts += np.bincount((place * 2 + bits.astype(np.int64)).ravel(), np.repeat(n[a:b], 8), 2 << PART_BITS).reshape(-1, 2)
+                at, total = (order, part), 0
+            total = total + np.frombuffer(zlib.decompress(counts), np.uint32).astype(np.int64)
     if at is not None:
         yield done()
 
@@ -219,7 +253,7 @@ def load_tables(rows) -> list[np.ndarray]:
     tables = [np.zeros(1 << bits, np.uint32) for bits in TABLE_BITS]
     for order, part, counts in rows:
         first = part << PART_BITS
-        piece = np.frombuffer(counts, "<u4")
+        piece = np.frombuffer(zlib.decompress(counts), "<u4")
         size = min(len(piece), len(tables[order]) - first)
         tables[order][first:first + size] = piece[:size]
     return tables
@@ -246,12 +280,16 @@ class Mixer:
     def inputs(self, grams: np.ndarray, prefixes: np.ndarray, left_out: bool):
         """(logits, gates, nodes, bits) of all bits; `left_out`: without one occurrence of each unit."""
         nodes, bits = bit_paths(grams)
-        ones = bits.astype(np.float32)
+        ones, byte = bits.astype(np.float32), grams & np.uint64(255)
         x = np.empty((*nodes.shape, _ORDERS + 1), np.float32)
         x[..., _ORDERS] = 1
         longest, times, sure, word = (np.zeros(nodes.shape, np.uint8) for _ in range(4))
         for order in range(_ORDERS):
-            n = self.tables[order].take(slots(order, contexts(order, grams, prefixes), nodes)).view(np.uint16).reshape(*nodes.shape, 2)
+            # One fetch for both counts: two 32-bit numbers while learning, two 16-bit ones after.
+            pair = np.uint64 if left_out else np.uint32
+            table = self.tables[order].view(pair)
+            n = table.take(slots(order, contexts(order, grams, prefixes), byte))
+            n = n.view(np.uint32 if left_out else np.uint16).reshape(*nodes.shape, 2)
             zero, one = n[..., 0].astype(np.float32), n[..., 1].astype(np.float32)
             if left_out:
                 one -= ones
@@ -297,47 +335,43 @@ class Mixer:
         return out
 
 
-def learn(mixer: Mixer, units: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], step: int = 4096, rate: float = 0.2):
-    """Online descent over units (gram, word so far, n); returns masses of the weights and the map's sums."""
-    squares, mass = np.full(mixer.weights.shape, 1e-2), np.zeros(_GATES)
-    cells, seen, forget = np.zeros((256 * _STEPS, 2)), 0.0, 1e4
-    for grams, prefixes, n in units:
-        for first in range(0, len(grams), step):
-            some = slice(first, first + step)
+class Online:
+    """Descent over units in steps; each unit weighs as often as it occurs."""
+
+    def __init__(self, step: int = 4096, rate: float = 0.2):
+        self.mixer, self.step, self.rate = Mixer([]), step, rate
+        self.squares, self.mass = np.full(self.mixer.weights.shape, 1e-2), np.zeros(_GATES)
+        self.cells, self.seen, self.forget = np.zeros((256 * _STEPS, 2)), 0.0, 1e4
+
+    def learn(self, tables: list[np.ndarray], grams: np.ndarray, prefixes: np.ndarray, n: np.ndarray) -> None:
+        mixer = self.mixer
+        mixer.tables = tables
+        for first in range(0, len(grams), self.step):
+            some = slice(first, first + self.step)
             x, gates, nodes, ones = mixer.inputs(grams[some], prefixes[some], True)
             weight = np.repeat(n[some].astype(np.float64), 8)
             logits = mixer.mixed(x, gates)
             error = (ones - 1 / (1 + np.exp(-logits))) * weight
             here = np.bincount(gates, weight, _GATES)
             slopes = np.stack([np.bincount(gates, error * x[:, k], _GATES) for k in range(_ORDERS + 1)], axis=1) / np.maximum(here, 1)[:, None]
-            squares += slopes ** 2
-            mixer.weights += (rate * slopes / np.sqrt(squares)).astype(np.float32)
-            mass += here
+            self.squares += slopes ** 2
+            mixer.weights += (self.rate * slopes / np.sqrt(self.squares)).astype(np.float32)
+            self.mass += here
             cell, share = mixer.places(logits, nodes)
             for place, part in ((cell, weight * (1 - share)), (cell + 1, weight * share)):
-                cells[:, 0] += np.bincount(place, part * ones, len(cells))
-                cells[:, 1] += np.bincount(place, part, len(cells))
-            seen += weight.sum()
-            if seen > forget:
+                self.cells[:, 0] += np.bincount(place, part * ones, len(self.cells))
+                self.cells[:, 1] += np.bincount(place, part, len(self.cells))
+            self.seen += weight.sum()
+            if self.seen > self.forget:
                 # What early weights mapped counts less and less.
-                forget, cells = forget * 2, cells * 0.25
-    return mass, cells, seen
-
+                self.forget, self.cells = self.forget * 2, self.cells * 0.25
 
-def _learn(shared):
-    """(gram, word so far, n) -> (at, value, mass): the weights and map cells that one task has learned."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = Mixer(unpacked(shared.value))
-        mass, cells, seen = learn(mixer, ((b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy())
-                                          for b in batches))
-        if seen:
-            values = np.concatenate([(mixer.weights * mass[:, None]).ravel(), cells[:, 0]])
-            masses = np.concatenate([np.repeat(mass, _ORDERS + 1), cells[:, 1]])
-            at = np.concatenate([np.arange(mixer.weights.size), mixer.weights.size + np.arange(len(cells))])
-            some = masses > 0
-            yield pa.RecordBatch.from_arrays([pa.array(at[some]), pa.array(values[some]), pa.array(masses[some])], ["at", "value", "mass"])
-
-    return run
+    def learned(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(at, value, mass): weights times mass, then the map's sums; both add up over tasks."""
+        values = np.concatenate([(self.mixer.weights * self.mass[:, None]).ravel(), self.cells[:, 0]])
+        masses = np.concatenate([np.repeat(self.mass, _ORDERS + 1), self.cells[:, 1]])
+        some = np.flatnonzero(masses > 0)
+        return some, values[some], masses[some]
 
 
 def _averaged(rows) -> tuple[np.ndarray, np.ndarray]:
@@ -360,25 +394,28 @@ def _score(tables, rest):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, refined, names, counts = rest.value
         mixer = Mixer(unpacked(tables.value), weights, refined)
-        known, costs = np.zeros(0, np.uint64), np.zeros(0)
+        known, costs, powers = np.zeros(0, np.uint64), np.zeros(0), Powers()
         for batch in batches:
             for i, j, data, offsets in parts(batch.column(2), 1 << 21):
                 stream, bounds, hashes, word_bounds = byte_stream(data, offsets)
-                grams, prefixes = byte_units(stream, bounds)
-                codes, found = pd.factorize(unit_keys(grams, prefixes))
+                grams, prefixes = byte_units(stream, bounds, powers)
+                keys = unit_keys(grams, prefixes)
+                order, starts = runs(keys)
+                first = order[starts]
+                found = keys[first]
                 if len(known) > 1 << 21:
                     known, costs = known[:0], costs[:0]
                 at = np.minimum(np.searchsorted(known, found), max(len(known) - 1, 0))
                 new = known[at] != found if len(known) else np.ones(len(found), bool)
-                first = np.empty(len(found), np.int64)
-                first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-                first = first[new]
-                known, costs = np.concatenate([known, found[new]]), np.concatenate([costs, mixer.costs(grams[first], prefixes[first])])
-                order = np.argsort(known)
-                known, costs = known[order], costs[order]
-                cost = costs[np.searchsorted(known, found)]
+                cost = costs[at] if len(known) else np.zeros(len(found))
+                cost[new] = mixer.costs(grams[first[new]], prefixes[first[new]])
+                known, costs = np.concatenate([known, found[new]]), np.concatenate([costs, cost[new]])
+                by = np.argsort(known, kind="stable")
+                known, costs = known[by], costs[by]
                 rows = np.repeat(np.arange(j - i), np.diff(bounds))
-                total = np.bincount(rows, cost[codes], j - i).astype(np.float64)
+                spent = np.empty(len(keys))
+                spent[order] = np.repeat(cost, np.diff(np.append(starts, len(keys))))
+                total = np.bincount(rows, spent, j - i).astype(np.float64)
                 rows = np.repeat(np.arange(j - i), np.diff(word_bounds))
                 at = np.minimum(np.searchsorted(names, hashes), max(len(names) - 1, 0))
                 hit = names[at] == hashes if len(names) else np.zeros(len(hashes), bool)
@@ -409,23 +446,22 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lm-scoring")
     held = F.coalesce(held_out, F.lit(True)) if held_out is not None else F.lit(False)
     source = docs.select(F.col(id_col).alias("id"), held.alias("held"), F.col(text).alias("text"))
-    counted = source.filter("NOT held").select("text").mapInArrow(_count, "kind int, key long, more long, n long")
-    counts = scratch.table(counted.groupBy("kind", "key", "more").agg(F.sum("n").alias("n")), "counts")
-    units = counts.filter(F.col("kind") == _GRAM).select("key", "more", "n")
-
-    parted = units.mapInArrow(_by_part, "order int, part int, context long, byte int, n long")
-    filled = parted.repartition("order", "part").sortWithinPartitions("order", "part").mapInArrow(_fill, "order int, part int, counts binary")
+    learned = source.filter("NOT held").select("text").mapInArrow(_learn, _LEARNED)
+    learned = scratch.table(learned, "learned")
+    of = lambda kind: learned.filter(F.col("kind") == kind)
+    filled = of(_PART).select(F.col("at").alias("order"), "part", "counts").repartition("order", "part").sortWithinPartitions(
+        "order", "part").mapInArrow(_add_up, "order int, part int, counts binary")
     # Fixed size: a row for each part of the tables.
     rows = filled.toArrow()
     tables = load_tables(zip(*[rows.column(c).to_pylist() for c in ("order", "part", "counts")]))
     del rows
     tables = spark.sparkContext.broadcast(packed(tables))
-    # In random order: counted units come frequent ones first.
-    shuffled = units.sortWithinPartitions(F.xxhash64("key", "more"))
-    learned = shuffled.mapInArrow(_learn(tables), "at long, value double, mass double").groupBy("at").agg(F.sum("value"), F.sum("mass"))
-    weights, refined = _averaged(sorted(map(tuple, learned.collect())))
+    sums = of(_WEIGHT).groupBy("at").agg(F.sum("value"), F.sum("mass"))
+    weights, refined = _averaged(sorted(map(tuple, sums.collect())))
 
-    vocabulary = counts.filter(F.col("kind") == _WORD)
+    texts = of(_TEXT).agg(F.sum("n")).first()[0] or 0
+    vocabulary = scratch.table(of(_WORD).groupBy("key").agg(F.sum("n").alias("n")), "words")
+    scratch.drop("learned")
     level = F.floor(F.log2("n") * 8).cast("int")
     steps = {r["level"]: r["k"] for r in vocabulary.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("k")).collect()}  # at most 512
     least, room = max(steps, default=0) + 1, FREQUENT_WORDS
@@ -438,11 +474,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_
     names, n = frequent.column("key").to_numpy().view(np.uint64), frequent.column("n").to_numpy()
     order = np.argsort(names)
     rest = spark.sparkContext.broadcast((weights, refined, names[order], n[order]))
-    sums = counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect()
-    sums = {r["kind"]: r for r in sums}
-    texts = sums[_TEXT]["n"] if _TEXT in sums else 0
-    train_tokens = texts + (sums[_WORD]["n"] if _WORD in sums else 0)
-    distinct = (1 if texts else 0) + (sums[_WORD]["k"] if _WORD in sums else 0)
+    tokens, distinct = vocabulary.agg(F.sum("n"), F.count(F.lit(1))).first()
+    train_tokens, distinct = texts + (tokens or 0), distinct + (1 if texts else 0)
 
     kind = source.schema["id"].dataType.simpleString()
     scored = scratch.table(source.mapInArrow(
