@@ -5,9 +5,9 @@ document of equal texts, near_dedup one of each group of near duplicates (five-w
 similarity 0.8), mix repeats sources towards target weights, pack cuts and packs token ids.
 Every stage but the last returns the columns of documents.
 
-Rows are told apart by their place in the scan, not by doc_id, so null and repeated ids are
-handled: of equal or near texts the smallest doc_id stays, nulls last. Each stage's input must
-be a plain read of files, as it is here.
+The filtering stages tell rows apart by their place in the scan, not by doc_id, so null and
+repeated ids are handled: of equal or near texts the smallest doc_id stays, nulls last. Their
+input must be a plain read of files, as it is here. Mixing draws by doc_id, so reruns agree.
 """
 
 from __future__ import annotations
@@ -51,8 +51,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    numbered, row = _numbered(docs)
-    return mix_sources(numbered, row=row, temperature=0.5).select(*_own(docs))
+    return mix_sources(docs, temperature=0.5).select(*_own(docs))
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
