@@ -96,7 +96,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         ["lang", "gram", "n"])
 
     for batch in batches:
-        for i, j, data, offsets in parts(batch.column(1)):
+        for i, j, data, offsets in parts(batch.column(1), 1 << 21):
             grams, bounds = folded_grams(data, offsets, table)
             codes, langs = pd.factorize(batch.column(0).slice(i, j - i).to_pandas())
             at = np.repeat(codes, np.diff(bounds))
@@ -198,7 +198,7 @@ def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, model = letter_table(), shared.value
         for batch in batches:
-            for i, j, data, offsets in parts(batch.column(1)):
+            for i, j, data, offsets in parts(batch.column(1), 1 << 21):
                 grams, bounds = folded_grams(data, offsets, table)
                 codes, found = pd.factorize(grams)
                 costs = model.costs(found)
