@@ -119,6 +119,13 @@ class Model:
             current = [tally(keys & mask) for keys, _ in current]
         self.alphabet = max(len(self.orders[0]["hashes"]), 1) + 1
 
+    @classmethod
+    def of(cls, state: dict) -> Model:
+        """A model from vars() of another; plain state travels where the class is unknown."""
+        model = cls.__new__(cls)
+        model.__dict__.update(state)
+        return model
+
     def _order(self, order: int, grams) -> dict:
         keys = np.unique(np.concatenate([k for k, _ in grams]))
         heads = keys >> np.uint64(16)
@@ -196,7 +203,7 @@ def train(learn: DataFrame, lang: str, text: str, cells: int = CELLS) -> Model |
 def _predict(shared):
     """(id, text, lang, held) -> the same without text, and language, cross-entropy, confidence, length."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, model = letter_table(), shared.value
+        table, model = letter_table(), Model.of(shared.value)
         for batch in batches:
             for i, j, data, offsets in parts(batch.column(1), 1 << 21):
                 grams, bounds = folded_grams(data, offsets, table)
@@ -249,7 +256,7 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lan
         return source.select(*back, F.col("held").alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"),
                              F.lit(None).cast("double").alias("cross_entropy"), (~letters).alias("rejected"))
     kind = source.schema["id"].dataType.simpleString()
-    scored = source.mapInArrow(_predict(spark.sparkContext.broadcast(model)),
+    scored = source.mapInArrow(_predict(spark.sparkContext.broadcast(vars(model))),
                                f"id {kind}, lang string, held boolean, pred string, entropy double, score double, chars long")
     scored = Scratch(spark, "language-id").table(scored, "scored")
     sure = scored.filter("NOT held AND lang = pred")
