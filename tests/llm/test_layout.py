@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -47,13 +48,20 @@ TOKENIZER = Tokenizer.from_file(PATH)
 def test_words_are_the_tokenizers(words):
     words = [x for w in words for x in w.encode("utf-8", "replace").decode().split()]
     if words:
-        got, counts = WORDS.ids(words)
+        got, counts = WORDS.encode(words)
         assert [a.tolist() for a in np.split(got, np.cumsum(counts)[:-1])] == [plain(w) for w in words]
 
 
 WORDS = Words(PATH)
 
 
+def test_words_are_remembered():
+    words = Words(PATH)
+    for some in (["a", "bc.", "don't", ""], ["bc.", "x|y", "a", "É!"], ["", "zz", "bc"]):
+        begins, counts = words.places(pa.array(some))
+        assert [words.flat[b:b + n].tolist() for b, n in zip(begins, counts)] == [plain(w) for w in some]
+
+
 @given(st.lists(st.integers(1, 50), max_size=60))
 @settings(max_examples=100, deadline=None)
 def test_first_fit_decreasing(lengths):
