@@ -77,12 +77,12 @@ def test_lm_scores_without_learning(spark):
 def test_mixer_is_a_distribution():
     """After any bytes the probabilities of all next bytes add up to one, also after online learning."""
     rng = np.random.default_rng(1)
-    learning = [rng.integers(0, 30, 2 << b).astype(np.uint32) for b in lm.TABLE_BITS]
     grams, prefixes = rng.integers(0, 1 << 48, 500).astype(np.uint64), rng.integers(0, 1 << 60, 500).astype(np.uint64)
     online = lm.Online(step=64)
-    online.learn(learning, grams, prefixes, rng.integers(1, 9, 500))
+    online.mixer.tables = [rng.integers(0, 30, 2 << b).astype(np.uint32) for b in lm.TABLE_BITS]
+    online.learn(grams, prefixes, rng.integers(1, 9, 500))
     assert online.seen > 0
-    tables = [t.astype(np.uint16).view(np.uint32) for t in learning]
+    tables = [t.astype(np.uint16).view(np.uint32) for t in online.mixer.tables]
     weights, refined = lm._averaged(zip(*(x.tolist() for x in online.learned())))
     mixer = lm.Mixer(tables, weights, refined)
     for k in range(5):
@@ -96,18 +96,17 @@ def units_of(rows):
 
 
 def test_online_learning_lowers_the_cost():
-    tables = [np.zeros(2 << b, np.uint32) for b in lm.TABLE_BITS]
     tallies = lm.Tallies(1)
     grams, prefixes = units_of([t for _, t, _ in texts(150)])
     tallies.add(lm.unit_keys(grams, prefixes), grams, prefixes)
     (_, n, grams, prefixes), = tallies.flush(True)
-    lm.count_bits(tables, grams, prefixes, n)
-    after = [t.astype(np.uint16).view(np.uint32) for t in tables]
-    others = units_of([t for _, t, _ in texts(60, 9)])
     online = lm.Online(step=128)
     order = np.random.default_rng(1).permutation(len(n))
-    online.learn(tables, grams[order], prefixes[order], n[order])
-    assert lm.Mixer(after, online.mixer.weights).costs(*others).sum() < 0.95 * lm.Mixer(after).costs(*others).sum()
+    online.learn(grams[order], prefixes[order], n[order])
+    tables = [t.astype(np.uint16).view(np.uint32) for t in online.mixer.tables]
+    assert sum(int(t.sum()) for t in online.mixer.tables) == 8 * len(lm.TABLE_BITS) * n.sum()
+    others = units_of([t for _, t, _ in texts(60, 9)])
+    assert lm.Mixer(tables, online.mixer.weights).costs(*others).sum() < 0.95 * lm.Mixer(tables).costs(*others).sum()
 
 
 def test_large_counts_are_scaled_not_wrapped():

@@ -1,8 +1,8 @@
 """Language-model scores by online logistic context mixing.
 
 A text is read as the bytes of its lower-cased words, a space after each word and a line feed
-at the end. Every bit is predicted by one predictor per context: the last 1 to 5 bytes, and the
-word so far. A predictor is a table of bit counts by hashed context. Their predictions, as
+at the end. Every bit is predicted by one predictor per context: the last 1 to 5 bytes,
+and the word so far. A predictor is a table of bit counts by hashed context. Their predictions, as
 logits, are added with weights; a gate chooses the weight set by the longest contexts met, how
 often and how surely. An adaptive map refines the sum.
 
@@ -25,16 +25,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import Scratch
 from .kernel import list_array, lower_table, mix, parts, range_hashes, words
 
-#: Slots of each context's table, as powers of two: the model's fixed size, 71 MB. The last is
+#: Slots of each context's table, as powers of two: the model's fixed size, 63 MB. The last is
 #: that of the word so far. A context has a run of 16 slots from a hashed place on for a byte's
 #: first half and one for its second half, so a byte's eight bits touch two places in memory.
-TABLE_BITS = (16, 20, 22, 22, 22, 22)
+TABLE_BITS = (16, 20, 21, 22, 22, 22)
+CONTEXT_BYTES = (1, 2, 3, 4, 5)
 #: Slots that one task of the filling step owns, as a power of two.
 PART_BITS = 14
 #: Words whose counts are broadcast; the counts of rarer ones are joined.
 FREQUENT_WORDS = 1 << 20
 _ORDERS = len(TABLE_BITS)
 _BYTES = _ORDERS - 1
+_BACK = max(CONTEXT_BYTES)
+#: Bytes of text that a task works on at a time, and units that it counts before it learns from them.
+SLICE, BLOCK = 1 << 20, 3 << 18
 _GATES = (_BYTES + 1) * 5 * 2 * 5 * 8
 _STEPS, _REACH = 33, 8.0
 _PART, _WORD, _TEXT, _WEIGHT = 0, 1, 2, 3
@@ -78,13 +82,13 @@ def byte_units(stream: np.ndarray, bounds: np.ndarray, powers: Powers) -> tuple[
     """Per byte the 6-gram that ends there (line feeds stand before a row) and a hash of its word so far."""
     wide = stream.astype(np.uint64)
     grams = wide.copy()
-    for back in range(1, _BYTES + 1):
+    for back in range(1, _BACK + 1):
         grams[back:] |= wide[:max(len(wide) - back, 0)] << np.uint64(8 * back)
     # The first bytes of a row look back to what is not theirs.
-    at = (bounds[:-1, None] + np.arange(_BYTES))[np.arange(_BYTES) < np.diff(bounds)[:, None]]
+    at = (bounds[:-1, None] + np.arange(_BACK))[np.arange(_BACK) < np.diff(bounds)[:, None]]
     into = at - bounds[np.searchsorted(bounds, at, "right") - 1]
     early = wide[at]
-    for back in range(1, _BYTES + 1):
+    for back in range(1, _BACK + 1):
         early |= np.where(into < back, np.uint64(10), wide[np.maximum(at - back, 0)]) << np.uint64(8 * back)
     grams[at] = early
     stops = np.flatnonzero((stream == 32) | (stream == 10)) + 1
@@ -143,19 +147,25 @@ class Tallies:
 
 
 def contexts(order: int, grams: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
-    return prefixes if order == _BYTES else (grams >> np.uint64(8)) & np.uint64((1 << 8 * (order + 1)) - 1)
+    return prefixes if order == _BYTES else (grams >> np.uint64(8)) & np.uint64((1 << 8 * CONTEXT_BYTES[order]) - 1)
 
 
-def slots(order: int, seen: np.ndarray, byte: np.ndarray) -> np.ndarray:
-    """For contexts and their bytes the table slots of the eight bits."""
+def half_nodes() -> np.ndarray:
+    """For each half byte the four nodes of its bit tree, 1 to 15."""
+    half, depth = np.arange(16, dtype=np.uint64)[:, None], np.arange(4, dtype=np.uint64)
+    return (np.uint64(1) << depth) | (half >> (np.uint64(4) - depth))
+
+
+def slots(order: int, seen: np.ndarray, byte: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """For contexts and their bytes the table slots of the eight bits; `nodes` are half_nodes()."""
     bits, mask = np.uint64(64 - TABLE_BITS[order]), np.uint64((1 << TABLE_BITS[order]) - 1)
+    upper = byte >> np.uint64(4)
     first = mix(seen + np.uint64(order << 56))
-    second = mix(first + (byte >> np.uint64(4)) + np.uint64(1))
-    depth = np.arange(4, dtype=np.uint64)
+    second = mix(first + upper + np.uint64(1))
     places = np.empty((len(seen), 8), np.uint64)
-    for run, half, at in ((first, byte >> np.uint64(4), 0), (second, byte & np.uint64(15), 4)):
-        node = (np.uint64(1) << depth) | (half[:, None] >> (np.uint64(4) - depth))
-        places[:, at:at + 4] = ((run >> bits)[:, None] + node) & mask
+    np.add(nodes[upper], (first >> bits)[:, None], out=places[:, :4])
+    np.add(nodes[byte & np.uint64(15)], (second >> bits)[:, None], out=places[:, 4:])
+    places &= mask
     return places.view(np.int64)
 
 
@@ -166,17 +176,6 @@ def bit_paths(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.uint64(1) << depth) | (byte >> (np.uint64(8) - depth)), (byte >> (np.uint64(7) - depth)) & np.uint64(1)
 
 
-def count_bits(tables: list[np.ndarray], grams: np.ndarray, prefixes: np.ndarray, n: np.ndarray) -> None:
-    """Add the bits of units to the counts of zeros and ones per slot."""
-    for first in range(0, len(grams), 1 << 15):
-        some = slice(first, first + (1 << 15))
-        byte, bits = grams[some] & np.uint64(255), bit_paths(grams[some])[1].astype(np.int64)
-        weights = np.repeat(n[some], 8).astype(np.uint32)
-        for order in range(_ORDERS):
-            place = slots(order, contexts(order, grams[some], prefixes[some]), byte) * 2 + bits
-            np.add.at(tables[order], place.ravel(), weights)
-
-
 _LEARNED = "kind int, at int, part int, key long, n long, value double, mass double, counts binary"
 
 
@@ -190,18 +189,16 @@ def _rows(kind: int, at=None, part=None, key=None, n=None, value=None, mass=None
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text) -> words, texts, this task's bit counts by part, and the weights it learned."""
-    powers, units, names, texts = Powers(), Tallies(1 << 20), Tallies(1 << 20), 0
-    tables, online, rng = [np.zeros(2 << bits, np.uint32) for bits in TABLE_BITS], Online(), np.random.default_rng(5)
+    powers, units, names, texts = Powers(), Tallies(BLOCK), Tallies(BLOCK), 0
+    online, rng = Online(), np.random.default_rng(5)
 
     def take(n, grams, prefixes):
         order = rng.permutation(len(n))  # counted units come in the order of their hashes
-        grams, prefixes, n = grams[order], prefixes[order], n[order]
-        count_bits(tables, grams, prefixes, n)
-        online.learn(tables, grams, prefixes, n)
+        online.learn(grams[order], prefixes[order], n[order])
 
     for batch in batches:
         texts += batch.num_rows
-        for _, _, data, offsets in parts(batch.column(0), 1 << 21):
+        for _, _, data, offsets in parts(batch.column(0), SLICE):
             stream, bounds, hashes, _ = byte_stream(data, offsets)
             grams, prefixes = byte_units(stream, bounds, powers)
             units.add(unit_keys(grams, prefixes), grams, prefixes)
@@ -218,7 +215,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(_TEXT, key=[0], n=[texts])
         at, values, masses = online.learned()
         yield _rows(_WEIGHT, at=at, value=values, mass=masses)
-    for order, table in enumerate(tables):
+    for order, table in enumerate(online.mixer.tables):
         found = [(k, zlib.compress(piece.tobytes(), 1)) for k, piece in enumerate(table.reshape(-1, 2 << PART_BITS)) if piece.any()]
         for first in range(0, len(found), 64):
             some = found[first:first + 64]
@@ -275,20 +272,24 @@ class Mixer:
         self.tables = tables
         self.weights = np.full((_GATES, _ORDERS + 1), 0.3, np.float32) if weights is None else weights
         self.weights[:, _ORDERS] = 0 if weights is None else self.weights[:, _ORDERS]
-        self.refined = refined
+        self.refined, self.nodes = refined, half_nodes()
+
+    def places_of(self, grams: np.ndarray, prefixes: np.ndarray) -> list[np.ndarray]:
+        byte = grams & np.uint64(255)
+        return [slots(order, contexts(order, grams, prefixes), byte, self.nodes) for order in range(_ORDERS)]
 
-    def inputs(self, grams: np.ndarray, prefixes: np.ndarray, left_out: bool):
+    def inputs(self, grams: np.ndarray, places: list[np.ndarray], left_out: bool):
         """(logits, gates, nodes, bits) of all bits; `left_out`: without one occurrence of each unit."""
         nodes, bits = bit_paths(grams)
-        ones, byte = bits.astype(np.float32), grams & np.uint64(255)
-        x = np.empty((*nodes.shape, _ORDERS + 1), np.float32)
-        x[..., _ORDERS] = 1
+        ones = bits.astype(np.float32)
+        x = np.empty((_ORDERS + 1, *nodes.shape), np.float32)
+        x[_ORDERS] = 1
         longest, times, sure, word = (np.zeros(nodes.shape, np.uint8) for _ in range(4))
         for order in range(_ORDERS):
             # One fetch for both counts: two 32-bit numbers while learning, two 16-bit ones after.
             pair = np.uint64 if left_out else np.uint32
             table = self.tables[order].view(pair)
-            n = table.take(slots(order, contexts(order, grams, prefixes), byte))
+            n = table.take(places[order])
             n = n.view(np.uint32 if left_out else np.uint16).reshape(*nodes.shape, 2)
             zero, one = n[..., 0].astype(np.float32), n[..., 1].astype(np.float32)
             if left_out:
@@ -297,7 +298,7 @@ class Mixer:
                 zero -= 1
                 np.maximum(zero, 0, out=zero)
                 np.maximum(one, 0, out=one)
-            x[..., order] = np.log((one + np.float32(0.3)) / (zero + np.float32(0.3)))
+            np.log((one + np.float32(0.3)) / (zero + np.float32(0.3)), out=x[order])
             total, one_sided = zero + one, (np.minimum(zero, one) == 0).view(np.uint8)
             often = (total > 0).view(np.uint8) + (total > 1) + (total > 3) + (total > 15)
             met = often > 0
@@ -308,10 +309,13 @@ class Mixer:
                 np.copyto(times, often, where=met, casting="unsafe")
                 np.copyto(sure, one_sided, where=met)
         gates = (((longest.astype(np.int32) * 5 + times) * 2 + sure) * 5 + word) * 8 + np.arange(8, dtype=np.int32)
-        return x.reshape(-1, _ORDERS + 1), gates.ravel(), nodes.view(np.int64).ravel(), ones.ravel()
+        return x.reshape(_ORDERS + 1, -1), gates.ravel().astype(np.int64), nodes.view(np.int64).ravel(), ones.ravel()
 
     def mixed(self, x: np.ndarray, gates: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("ij,ij->i", x, self.weights[gates]), -20, 20)
+        total = np.zeros(len(gates), np.float32)
+        for k in range(_ORDERS + 1):
+            total += x[k] * self.weights[:, k].take(gates)
+        return np.clip(total, -20, 20, out=total)
 
     @staticmethod
     def places(logits: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -324,7 +328,8 @@ class Mixer:
         """-log10 of the probability of each unit's byte after the bytes before it."""
         out = np.empty(len(grams))
         for first in range(0, len(grams), block):
-            x, gates, nodes, ones = self.inputs(grams[first:first + block], prefixes[first:first + block], False)
+            some = slice(first, first + block)
+            x, gates, nodes, ones = self.inputs(grams[some], self.places_of(grams[some], prefixes[some]), False)
             logits = self.mixed(x, gates)
             p = 1 / (1 + np.exp(-logits))
             if self.refined is not None:
@@ -339,21 +344,31 @@ class Online:
     """Descent over units in steps; each unit weighs as often as it occurs."""
 
     def __init__(self, step: int = 4096, rate: float = 0.2):
-        self.mixer, self.step, self.rate = Mixer([]), step, rate
+        self.mixer, self.step, self.rate = Mixer([np.zeros(2 << bits, np.uint32) for bits in TABLE_BITS]), step, rate
         self.squares, self.mass = np.full(self.mixer.weights.shape, 1e-2), np.zeros(_GATES)
         self.cells, self.seen, self.forget = np.zeros((256 * _STEPS, 2)), 0.0, 1e4
 
-    def learn(self, tables: list[np.ndarray], grams: np.ndarray, prefixes: np.ndarray, n: np.ndarray) -> None:
-        mixer = self.mixer
-        mixer.tables = tables
-        for first in range(0, len(grams), self.step):
+    def learn(self, grams: np.ndarray, prefixes: np.ndarray, n: np.ndarray) -> None:
+        """Count the units' bits, then predict each as if one occurrence had not been seen, and learn from it."""
+        for first in range(0, len(grams), 1 << 16):
+            some = slice(first, first + (1 << 16))
+            self._learn(grams[some], n[some], self.mixer.places_of(grams[some], prefixes[some]))
+
+    def _learn(self, grams: np.ndarray, n: np.ndarray, places: list[np.ndarray]) -> None:
+        mixer, first = self.mixer, 0
+        bits, often = bit_paths(grams)[1].astype(np.int64), np.repeat(n, 8)
+        for table, place in zip(mixer.tables, places):
+            np.add.at(table, (place * 2 + bits).ravel(), often.astype(np.uint32))
+        while first < len(grams):
             some = slice(first, first + self.step)
-            x, gates, nodes, ones = mixer.inputs(grams[some], prefixes[some], True)
-            weight = np.repeat(n[some].astype(np.float64), 8)
+            x, gates, nodes, ones = mixer.inputs(grams[some], [p[some] for p in places], True)
+            times = often[8 * first:8 * (first + self.step)]
+            first += self.step
+            weight = times.astype(np.float64)
             logits = mixer.mixed(x, gates)
             error = (ones - 1 / (1 + np.exp(-logits))) * weight
             here = np.bincount(gates, weight, _GATES)
-            slopes = np.stack([np.bincount(gates, error * x[:, k], _GATES) for k in range(_ORDERS + 1)], axis=1) / np.maximum(here, 1)[:, None]
+            slopes = np.stack([np.bincount(gates, error * x[k], _GATES) for k in range(_ORDERS + 1)], axis=1) / np.maximum(here, 1)[:, None]
             self.squares += slopes ** 2
             mixer.weights += (self.rate * slopes / np.sqrt(self.squares)).astype(np.float32)
             self.mass += here
@@ -396,7 +411,7 @@ def _score(tables, rest):
         mixer = Mixer(unpacked(tables.value), weights, refined)
         known, costs, powers = np.zeros(0, np.uint64), np.zeros(0), Powers()
         for batch in batches:
-            for i, j, data, offsets in parts(batch.column(2), 1 << 21):
+            for i, j, data, offsets in parts(batch.column(2), SLICE):
                 stream, bounds, hashes, word_bounds = byte_stream(data, offsets)
                 grams, prefixes = byte_units(stream, bounds, powers)
                 keys = unit_keys(grams, prefixes)
