@@ -38,7 +38,7 @@ _ORDERS = len(TABLE_BITS)
 _BYTES = _ORDERS - 1
 _BACK = max(CONTEXT_BYTES)
 #: Bytes of text that a task works on at a time, and units that it counts before it learns from them.
-SLICE, BLOCK = 1 << 20, 3 << 18
+SLICE, BLOCK = 1 << 20, 1 << 19
 _GATES = (_BYTES + 1) * 5 * 2 * 5 * 8
 _STEPS, _REACH = 33, 8.0
 _PART, _WORD, _TEXT, _WEIGHT = 0, 1, 2, 3
@@ -418,7 +418,7 @@ def _score(tables, rest):
                 order, starts = runs(keys)
                 first = order[starts]
                 found = keys[first]
-                if len(known) > 1 << 21:
+                if len(known) > 1 << 20:
                     known, costs = known[:0], costs[:0]
                 at = np.minimum(np.searchsorted(known, found), max(len(known) - 1, 0))
                 new = known[at] != found if len(known) else np.ones(len(found), bool)
