@@ -209,6 +209,30 @@ def test_language_id(spark):
     assert not any(found[i].rejected for i in range(360))
 
 
+def test_language_id_keeps_every_gram(spark, monkeypatch):
+    """Many languages and many rare 4-grams: the model is that of all of them, whatever is broadcast."""
+    random.seed(7)
+    word = lambda: "".join(random.choices("abcdefghijklmnopqrstuvwxyzäöß", k=random.randint(2, 7)))
+    rows = [(i, " ".join(word() for _ in range(900 if i % 50 < 2 else 15)), f"l{i % 50:02}") for i in range(100)]
+    rows += [(200 + i, " ".join(word() for _ in range(20)), None) for i in range(20)] + [(300, "日本 語 𝒜b", None), (301, "", "l03")]
+    langs, counts = sorted({l for _, _, l in rows if l}), {}
+    folded = {i: folded_grams(*text_bytes(pa.array([t])), letter_table())[0] for i, t, _ in rows}
+    for i, _, l in rows:
+        counts.setdefault(l, Counter()).update(folded[i].tolist())
+    model = Model(langs, [(np.array(list(counts[l]), np.uint64), np.array(list(counts[l].values()))) for l in langs])
+    want = {i: model.costs(g).mean(axis=0) for i, g in folded.items() if len(g)}
+    docs = frame(spark, rows).repartition(3).localCheckpoint()
+    seen = []
+    for cells in (lang_module.CELLS, 40_000, 0):
+        monkeypatch.setattr(lang_module, "CELLS", cells)
+        got = {r.doc_id: r for r in language_id(docs, held_out=F.col("lang").isNull()).collect()}
+        for i, costs in want.items():
+            assert abs(got[i].cross_entropy - costs.min()) < 1e-5 and costs[langs.index(got[i].lang_pred)] < costs.min() + 1e-5
+        assert got[301].lang_pred == "und"
+        seen.append(got)
+    assert seen[0] == seen[1] == seen[2]
+
+
 def test_language_id_without_languages(spark):
     got = language_id(frame(spark, [(1, "abc", None), (2, None, None)])).collect()
     assert sorted((r.doc_id, r.lang_pred, r.score, r.rejected) for r in got) == [(1, "und", 0.0, False), (2, "und", 0.0, True)]
