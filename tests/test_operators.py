@@ -196,3 +196,11 @@ def test_json_text(spark):
     rows = ['"a\\nb"', '"q\\"x"', "12", "1, 2", "plain", "", None, "null", "'x'"]
     got = spark.createDataFrame([(r,) for r in rows], "v string").select(json_text(F.col("v")).alias("t")).collect()
     assert [r.t for r in got] == ["a\nb", 'q"x', "12", None, None, None, None, None, None]
+
+
+def test_registered_models_have_real_sizes(spark):
+    from veilwork.catalog import models
+    from veilwork.operators.models import estimators
+
+    boosted = estimators(models.SIZES)["xgboost"]
+    assert (boosted.getMaxIter(), boosted.getMaxDepth()) == (250, 7)
