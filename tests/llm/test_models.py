@@ -109,6 +109,10 @@ def test_online_learning_lowers_the_cost():
     assert lm.Mixer(tables, online.mixer.weights).costs(*others).sum() < 0.95 * lm.Mixer(tables).costs(*others).sum()
 
 
+def test_long_contexts_have_whole_tables():
+    assert min(lm.TABLE_BITS[2:]) >= 22
+
+
 def test_large_counts_are_scaled_not_wrapped():
     counts = np.zeros(2 << lm.PART_BITS, np.uint32)
     counts[:8] = [3_000_000, 1, 70_001, 70_001, 65_535, 0, 200_003, 5]
