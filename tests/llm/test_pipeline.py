@@ -125,3 +125,12 @@ def test_queries_are_registered():
     assert set(queries.QUERIES) <= set(entry.queries())
     numbers = sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES if k != "pipeline")
     assert numbers == list(range(1, 11))
+
+
+def test_mixing_query_moves_whole_documents(spark, monkeypatch):
+    seen, mixed = [], queries.mix_sources
+    monkeypatch.setattr(queries, "mix_sources", lambda docs: seen.append(docs.columns) or mixed(docs))
+    docs = spark.createDataFrame([(1, "a text", "s"), (2, None, None)], "doc_id long, text string, source string")
+    monkeypatch.setattr(queries, "documents", lambda spark, folder: docs)
+    assert queries.op5(spark, "").columns == ["doc_id", "source", "copy", "shuffle_key"]
+    assert seen == [["doc_id", "text", "source"]]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import corpus_pipeline
 import public_tokenizers
 
-from ..session import fresh_dir
+from ..session import fresh_dir, materialize
 from .exact_dedup import exact_dedup
 from .hash_tree import hash_tree_shards, regular_tree
 from .language_id import language_id
@@ -78,7 +78,8 @@ counts AS (SELECT doc_id, u.source, count(*) FILTER (s.total < u.u) AS n FROM un
 SELECT doc_id, source, CAST(c AS INT) AS copy, md5('order20|' || CAST(doc_id AS VARCHAR) || '|' || CAST(c AS VARCHAR)) AS shuffle_key
 FROM (SELECT doc_id, source, unnest(range(n)) AS c FROM counts)""")
 def op5(spark, folder):
-    mixed = mix_sources(documents(spark, folder).select("doc_id", "source"))
+    """Whole documents are repeated, shuffled and written; the columns come from what was written."""
+    mixed = materialize(mix_sources(documents(spark, folder)), "mixed")
     return mixed.select("doc_id", "source", F.col("_copy").alias("copy"), F.col("_order").alias("shuffle_key"))
 
 
