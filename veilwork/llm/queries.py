@@ -10,6 +10,7 @@ import corpus_pipeline
 import public_tokenizers
 
 from ..session import fresh_dir, materialize
+from .alignment import align_tokenizers
 from .exact_dedup import exact_dedup
 from .hash_tree import hash_tree_shards, regular_tree
 from .language_id import language_id
@@ -115,6 +116,11 @@ def op10(spark, folder):
     return exact_dedup(documents(spark, folder))
 
 
+@query("op13_token_alignment")
+def op13(spark, folder):
+    return align_tokenizers(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)
