@@ -19,6 +19,7 @@ from .mixing import mix_sources
 from .ngram_join import ngram_join
 from .packing import pack_documents
 from .projections import near_vectors
+from .secret_scan import SHAPES, find_secrets, joined
 from .token_scan import token_counts, write_token_files
 from .url_filter import url_verdicts
 
@@ -116,6 +117,17 @@ def op10(spark, folder):
     return exact_dedup(documents(spark, folder))
 
 
+@query("op12_secret_scan")
+def op12(spark, folder):
+    found = find_secrets(documents(spark, folder))
+    base = F.filter("spans", lambda s: s["kind"].isin(*SHAPES))
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, SHAPES), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 @query("op13_token_alignment")
 def op13(spark, folder):
     return align_tokenizers(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
