@@ -21,6 +21,7 @@ from .packing import pack_documents
 from .projections import near_vectors
 from .secret_scan import SHAPES, find_secrets, joined
 from .token_scan import token_counts, write_token_files
+from .turn_repair import damage, repair_conversations
 from .url_filter import url_verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,6 +118,16 @@ def op10(spark, folder):
     return exact_dedup(documents(spark, folder))
 
 
+@query("op11_turn_repair")
+def op11(spark, folder):
+    repaired = repair_conversations(damage(spark.read.parquet(f"{folder}/conversations.parquet")), "conv", "turn", "role", "text", "copies")
+    digests = repaired.digests().select(F.struct("conv").alias("key"), "repaired_sha256")
+    audits = repaired.audits.join(digests, F.struct("conv") == F.col("key"), "left")
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return audits.select(F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+                         F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
 @query("op12_secret_scan")
 def op12(spark, folder):
     found = find_secrets(documents(spark, folder))
