@@ -28,9 +28,9 @@ from ..session import Scratch
 from .kernel import list_array, parts, range_hashes
 
 #: Bytes of text in a block, but for a single longer text.
-BLOCK = 1 << 23
-#: Distinct units a worker remembers before it starts anew, about 200 bytes each.
-REMEMBERED = 1 << 19
+BLOCK = 1 << 22
+#: Distinct units a worker remembers before it starts anew, about 150 bytes each.
+REMEMBERED = 1 << 18
 #: Distinct units tokenised as one text.
 TOGETHER = 2048
 
@@ -85,9 +85,10 @@ def unit_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts[:-1])
 
 
-def _closed(unit: bytes) -> bool:
-    """Whether the unit ends as one does before another: some texts' last units end in white space."""
-    return 0x21 <= unit[-1] < 0x7F or len(unit) > 1 and unit[-1] >= 0x80 and 0xC3 <= unit[-2] < 0xE0
+def _closed(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether units end as they do before another one; a text's last unit may end in white space."""
+    last, before = data[offsets[1:] - 1], data[np.maximum(offsets[1:] - 2, 0)]
+    return (last >= 0x21) & (last < 0x7F) | (last >= 0x80) & (before >= 0xC3) & (before < 0xE0) & (np.diff(offsets) > 1)
 
 
 class Aligned:
@@ -107,22 +108,24 @@ class Aligned:
         self.forget()
 
     def forget(self) -> None:
-        self.hashes, self.checks, self.row = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.hashes, self.checks, self.row = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
         # Per unit: tokens of either kind, groups (-1 if the bytes differ), and where its pairs begin.
-        self.n_a, self.n_b, self.groups, self.begins = (np.zeros(0, np.int64) for _ in range(4))
-        self.pairs, self.texts = np.zeros(0, np.int64), np.zeros(0, object)
+        self.n_a, self.n_b, self.groups = (np.zeros(0, np.int32) for _ in range(3))
+        self.begins, self.pairs, self.texts = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, object)
 
-    def align(self, units: list[bytes]) -> list[tuple]:
-        """(n_a, n_b, pairs of ids that end together, groups as text) of each unit, None where the bytes differ.
-
-        All but the last must be closed.
+    def align(self, units: list[bytes]) -> tuple:
+        """(n_a, n_b, groups, pairs of ids that end together, groups as text) of units: counts as arrays,
+        the pairs end to end, a text each. Groups are -1 where the bytes differ. All but the last unit must be closed.
         """
         whole = b"".join(units)
         text = whole.decode()
         a, b = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:])
         if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
             half = len(units) // 2
-            return self.align(units[:half]) + self.align(units[half:]) if half else [None]
+            if not half:
+                return np.zeros(1, np.int32), np.zeros(1, np.int32), np.full(1, -1, np.int32), np.zeros(0, np.int64), [b""]
+            return tuple(x + y if isinstance(x, list) else np.concatenate([x, y])
+                         for x, y in zip(self.align(units[:half]), self.align(units[half:])))
         index_a = dict(zip(np.cumsum(self.a_sizes[a]).tolist(), range(1, len(a) + 1)))
         index_b = dict(zip(np.cumsum(self.b_sizes[b]).tolist(), range(1, len(b) + 1)))
         common = sorted(index_a.keys() & index_b.keys())
@@ -136,12 +139,10 @@ class Aligned:
         last = np.searchsorted(common, ends)
         if not np.array_equal(np.array(common)[last], ends):
             raise AssertionError("a unit does not end with tokens of both kinds")
-        out, first = [], 0
-        for stop in (last + 1).tolist():
-            p, q = (stops_a[first - 1], stops_b[first - 1]) if first else (0, 0)
-            out.append((stops_a[stop - 1] - p, stops_b[stop - 1] - q, pairs[first:stop], ";".join(groups[first:stop]).encode()))
-            first = stop
-        return out
+        bounds = [0, *(last + 1).tolist()]
+        texts = [";".join(groups[i:j]).encode() for i, j in zip(bounds, bounds[1:])]
+        counts = [np.diff(x, prepend=0).astype(np.int32) for x in (np.array(stops_a)[last], np.array(stops_b)[last], last + 1)]
+        return *counts, pairs, texts
 
     def places(self, units: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The remembered rows of distinct units."""
@@ -152,25 +153,21 @@ class Aligned:
         at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
         new = np.flatnonzero((self.hashes[at] != hashes) | (self.checks[at] != checks)) if len(self.hashes) else np.arange(len(hashes))
         if len(new):
-            fresh = units.take(pa.array(new)).to_pylist()
-            done: list = [None] * len(fresh)
-            joint = [i for i, unit in enumerate(fresh) if _closed(unit)]
-            for i in range(0, len(joint), TOGETHER):
-                some = joint[i:i + TOGETHER]
-                for k, found in zip(some, self.align([fresh[k] for k in some])):
-                    done[k] = found
-            for i in set(range(len(fresh))).difference(joint):
-                done[i], = self.align([fresh[i]])
-            empty = (0, 0, np.zeros(0, np.int64), b"")
-            n_a, n_b, pairs, texts = zip(*[x or empty for x in done])
-            counts = np.array([len(x[2]) if x else -1 for x in done], np.int64)
-            begins = len(self.pairs) + np.cumsum([len(x) for x in pairs]) - [len(x) for x in pairs]
-            objects = np.empty(len(texts), object)
-            objects[:] = texts
-            rows = np.arange(len(done)) + len(self.n_a)
+            # Closed units many at a time, the others one by one.
+            closed = _closed(data, offsets)[new]
+            new = np.concatenate((new[closed], new[~closed]))
+            n, limits = int(closed.sum()), []
+            limits = [*range(0, n, TOGETHER), *range(n, len(new)), len(new)]
+            done = [self.align(units.take(pa.array(new[i:j])).to_pylist()) for i, j in zip(limits, limits[1:])]
+            n_a, n_b, groups, pairs = (np.concatenate(x) for x in list(zip(*done))[:4])
+            sizes = np.maximum(groups, 0).astype(np.int64)
+            begins = len(self.pairs) + np.cumsum(sizes) - sizes
+            texts = np.empty(len(new), object)
+            texts[:] = [t for x in done for t in x[4]]
+            rows = (np.arange(len(new)) + len(self.n_a)).astype(np.int32)
             self.n_a, self.n_b = np.concatenate([self.n_a, n_a]), np.concatenate([self.n_b, n_b])
-            self.groups, self.begins = np.concatenate([self.groups, counts]), np.concatenate([self.begins, begins])
-            self.pairs, self.texts = np.concatenate([self.pairs, *pairs]), np.concatenate([self.texts, objects])
+            self.groups, self.begins = np.concatenate([self.groups, groups]), np.concatenate([self.begins, begins])
+            self.pairs, self.texts = np.concatenate([self.pairs, pairs]), np.concatenate([self.texts, texts])
             merged = [np.concatenate(x) for x in ((self.hashes, hashes[new]), (self.checks, checks[new]), (self.row, rows))]
             order = np.argsort(merged[0], kind="stable")
             self.hashes, self.checks, self.row = (x[order] for x in merged)
@@ -190,7 +187,7 @@ def worker_units(byte_bpe: str, piece_model: str) -> Aligned:
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    total = np.concatenate(([0], np.cumsum(values)))
+    total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
@@ -223,7 +220,7 @@ def _blocks(byte_bpe: str, piece_model: str, texts: bool):
                 joined = [b";".join(words[some].tolist()) if ok else b"" for some, ok in zip(lists, fit.tolist())]
                 digests = [hashlib.sha256(t).hexdigest() if ok else "" for t, ok in zip(joined, fit.tolist())]
                 links = np.where(fit, _sums(np.maximum(groups, 0)[codes], bounds), 0)
-                counts = np.maximum(groups, 0)
+                counts = np.maximum(groups, 0).astype(np.int64)
                 pairs, inverse = np.unique(known.pairs[_spread(known.begins[row], counts)], return_inverse=True)
                 used = np.bincount(codes[np.repeat(fit, np.diff(bounds))], minlength=len(units))
                 times = np.bincount(inverse, np.repeat(used, counts), len(pairs)).astype(np.int64)
