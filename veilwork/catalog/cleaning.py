@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.textnorm import parse_epoch, parse_time
-from ..operators.cleaning import (align_schema, assign_record_id, coalesce_text, display_fields, drop_incomplete,
+from ..operators.cleaning import (align_schema, coalesce_text, display_fields, drop_incomplete,
                                   keyword_filter, label_encode, min_words, normalize_spans, policy_event_view,
-                                  sample_preview, select_splits, unique_emails)
+                                  sample_preview, select_splits, unique_emails, with_record_id)
 from ..operators.ranking import hash_order
+from ..session import fresh_dir
+from ..sources.jsonl import parse_lines
+from ..sources.lines import numbered_lines
 from ..sources.sinks import client_agent, client_ip
 from .base import LABELLED_SQL, hash_sql, query
 
@@ -34,7 +37,13 @@ def words(t):
 @query("assign_record_id", f"""SELECT id, text FROM (SELECT lang || '_' || CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS VARCHAR) AS id,
   {_STRIPPED} AS text, {_WORDS} AS n FROM documents) WHERE n >= 5""")
 def record_ids(t):
-    return min_words(assign_record_id(t.documents.select("doc_id", "lang", "text"), "lang", "doc_id")).select("id", "text")
+    """Ids from the physical lines of each split's files, really written; short texts are dropped after they are numbered."""
+    path = fresh_dir(t.spark, "splits")
+    rows = t.documents.select("lang", "doc_id", F.to_json(F.struct("text")).alias("value"))
+    rows.repartitionByRange(4, "lang", "doc_id").sortWithinPartitions("lang", "doc_id").drop("doc_id").write.partitionBy("lang").text(path)
+    lines = numbered_lines(t.spark, path, by="folder").withColumn("split", F.url_decode(F.regexp_extract("file", "/lang=([^/]*)/", 1)))
+    parsed = parse_lines(with_record_id(lines, "split", "line_no").select("id", "value"), F.col("value"), "text STRING")
+    return min_words(parsed.select("id", "text"))
 
 
 @query("constant_label", "SELECT doc_id, 'unsafe' AS label, 0 AS y FROM documents")

@@ -9,9 +9,9 @@ from ..functions.textnorm import escape_newlines
 from ..operators.metrics import confusion, report_rows
 from ..plans.analyze import analyze, policy_events
 from ..session import fresh_dir
-from ..sources.chat_log import log_line, parse_log
-from ..sources.jsonl import (first_lines, override_label, parse_lines, read_jsonl, union_sources, write_jsonl,
-                             write_lines)
+from ..sources.chat_log import log_line, read_chat_log
+from ..sources.jsonl import override_label, parse_lines, read_jsonl, union_sources, write_jsonl, write_lines
+from ..sources.lines import first_numbered, numbered_lines
 from ..sources.policy import load_policy, policy_table
 from ..sources.sinks import (append_table, audit_event_rows, chat_message_rows, client_agent, client_ip,
                              policy_event_log, write_metrics)
@@ -42,10 +42,16 @@ def override(t):
     return override_label(parsed, "unsafe").drop("line")
 
 
-@query("read_first_n_lines", """SELECT source, doc_id, text FROM (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS line FROM documents) WHERE line <= 20 AND doc_id % 7 <> 0""")
+@query("read_first_n_lines", """SELECT source, line_no, doc_id, text FROM (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS line_no FROM documents) WHERE line_no < 20 AND doc_id % 7 <> 0""")
 def first_n(t):
-    return parse_lines(first_lines(_lines(t), "source", "doc_id", 20), F.col("line"), "text STRING").drop("line")
+    """The first lines of each source's files, broken ones counted, from files really written."""
+    path = fresh_dir(t.spark, "sources")
+    lines = _lines(t).repartitionByRange(4, "source", "doc_id").sortWithinPartitions("source", "doc_id")
+    lines.select("source", F.col("line").alias("value")).write.partitionBy("source").text(path)
+    first = first_numbered(numbered_lines(t.spark, path, by="folder"), 20)
+    named = first.select(F.url_decode(F.regexp_extract("file", "/source=([^/]*)/", 1)).alias("source"), "line_no", "value")
+    return parse_lines(named, F.col("value"), "id BIGINT, text STRING").select("source", "line_no", F.col("id").alias("doc_id"), "text")
 
 
 @query("union_sources", """SELECT 'documents' AS source, doc_id AS id, text, lang, NULL AS url FROM documents
@@ -162,14 +168,17 @@ def chat_log_lines(t):
         _iso(F.expr(_AT)), F.expr(_LOG_USER), F.expr(_LOG_ACTION), F.col("text")).alias("line"))
 
 
-@query("parse_chat_log", f"""SELECT conv_id, turn, 0 AS record_no, {_ISO_SQL.format(_AT_SQL)} AS ts, {_LOG_USER} AS "user",
+@query("parse_chat_log", f"""SELECT 2 * (row_number() OVER (ORDER BY conv_id, turn) - 1) AS record_no, {_ISO_SQL.format(_AT_SQL)} AS ts, {_LOG_USER} AS "user",
   {_LOG_ACTION} AS action, text || ' | more' AS text FROM conversations
-UNION ALL SELECT conv_id, turn, 1, '2025-01-01T00:00:00+00:00', NULL, 'block', 'second' || chr(10) || 'line' FROM conversations""")
+UNION ALL SELECT 2 * row_number() OVER (ORDER BY conv_id, turn) - 1, '2025-01-01T00:00:00+00:00', NULL, 'block', 'second' || chr(10) || 'line ' || conv_id FROM conversations""")
 def chat_log_records(t):
-    """Two records per blob; the texts hold newlines and the field separator."""
+    """A log of all conversations, written as a few files and read back; texts hold newlines and the field separator."""
+    path = fresh_dir(t.spark, "chat_log")
     first = log_line(_iso(F.expr(_AT)), F.expr(_LOG_USER), F.expr(_LOG_ACTION), F.concat("text", F.lit(" | more")))
-    blob = F.concat(first, F.lit("\n2025-01-01T00:00:00+00:00 | user=guest | block | second\nline\n"))
-    return parse_log(t.conversations.select("conv_id", "turn", blob.alias("blob")), F.col("blob"), "conv_id", "turn")
+    second = F.concat(F.lit("\n2025-01-01T00:00:00+00:00 | user=guest | block | second\nline "), F.col("conv_id").cast("string"))
+    rows = t.conversations.select("conv_id", "turn", F.concat(first, second).alias("value"))
+    rows.repartitionByRange(3, "conv_id", "turn").sortWithinPartitions("conv_id", "turn").select("value").write.text(path)
+    return read_chat_log(t.spark, path, by="folder").drop("file")
 
 
 @query("append_audit_event", """SELECT user_id, event_type, CASE WHEN event_id % 5 = 0 THEN '{}' ELSE '{"k":' || (props->>'k') || ',"value":"' || event_type || '"}' END AS event_data,

@@ -37,14 +37,18 @@ def min_words(df: DataFrame, text: str = "text", least: int = MIN_WORDS) -> Data
     return df.withColumn(text, strip(F.coalesce(F.col(text), F.lit("")))).filter(word_count(F.col(text)) >= least)
 
 
+def with_record_id(df: DataFrame, split: str, index: str, out: str = "id") -> DataFrame:
+    """split_index of rows that carry their index, such as the physical lines of a split's files."""
+    return df.withColumn(out, F.concat(F.col(split), F.lit("_"), F.col(index).cast("string")))
+
+
 def assign_record_id(df: DataFrame, split: str, ordinal: str, out: str = "id", width: int = 100_000) -> DataFrame:
-    """split_index, where the index counts all rows of the split from 0 in source order.
+    """split_index for rows without an index: all rows of the split are counted from 0 by `ordinal`.
 
     Call it before filtering, so that skipped rows count.
     """
     ranked = running_rank(df, [split], [F.col(ordinal)], F.floor(F.col(ordinal) / width), "_index")
-    name = F.concat(F.col(split), F.lit("_"), (F.col("_index") - 1).cast("string"))
-    return ranked.withColumn(out, name).drop("_index")
+    return with_record_id(ranked.withColumn("_index", F.col("_index") - 1), split, "_index", out).drop("_index")
 
 
 def select_splits(df: DataFrame, split: str, names: list[str] = SPLITS) -> DataFrame:

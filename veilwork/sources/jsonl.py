@@ -6,8 +6,6 @@ import functools
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..operators.ranking import running_rank
-
 BROKEN = "_broken"
 
 
@@ -39,15 +37,6 @@ def parse_lines(df: DataFrame, line: Column, schema: str) -> DataFrame:
     return rows.select(*kept, *[F.col(f"_row.{n}").alias(n) for n in wanted.names])
 
 
-def first_lines(df: DataFrame, source: str, ordinal: str, n: int, width: int = 100_000) -> DataFrame:
-    """The first n physical lines of every source, broken ones included in the count.
-
-    `ordinal` numbers lines in source order; its gaps do not matter.
-    """
-    ranked = running_rank(df, [source], [F.col(ordinal)], F.floor(F.col(ordinal) / width), "_line")
-    return ranked.filter(F.col("_line") <= n).drop("_line")
-
-
 def union_sources(named: dict[str, DataFrame | None]) -> DataFrame:
     """All sources by column name, with a `source` column; sources that are None are skipped."""
     frames = [df.withColumn("source", F.lit(name)) for name, df in named.items() if df is not None]
