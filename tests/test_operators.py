@@ -200,7 +200,4 @@ def test_json_text(spark):
 
 def test_registered_models_have_real_sizes(spark):
     from veilwork.catalog import models
-    from veilwork.operators.models import estimators
-
-    boosted = estimators(models.SIZES)["xgboost"]
-    assert (boosted.getMaxIter(), boosted.getMaxDepth()) == (250, 7)
+    assert (models.SIZES.boost_rounds, models.SIZES.boost_depth, models.SIZES.trees, models.SIZES.tree_depth) == (250, 7, 160, 16)

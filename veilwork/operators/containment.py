@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.codes import code_slices
 from ..session import Scratch
 
 # Pieces are GRAM characters long. Of every run of WINDOW neighbouring pieces the one with the
@@ -18,42 +19,67 @@ SHORT = GRAM + WINDOW - 1
 _MULTIPLIER = 0x5851F42D4C957F2D
 
 
-def _piece_hashes(codes: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all runs of `size` characters, in order, from running sums: linear at any size."""
-    if len(codes) < size:
-        return np.empty(0, np.uint64)
-    powers = np.full(len(codes), _MULTIPLIER, np.uint64)
-    powers[0] = 1
-    np.multiply.accumulate(powers, out=powers)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * powers)))
-    powers[:] = pow(_MULTIPLIER, -1, 1 << 64)
-    powers[0] = 1
-    np.multiply.accumulate(powers, out=powers)
-    value = (total[size:] - total[:-size]) * powers[:len(codes) - size + 1] + np.uint64(size)
-    value ^= value >> np.uint64(29)
-    value *= np.uint64(0xBF58476D1CE4E5B9)
-    return value ^ (value >> np.uint64(32))
-
-
-def _kept(codes: np.ndarray, lengths: list[int]) -> np.ndarray:
-    """Distinct lowest hashes over the runs of pieces, and all hashes of the short lengths."""
-    found = [_piece_hashes(codes, n) for n in lengths]
-    pieces = _piece_hashes(codes, GRAM)
-    if len(pieces) >= WINDOW:
-        found.append(np.lib.stride_tricks.sliding_window_view(pieces, WINDOW).min(axis=1))
-    return np.unique(np.concatenate(found)).view(np.int64) if found else np.empty(0, np.int64)
+class _Hashes:
+    """Hashes of runs of characters anywhere in texts that lie end to end, from running sums: linear at any size."""
+
+    def __init__(self, codes: np.ndarray):
+        powers = np.full(len(codes) + 1, _MULTIPLIER, np.uint64)
+        powers[0] = 1
+        np.multiply.accumulate(powers, out=powers)
+        self.total = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=self.total[1:])
+        powers[:] = pow(_MULTIPLIER, -1, 1 << 64)
+        powers[0] = 1
+        self.back = np.multiply.accumulate(powers, out=powers)
+
+    def __call__(self, starts: np.ndarray, sizes) -> np.ndarray:
+        value = (self.total[starts + sizes] - self.total[starts]) * self.back[starts] + np.asarray(sizes).astype(np.uint64)
+        value ^= value >> np.uint64(29)
+        value *= np.uint64(0xBF58476D1CE4E5B9)
+        return value ^ (value >> np.uint64(32))
+
+
+def _starts(bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, start) of all runs of `size` characters that lie in one text."""
+    counts = np.maximum(np.diff(bounds) - size + 1, 0)
+    rows = np.repeat(np.arange(len(counts)), counts)
+    return rows, np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + bounds[rows]
+
+
+def _kept(codes: np.ndarray, bounds: np.ndarray, lengths: list[int], own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, hash): the lowest over each run of pieces, and those of the short lengths."""
+    hashes, found = _Hashes(codes), []
+    if own:
+        sizes = np.diff(bounds)
+        short = np.flatnonzero((sizes > 0) & (sizes < SHORT))
+        found.append((short, hashes(bounds[short], sizes[short])))
+    for n in lengths:
+        rows, starts = _starts(bounds, n)
+        found.append((rows, hashes(starts, n)))
+    rows, starts = _starts(bounds, SHORT)
+    if len(rows):
+        pieces = hashes(np.arange(len(codes) - GRAM + 1), GRAM)
+        lowest = pieces[:len(pieces) - WINDOW + 1].copy()
+        for k in range(1, WINDOW):
+            np.minimum(lowest, pieces[k:len(pieces) - WINDOW + 1 + k], out=lowest)
+        lowest = lowest[starts]
+        # Neighbouring runs mostly share their lowest piece.
+        new = np.concatenate(([True], (lowest[1:] != lowest[:-1]) | (rows[1:] != rows[:-1])))
+        found.append((rows[new], lowest[new]))
+    rows, values = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    order = np.lexsort((values, rows))
+    rows, values = rows[order], values[order]
+    new = np.concatenate(([True], (rows[1:] != rows[:-1]) | (values[1:] != values[:-1]))) if len(rows) else np.zeros(0, bool)
+    return rows[new], values[new].view(np.int64)
 
 
 def _pieces(lengths: list[int], own: bool):
     """(row, text) -> (row, piece); `own`: a short string's only piece is itself."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, text in zip(batch.column(0), batch.column(1)):
-                codes = np.frombuffer((text.as_py() or "").encode("utf-32-le"), np.uint32).astype(np.uint64)
-                some = ([len(codes)] if len(codes) < SHORT else []) if own else lengths
-                kept = _kept(codes, some)
-                if len(kept):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), row.as_py(), np.int64)), pa.array(kept)], ["row", "piece"])
+            for first, end, codes, bounds in code_slices(batch.column(1)):
+                rows, pieces = _kept(codes, bounds, lengths, own)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first).take(pa.array(rows)), pa.array(pieces)], ["row", "piece"])
 
     return run
 
