@@ -159,6 +159,25 @@ def test_mixing_rates_hold_over_seeds(spark):
     assert abs(found["big"] - 1000) < 130 and abs(found["small"] - 3000) < 230
 
 
+def test_mixing_at_high_rates(spark):
+    """No rate is special: counts at 20, 700 and 5000 are the Poisson distribution inverted at each document's number."""
+    import hashlib
+
+    for rate, n in ((20.0, 40), (700.0, 300), (5000.0, 20)):
+        rows = spark.createDataFrame([(i, "t", "s", 3, "x") for i in range(n)], "doc_id long, text string, source string, _copy int, _ORDER string")
+        found = Counter(r.doc_id for r in mix_sources(rows, total=rate * n).select("doc_id").collect())
+        terms = [math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) for k in range(int(2 * rate + 200))]
+        for i in range(n):
+            u, k, total = (int(hashlib.md5(f"20|{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2 ** 52, 0, terms[0]
+            while total < u:
+                k += 1
+                total += terms[k]
+            assert found[i] == k
+        if n == 300:
+            values = np.array([found[i] for i in range(n)])
+            assert abs(values.mean() - rate) < 6 and 500 < values.var() < 900
+
+
 def test_hash_tree(spark):
     rows = [(i, f"t{i}", "s") for i in range(6000)] + [(None, None, "s"), (None, "é", "s"), (3, "t3", "s")]
     got = hash_tree_shards(frame(spark, rows), regular_tree(24), regular_tree(25)).collect()

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import Scratch
 
@@ -21,21 +21,22 @@ def hash_unit(*parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
-def poisson_steps(rate: Column) -> Column:
-    """Distribution function of a Poisson distribution at 0, 1, ... up to where it is 1 to 52 bits.
+def poisson_steps(rates: DataFrame) -> DataFrame:
+    """(_source, low, steps): a Poisson distribution function at low, low + 1, ... for each (_source, rate).
 
-    Terms are summed in order. The number of steps follows from the rate; above a rate of 600 a
-    document gets the rounded rate instead (the terms no longer fit a double).
+    Terms are products of rate / k, taken as sums of logarithms from `low` on and scaled by the
+    largest one, so no rate is too large for them. What lies 12 deviations and 24 off the mean has a
+    share of less than 1e-30 and is left out; a rate has about 24 times its root in steps.
     """
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 24).cast("int")
-    start = F.struct(F.exp(-rate).alias("term"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("steps"))
-
-    def step(done: Column, k: Column) -> Column:
-        term = done["term"] * rate / k
-        total = done["sum"] + term
-        return F.struct(term.alias("term"), total.alias("sum"), F.concat(done["steps"], F.array(total)).alias("steps"))
-
-    return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda done: done["steps"])
+    reach = F.lit(12) * F.sqrt("rate") + 24
+    low, high = F.greatest(F.floor(F.col("rate") - reach), F.lit(0)), F.ceil(F.col("rate") + reach)
+    terms = rates.filter("rate > 0").select("_source", "rate", F.explode(F.sequence(low, high)).alias("k"), low.alias("low"))
+    whole = Window.partitionBy("_source")
+    upto = whole.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    terms = terms.withColumn("log", F.sum(F.when(F.col("k") > F.col("low"), F.ln(F.col("rate") / F.col("k"))).otherwise(0.0)).over(upto))
+    terms = terms.withColumn("term", F.exp(F.col("log") - F.max("log").over(whole)))
+    terms = terms.withColumn("step", F.sum("term").over(upto) / F.sum("term").over(whole))
+    return terms.groupBy("_source").agg(F.min("k").alias("low"), F.array_sort(F.collect_list("step")).alias("steps"))
 
 
 def repetition_rates(docs: DataFrame, source: str, temperature: float, total: float | None,
@@ -66,24 +67,23 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source: str = "source",
 
     Null sources are a source of their own. Null texts and other nulls are data like any other.
     Rows without an id draw by a hash of all their columns, rows that repeat an id draw alike;
-    with `row` (a column that tells rows apart) each row draws for itself. Columns _copy and
-    _order are replaced if `docs` has them. An empty table gives an empty result.
+    with `row` (a column that tells rows apart) each row draws for itself. Texts of any length
+    travel whole; rows with one _order (a repeated id) come in any order. Columns _copy and
+    _order, in whatever letter case, are replaced if `docs` has them; other columns are kept. An
+    empty table gives an empty result.
     """
     rates = repetition_rates(docs, source, temperature, total, weights)
     # Written, so that Spark knows its size: few sources are broadcast, many are joined by sorting.
-    rates = Scratch(docs.sparkSession, "mixing").table(rates.select(
-        F.col("source").alias("_source"), "rate",
-        F.when(F.col("rate") <= 600, poisson_steps(F.least("rate", F.lit(600.0)))).alias("steps")), "rates")
+    rates = Scratch(docs.sparkSession, "mixing").table(poisson_steps(rates.select(F.col("source").alias("_source"), "rate")), "rates")
     # The row travels as one struct, so that no name of its can clash.
-    names = [c for c in docs.columns if c not in ("_copy", "_order")]
+    names = [c for c in docs.columns if c.lower() not in ("_copy", "_order")]
     rest = F.xxhash64(*[F.col(f"`{c}`") for c in names])
     key = F.col(row or id_col).cast("string")
     if row is None:
         key = F.coalesce(key, F.concat(F.lit("~"), rest.cast("string")))
     drawn = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col(source).alias("source"), key.alias("key"))
     unit = hash_unit(F.lit(str(seed)), F.col("key"))
-    count = F.when(F.col("steps").isNull(), F.round("rate")).otherwise(
-        F.size(F.filter("steps", lambda s: s < unit))).cast("int")
+    count = (F.col("low") + F.size(F.filter("steps", lambda s: s < unit))).cast("int")
     joined = drawn.join(rates, F.col("source").eqNullSafe(F.col("_source"))).select("doc", "key", count.alias("count"))
     repeated = joined.filter("count > 0").select("doc", "key", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("_copy"))
     order = F.md5(F.concat_ws("|", F.lit(f"order{seed}"), "key", F.col("_copy").cast("string")))

@@ -71,11 +71,11 @@ def op4(spark, folder):
     return url_verdicts(spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url"), RULES)
 
 
-# Base rates and Poisson steps as in mixing.py; the number comes from the same 52 bits.
-@query("op5_source_mixing", """WITH RECURSIVE n AS (SELECT source, count(*) AS n, sqrt(count(*)) AS w FROM documents GROUP BY source),
+# Base rates as in mixing.py, steps from the logarithm of the gamma function; the number comes from the same 52 bits.
+@query("op5_source_mixing", """WITH n AS (SELECT source, count(*) AS n, sqrt(count(*)) AS w FROM documents GROUP BY source),
 rates AS (SELECT source, ((SELECT sum(n) FROM n)::DOUBLE * w / (SELECT sum(w ORDER BY source) FROM n)) / n AS rate FROM n),
-steps AS (SELECT source, rate, 0 AS k, exp(-rate) AS term, exp(-rate) AS total FROM rates
-  UNION ALL SELECT source, rate, k + 1, term * rate / (k + 1), total + term * rate / (k + 1) FROM steps WHERE k < 60),
+terms AS (SELECT source, rate, unnest(range(CAST(ceil(rate + 12 * sqrt(rate) + 24) AS BIGINT))) AS k FROM rates),
+steps AS (SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS total FROM terms),
 units AS (SELECT doc_id, source, (('0x' || substr(md5('20|' || CAST(doc_id AS VARCHAR)), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
 counts AS (SELECT doc_id, u.source, count(*) FILTER (s.total < u.u) AS n FROM units u JOIN steps s ON u.source IS NOT DISTINCT FROM s.source GROUP BY ALL)
 SELECT doc_id, source, CAST(c AS INT) AS copy, md5('order20|' || CAST(doc_id AS VARCHAR) || '|' || CAST(c AS VARCHAR)) AS shuffle_key
