@@ -15,6 +15,7 @@ distinct unit of a task once.
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 
@@ -39,6 +40,8 @@ _BYTES = _ORDERS - 1
 _BACK = max(CONTEXT_BYTES)
 #: Bytes of text that a task works on at a time, and units that it counts before it learns from them.
 SLICE, BLOCK = 1 << 20, 3 << 18
+#: Units whose costs a task remembers from slice to slice.
+REMEMBERED = 1 << 20
 _GATES = (_BYTES + 1) * 5 * 2 * 5 * 8
 _STEPS, _REACH = 33, 8.0
 _PART, _WORD, _TEXT, _WEIGHT = 0, 1, 2, 3
@@ -215,11 +218,16 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(_TEXT, key=[0], n=[texts])
         at, values, masses = online.learned()
         yield _rows(_WEIGHT, at=at, value=values, mass=masses)
-    for order, table in enumerate(online.mixer.tables):
+    tables = online.mixer.tables
+    online = units = names = None
+    for order in range(_ORDERS):
+        table, tables[order] = tables[order], None
         found = [(k, zlib.compress(piece.tobytes(), 1)) for k, piece in enumerate(table.reshape(-1, 2 << PART_BITS)) if piece.any()]
         for first in range(0, len(found), 64):
             some = found[first:first + 64]
             yield _rows(_PART, at=[order] * len(some), part=[k for k, _ in some], counts=[c for _, c in some])
+        del found, table
+    give_back()
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,13 +264,22 @@ def load_tables(rows) -> list[np.ndarray]:
     return tables
 
 
-def packed(tables: list[np.ndarray]) -> list[bytes]:
-    """Tables as they travel: each executor keeps a copy on disk, and little text leaves them mostly empty."""
-    return [zlib.compress(t.tobytes(), 1) for t in tables]
+class Packed:
+    """Bytes that travel compressed (each executor keeps a copy on disk) and are plain bytes where they arrive."""
 
+    def __init__(self, raw: bytes):
+        self.small = zlib.compress(raw, 1)
 
-def unpacked(tables: list[bytes]) -> list[np.ndarray]:
-    return [np.frombuffer(zlib.decompress(t), np.uint32) for t in tables]
+    def __reduce__(self):
+        return zlib.decompress, (self.small,)
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system: workers wait for their next task with all they ever held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim is not None:
+        trim(0)
 
 
 class Mixer:
@@ -408,7 +425,7 @@ def _score(tables, rest):
     """(id, held, text) -> sums per row, and the words that the broadcast counts don't hold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, refined, names, counts = rest.value
-        mixer = Mixer(unpacked(tables.value), weights, refined)
+        mixer = Mixer([np.frombuffer(t, np.uint32) for t in tables.value], weights, refined)
         known, costs, powers = np.zeros(0, np.uint64), np.zeros(0), Powers()
         for batch in batches:
             for i, j, data, offsets in parts(batch.column(2), SLICE):
@@ -418,15 +435,15 @@ def _score(tables, rest):
                 order, starts = runs(keys)
                 first = order[starts]
                 found = keys[first]
-                if len(known) > 1 << 21:
-                    known, costs = known[:0], costs[:0]
+                if len(known) > REMEMBERED:
+                    known, costs = known[:0].copy(), costs[:0].copy()
                 at = np.minimum(np.searchsorted(known, found), max(len(known) - 1, 0))
                 new = known[at] != found if len(known) else np.ones(len(found), bool)
                 cost = costs[at] if len(known) else np.zeros(len(found))
                 cost[new] = mixer.costs(grams[first[new]], prefixes[first[new]])
-                known, costs = np.concatenate([known, found[new]]), np.concatenate([costs, cost[new]])
-                by = np.argsort(known, kind="stable")
-                known, costs = known[by], costs[by]
+                by = np.argsort(found[new])
+                at = np.searchsorted(known, found[new][by])
+                known, costs = np.insert(known, at, found[new][by]), np.insert(costs, at, cost[new][by])
                 rows = np.repeat(np.arange(j - i), np.diff(bounds))
                 spent = np.empty(len(keys))
                 spent[order] = np.repeat(cost, np.diff(np.append(starts, len(keys))))
@@ -470,7 +487,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_
     rows = filled.toArrow()
     tables = load_tables(zip(*[rows.column(c).to_pylist() for c in ("order", "part", "counts")]))
     del rows
-    tables = spark.sparkContext.broadcast(packed(tables))
+    tables = spark.sparkContext.broadcast([Packed(t.tobytes()) for t in tables])
     sums = of(_WEIGHT).groupBy("at").agg(F.sum("value"), F.sum("mass"))
     weights, refined = _averaged(sorted(map(tuple, sums.collect())))
 
