@@ -13,8 +13,8 @@ from ..sources.chat_log import log_line, read_chat_log
 from ..sources.jsonl import override_label, parse_lines, read_jsonl, union_sources, write_jsonl, write_lines
 from ..sources.lines import first_numbered, numbered_lines
 from ..sources.policy import load_policy, policy_table
-from ..sources.sinks import (append_table, audit_event_rows, chat_message_rows, client_agent, client_ip,
-                             policy_event_log, write_metrics)
+from ..sources.appends import append_once, read_appended
+from ..sources.sinks import audit_event_rows, chat_message_rows, client_agent, client_ip, policy_event_log, write_metrics
 from .base import CORPUS_SQL, SCORED_SQL, TEXTS_SQL, query, quote
 from .finding_sql import ACTION_SQL, findings_sql, flags_sql, merged_sql
 from .decisions import POLICY
@@ -122,6 +122,10 @@ _AT_SQL = "TIMESTAMP '2024-03-01 00:00:00' + to_hours(conv_id) + to_minutes(turn
 _ISO_SQL = "strftime({0}, '%Y-%m-%dT%H:%M:%S')"
 
 
+def _schema(df) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 def _iso(col):
     return F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss")
 
@@ -132,10 +136,11 @@ def chat_messages(t):
     path = fresh_dir(t.spark, "chat_messages")
     user = F.when(F.col("conv_id") % 3 > 0, F.col("conv_id"))
     rows = chat_message_rows(t.conversations, user, F.col("role"), F.col("text"), F.expr(_AT))
-    append_table(rows.filter(F.col("role") == "user"), path)
-    append_table(rows.filter(F.col("role") != "user"), path)
-    return t.spark.read.parquet(path).withColumns(
-        {"created_at": _iso(F.col("created_at")), "day": F.col("day").cast("string")})
+    append_once(rows.filter(F.col("role") == "user"), path, "users")
+    append_once(rows.filter(F.col("role") != "user"), path, "others")
+    append_once(rows.filter(F.col("role") != "user"), path, "others")  # a repeated job
+    written = read_appended(t.spark, path, "user_id BIGINT, role STRING, content STRING, created_at TIMESTAMP, day DATE")
+    return written.withColumns({"created_at": _iso(F.col("created_at")), "day": F.col("day").cast("string")})
 
 
 @query("append_policy_event", f"""WITH RECURSIVE {TEXTS_SQL}, {findings_sql('texts')}, {merged_sql('texts')}, {flags_sql('texts', POLICY)},
@@ -153,8 +158,8 @@ def policy_log(t):
     at = F.expr("TIMESTAMP '2024-01-01 00:00:00' + id * INTERVAL '1' MINUTE")
     rows = policy_event_log(done, F.when(F.col("id") % 4 > 0, F.col("id")), F.col("policy_id"), F.col("action"),
                             F.col("all_findings"), client_ip(headers), client_agent(headers), F.col("safe_text"), at)
-    append_table(rows, path)
-    return t.spark.read.parquet(path).drop("day").withColumn("created_at", _iso(F.col("created_at")))
+    append_once(rows, path, "documents")
+    return read_appended(t.spark, path, f"{_schema(rows)}, day DATE").drop("day").withColumn("created_at", _iso(F.col("created_at")))
 
 
 _LOG_ACTION = "CASE turn % 3 WHEN 0 THEN 'allow' WHEN 1 THEN 'mask' ELSE 'block' END"
@@ -188,8 +193,8 @@ def audit_events(t):
     data = F.when(F.col("event_id") % 5 != 0, F.struct(
         F.get_json_object("props", "$.k").cast("int").alias("k"), F.col("event_type").alias("value")))
     rows = audit_event_rows(t.events, F.col("user_id"), F.col("event_type"), data, F.col("ts").cast("timestamp"))
-    append_table(rows, path)
-    return t.spark.read.parquet(path).drop("day").withColumn("created_at", _iso(F.col("created_at")))
+    append_once(rows, path, "events")
+    return read_appended(t.spark, path, f"{_schema(rows)}, day DATE").drop("day").withColumn("created_at", _iso(F.col("created_at")))
 
 
 @query("scan_table", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")

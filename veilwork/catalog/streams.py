@@ -8,7 +8,10 @@ from ..functions.decisions import decide
 from ..functions.detection import with_findings
 from ..streaming.gateway import (action_counts, analyze_stream, policy_event_stream, read_table_stream,
                                  run_to_table, session_stream)
+from ..session import fresh_dir
+from ..sources.appends import append_stream, read_appended
 from ..streaming.quota import guest_quota_stream
+from ..streaming.scores import attach_score_stream, decide_scored
 from .base import query
 from .decisions import POLICY
 from .finding_sql import ACTION_SQL, findings_sql, flags_sql, merged_sql
@@ -31,7 +34,10 @@ def gateway(t):
   CASE {ACTION_SQL} WHEN 'block' THEN '[BLOCKED BY POLICY]' WHEN 'mask' THEN coalesce(nullif(out, ''), '[MASKED]') ELSE text END AS safe_text
 FROM texts JOIN masked USING (id) JOIN flags USING (id)""")
 def events(t):
-    return run_to_table(policy_event_stream(_documents(t)).select("id", "policy_id", "safe_text"), "policy-events")
+    """Events appended micro-batch by micro-batch, each once."""
+    path, state = fresh_dir(t.spark, "policy-events"), fresh_dir(t.spark, "policy-events-state")
+    append_stream(policy_event_stream(_documents(t)).select("id", "policy_id", "safe_text"), path, state, "events")
+    return read_appended(t.spark, path, "id BIGINT, policy_id STRING, safe_text STRING")
 
 
 def _events(t):
@@ -42,7 +48,39 @@ def _events(t):
 FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM (
   SELECT event_id, CASE WHEN event_id % 4 > 0 THEN user_id END AS user_id, ts FROM events))""")
 def quota(t):
-    return guest_quota_stream(_events(t).select("event_id", F.expr("IF(event_id % 4 > 0, user_id, NULL)").alias("user_id"), "ts"), "user_id", "ts", "event_id").drop("ts")
+    messages = _events(t).select("event_id", F.expr("IF(event_id % 4 > 0, user_id, NULL)").alias("user_id"), "ts")
+    return run_to_table(guest_quota_stream(messages, "user_id", "ts", "event_id"), "quota").drop("ts")
+
+
+# A score per message but for every fifth; every seventh comes an hour late, every ninth before its message.
+_SCORED = "event_id % 5 <> 0"
+_DELAY = "CASE WHEN event_id % 7 = 0 THEN 3600 WHEN event_id % 9 = 0 THEN -30 ELSE event_id % 500 END"
+_SCORE = "round(CAST(event_id % 997 AS DOUBLE) / 997, 6)"
+
+
+@query("stream_scores", f"""SELECT event_id, user_id, s AS score, CASE WHEN s IS NULL THEN 'failed' ELSE 'ok' END AS scan_status,
+  CASE WHEN s >= 0.8 THEN 'block' WHEN s IS NOT NULL THEN 'allow' ELSE 'block' END AS action FROM (
+  SELECT event_id, user_id, CASE WHEN {_SCORED} AND {_DELAY} BETWEEN -60 AND 600 THEN {_SCORE} END AS s FROM events)""")
+def scored(t):
+    """Messages and their scores as two streams of files; late and missing scores give the fail-closed default.
+
+    Both streams end with a row far in the future, which tells that nothing more will come.
+    """
+    rows = t.events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    end = rows.agg((F.max("ts") + F.expr("INTERVAL 90 DAYS")).alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), F.lit(0).cast("long").alias("user_id"), "ts")
+    later = F.col("ts") + F.expr(f"make_dt_interval(0, 0, 0, {_DELAY})")
+    scores = rows.filter(_SCORED).select("event_id", later.alias("scored_at"), F.expr(_SCORE).alias("score"))
+    last = end.select("event_id", F.col("ts").alias("scored_at"), F.lit(0.0).alias("score"))
+    streams = []
+    for name, part, closing, at in (("messages", rows, end, "ts"), ("scores", scores, last, "scored_at")):
+        path = fresh_dir(t.spark, name)
+        half = F.expr("TIMESTAMP '2024-01-15 00:00:00'")
+        for piece in (part.filter(F.col(at) < half), part.filter(F.col(at) >= half), closing):
+            piece.write.mode("append").parquet(path)
+        streams.append(t.spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(path))
+    joined = attach_score_stream(*streams, "event_id", "ts", "scored_at", "score", late="40 days")
+    done = run_to_table(decide_scored(joined, "score", 0.8), "scored")
+    return done.filter("event_id >= 0").select("event_id", "user_id", "score", "scan_status", "action")
 
 
 @query("stream_sessions", """WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 8 HOUR THEN 0 ELSE 1 END AS opens FROM events),

@@ -7,21 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.textnorm import first_text
 
 
-#: Tasks, and so files, that one day of an append is dealt to.
-FILES_PER_DAY = 8
-
-
-def append_table(df: DataFrame, path: str, time_col: str = "created_at") -> None:
-    """Append to a Parquet table that is partitioned by day, so that reads can skip days.
-
-    Rows are placed by day and a salt first: a day gets FILES_PER_DAY files at most, and a day
-    that holds most rows is still several tasks.
-    """
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if df.schema[c].dataType.typeName() != "map"]), F.lit(FILES_PER_DAY))
-    dated = df.withColumn("day", F.to_date(time_col))
-    dated.repartition(F.col("day"), salt).write.mode("append").partitionBy("day").parquet(path)
-
-
 def chat_message_rows(df: DataFrame, user_id: Column, role: Column, content: Column, at: Column) -> DataFrame:
     """user_id (null for a guest), role, content, created_at."""
     return df.select(user_id.alias("user_id"), role.alias("role"), content.alias("content"),

@@ -43,24 +43,11 @@ def session_stream(events: DataFrame, user: str, at: str, gap: str = "8 hours",
 def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Process all there is into a new Parquet table and read it back."""
     spark = stream.sparkSession
-    path, state = fresh_dir(spark, label), fresh_dir(spark, f"{label}-state")
-    (stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", state)
-     .trigger(availableNow=True).start(path).awaitTermination())
-    return spark.read.schema(stream.schema).parquet(path)
-
+    return resume_to_table(stream, fresh_dir(spark, label), fresh_dir(spark, f"{label}-state"), mode)
 
-def run_batches(stream: DataFrame, label: str, build) -> DataFrame:
-    """Write build(batch, batch id, path) per micro-batch, each into its own folder.
-
-    A repeated batch overwrites its folder, so retries leave one copy.
-    """
-    spark = stream.sparkSession
-    path, state = fresh_dir(spark, label), fresh_dir(spark, f"{label}-state")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        build(batch, batch_id, path).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    (stream.writeStream.foreachBatch(write).option("checkpointLocation", state)
-     .trigger(availableNow=True).start().awaitTermination())
-    return spark.read.parquet(path).drop("batch_id")
 
+def resume_to_table(stream: DataFrame, path: str, state: str, mode: str = "append") -> DataFrame:
+    """Process what has come since the state was left, and read the whole table."""
+    (stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", state)
+     .trigger(availableNow=True).start(path).awaitTermination())
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
