@@ -41,7 +41,7 @@ _BACK = max(CONTEXT_BYTES)
 #: Bytes of text that a task works on at a time, and units that it counts before it learns from them.
 SLICE, BLOCK = 1 << 20, 3 << 18
 #: Units whose costs a task remembers from slice to slice.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 21
 _GATES = (_BYTES + 1) * 5 * 2 * 5 * 8
 _STEPS, _REACH = 33, 8.0
 _PART, _WORD, _TEXT, _WEIGHT = 0, 1, 2, 3
@@ -190,6 +190,15 @@ def _rows(kind: int, at=None, part=None, key=None, n=None, value=None, mass=None
     return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), *columns], ["kind", *given])
 
 
+def _tidy(work):
+    """The same work; what it held is given back once it has ended."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text) -> words, texts, this task's bit counts by part, and the weights it learned."""
     powers, units, names, texts = Powers(), Tallies(BLOCK), Tallies(BLOCK), 0
@@ -227,7 +236,6 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = found[first:first + 64]
             yield _rows(_PART, at=[order] * len(some), part=[k for k, _ in some], counts=[c for _, c in some])
         del found, table
-    give_back()
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -478,11 +486,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lm-scoring")
     held = F.coalesce(held_out, F.lit(True)) if held_out is not None else F.lit(False)
     source = docs.select(F.col(id_col).alias("id"), held.alias("held"), F.col(text).alias("text"))
-    learned = source.filter("NOT held").select("text").mapInArrow(_learn, _LEARNED)
+    learned = source.filter("NOT held").select("text").mapInArrow(_tidy(_learn), _LEARNED)
     learned = scratch.table(learned, "learned")
     of = lambda kind: learned.filter(F.col("kind") == kind)
     filled = of(_PART).select(F.col("at").alias("order"), "part", "counts").repartition("order", "part").sortWithinPartitions(
-        "order", "part").mapInArrow(_add_up, "order int, part int, counts binary")
+        "order", "part").mapInArrow(_tidy(_add_up), "order int, part int, counts binary")
     # Fixed size: a row for each part of the tables.
     rows = filled.toArrow()
     tables = load_tables(zip(*[rows.column(c).to_pylist() for c in ("order", "part", "counts")]))
@@ -511,7 +519,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_
 
     kind = source.schema["id"].dataType.simpleString()
     scored = scratch.table(source.mapInArrow(
-        _score(tables, rest), f"id {kind}, held boolean, tokens long, known long, gain double, score double, bytes long, rare array<long>"), "scored")
+        _tidy(_score(tables, rest)), f"id {kind}, held boolean, tokens long, known long, gain double, score double, bytes long, rare array<long>"), "scored")
     scored = scored.withColumn("row", F.monotonically_increasing_id())
     rare = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("m"))
     others = vocabulary.filter(level < least).select("key", "n")
