@@ -2,6 +2,8 @@
 
 import datetime
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ from veilwork.plans.analyze import analyze
 from veilwork.session import fresh_dir
 from veilwork.sources import appends
 from veilwork.sources.appends import append_once, append_stream, drop_unpublished, published, read_appended
-from veilwork.streaming.gateway import action_counts, analyze_stream, resume_to_table, run_to_table, session_stream
-from veilwork.streaming.quota import guest_quota_stream
+from veilwork.streaming.gateway import action_counts, analyze_stream, run_to_table, session_stream
+from veilwork.streaming.quota import _number, guest_quota_stream
 from veilwork.streaming.scores import attach_score_stream, decide_scored
 
 
@@ -63,14 +65,28 @@ def test_quota_goes_on_after_a_restart_and_touches_a_batchs_guests_only(spark):
     assert touched == [50, 2, 1]
 
 
-def test_silent_guests_start_anew(spark):
-    schema = "event_id long, ts timestamp, user_id long"
-    folder, path, state = fresh_dir(spark, "in"), fresh_dir(spark, "out"), fresh_dir(spark, "state")
-    for i in range(2):
-        spark.createDataFrame([(i, datetime.datetime(2024, 1, 1), 1)], schema).write.mode("append").parquet(folder)
-        stream = guest_quota_stream(spark.readStream.schema(schema).parquet(folder), "user_id", "ts", "event_id", forget_after_ms=1)
-        resume_to_table(stream, path, state)
-    assert {r.event_id for r in spark.read.parquet(path).collect()} == {0, 1}
+def test_silent_guests_start_anew():
+    class State:
+        value, hasTimedOut, timer = None, False, None
+        exists = property(lambda self: self.value is not None)
+        get = property(lambda self: self.value)
+
+        def update(self, value):
+            self.value = value
+
+        def setTimeoutDuration(self, ms):
+            self.timer = ms
+
+        def remove(self):
+            self.value = None
+
+    state, number = State(), _number(15, 60_000)
+    pack = pd.DataFrame({"at": [np.array([2, 1])], "key": [np.array([7, 8])]})
+    first = pd.concat(number((False, "1"), iter([pack]), state))
+    assert first["key"].tolist() == [8, 7] and state.value == (2,) and state.timer == 60_000
+    assert pd.concat(number((False, "1"), iter([pack, pack]), state))["message_no"].tolist() == [3, 4, 5, 6]
+    state.hasTimedOut = True
+    assert list(number((False, "1"), iter([]), state)) == [] and not state.exists
 
 
 def at(minutes):

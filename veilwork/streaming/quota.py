@@ -57,7 +57,8 @@ def guest_quota_stream(messages: DataFrame, guest: str, at: str, key: str, limit
     Spark keeps one number per guest and touches those of a batch's guests only; the rows' work
     is the batch's. Messages without a guest's name count as one guest, those without a time come
     first in their batch. `key` is a whole number that orders messages of one time. With
-    `forget_after_ms` a guest who is silent for so long (in processing time) starts anew.
+    `forget_after_ms` a guest who is silent for so long (in processing time) starts anew; that is
+    for streams that run on, as Spark does not end a stream that waits for timers.
     """
     named = messages.select(F.col(guest).isNull().alias("nobody"), F.coalesce(F.col(guest).cast("string"), F.lit("")).alias("guest"),
                             F.coalesce(F.unix_micros(at), F.lit(int(_NO_TIME))).alias("at"), F.col(key).cast("long").alias("key"))
