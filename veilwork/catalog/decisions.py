@@ -134,24 +134,24 @@ def scores(t):
 
 # Entities that a labelling model would give: the first two words of six or more ASCII letters
 # that stand between spaces, each with one of the document's two labels.
-_ENTITIES = "slice(filter(split(text, ' ', -1), x -> x RLIKE '^[A-Za-z]{6,}$'), 1, 2)"
-_ENTITIES_SQL = "list_filter(string_split(text, ' '), lambda x: regexp_full_match(x, '[A-Za-z]{6,}'))[1:2]"
+ENTITIES = "slice(filter(split(text, ' ', -1), x -> x RLIKE '^[A-Za-z]{6,}$'), 1, 2)"
+ENTITIES_SQL = "list_filter(string_split(text, ' '), lambda x: regexp_full_match(x, '[A-Za-z]{6,}'))[1:2]"
 
 
-def _entity_mask_sql(flags: str, out: str = "out") -> str:
-    """CTE `veiled`(id, out, names): entities masked as whole words in any case, longest first."""
+def entity_mask_sql(flags: str, most: int = 2) -> str:
+    """CTE `veiled`(id, entities, out): at most so many entities masked as whole words in any case, longest first."""
     edge = "[^\\p{L}\\p{M}\\p{N}_]"
     step = lambda text, n: f"""CASE WHEN len(e) >= {n} THEN regexp_replace({text}, '(?i)(^|{edge})(' || e[{n}] || ')($|{edge})', '\\1[REDACTED_PII]\\3', 'g') ELSE {text} END"""
     # Twice each: neighbours share the character between them.
+    steps = ",\n".join(f"veiled{k + 1} AS (SELECT id, entities, e, {step('out', k // 2 + 1)} AS out FROM {'ordered' if k == 0 else f'veiled{k}'})" for k in range(2 * most))
     return f"""ordered AS (SELECT id, out, entities, list_transform(list_sort(list_transform(list_distinct(entities), lambda x: {{'n': -length(x), 't': x}})), lambda s: s.t) AS e
   FROM masked JOIN {flags} USING (id)),
-veiled1 AS (SELECT id, entities, e, {step('out', 1)} AS out FROM ordered), veiled2 AS (SELECT id, entities, e, {step('out', 1)} AS out FROM veiled1),
-veiled3 AS (SELECT id, entities, e, {step('out', 2)} AS out FROM veiled2), veiled AS (SELECT id, entities, {step('out', 2)} AS out FROM veiled3)"""
+{steps}, veiled AS (SELECT id, entities, out FROM veiled{2 * most})"""
 
 
-@query("analyze", f"""WITH RECURSIVE {_doc_flags(f"({_two_labels('doc_id')})[1:len({_ENTITIES_SQL})]")}, {merged_sql('texts')},
+@query("analyze", f"""WITH RECURSIVE {_doc_flags(f"({_two_labels('doc_id')})[1:len({ENTITIES_SQL})]")}, {merged_sql('texts')},
 named AS (SELECT id, string_agg(name, '; ' ORDER BY ordinal) AS names FROM found GROUP BY id),
-tokens AS (SELECT doc_id AS id, {_ENTITIES_SQL} AS entities FROM documents), {_entity_mask_sql('tokens')}
+tokens AS (SELECT doc_id AS id, {ENTITIES_SQL} AS entities FROM documents), {entity_mask_sql('tokens')}
 SELECT id, {_DOC_ACTION} AS action, CASE WHEN {_DOC_ACTION} = 'mask' THEN veiled.out END AS masked_output,
   {_DOC_ACTION} = 'mask' AND veiled.out = texts.text AS unmasked,
   coalesce(names, '') AS regex_findings, array_to_string(list_sort(list_distinct(entities)), '; ') AS pii_entities,
@@ -160,7 +160,7 @@ SELECT id, {_DOC_ACTION} AS action, CASE WHEN {_DOC_ACTION} = 'mask' THEN veiled
 FROM full_flags JOIN veiled USING (id) JOIN texts USING (id) LEFT JOIN named USING (id)""")
 def full_analysis(t):
     """Findings, entities, decision, masked text and confidences of every document."""
-    texts = _with_labels(t.texts().join(_scores(t), "id", "left")).withColumn("entities", F.expr(_ENTITIES))
+    texts = _with_labels(t.texts().join(_scores(t), "id", "left")).withColumn("entities", F.expr(ENTITIES))
     labels = F.expr("slice(labels, 1, size(entities))")
     done = analyze(texts, "text", F.col("secret_score"), F.col("unsafe_score"), entities=F.col("entities"), labels=labels)
     unmasked = F.coalesce(F.col("masked_output") == F.col("text"), F.lit(False))
@@ -171,14 +171,14 @@ def full_analysis(t):
 
 @query("policy_event_rows", f"""WITH RECURSIVE {CORPUS_SQL}, {findings_sql('corpus')}, {merged_sql('corpus')}, {flags_sql('corpus', POLICY)},
 named AS (SELECT id, string_agg(name, '; ' ORDER BY ordinal) AS names FROM found GROUP BY id),
-tokens AS (SELECT id, {_ENTITIES_SQL} AS entities FROM corpus), {_entity_mask_sql('tokens')}
+tokens AS (SELECT id, {ENTITIES_SQL} AS entities FROM corpus), {entity_mask_sql('tokens')}
 SELECT id, {ACTION_SQL} AS action, CASE {ACTION_SQL} WHEN 'mask' THEN 'chat_message_masked' WHEN 'block' THEN 'chat_message_blocked'
   ELSE 'chat_message' END AS policy_id,
   concat_ws('; ', names, nullif(array_to_string(list_sort(list_distinct(entities)), '; '), '')) AS findings,
   CASE {ACTION_SQL} WHEN 'block' THEN '[BLOCKED BY POLICY]' WHEN 'mask' THEN coalesce(nullif(veiled.out, ''), '[MASKED]') ELSE text END AS safe_text
 FROM corpus JOIN flags USING (id) JOIN veiled USING (id) LEFT JOIN named USING (id)""")
 def event_rows(t):
-    corpus = t.corpus().withColumn("entities", F.expr(_ENTITIES))
+    corpus = t.corpus().withColumn("entities", F.expr(ENTITIES))
     return policy_events(analyze(corpus, entities=F.col("entities"))).select(
         "id", "action", "policy_id", F.array_join("all_findings", "; ").alias("findings"), "safe_text")
 

@@ -13,6 +13,7 @@ from ..functions.entities import (IGNORED_TOKENS, TAGGER_LABELS, bio_to_entities
                                   filter_token_labels, spans_to_bio, tokens)
 from ..operators.entities import entity_averages, entity_scores, label_counts, label_set, schema_form, top_by_f1
 from ..operators.ranking import hash_order
+from ..operators.subwords import learn_vocabulary, subword_tokens
 from .base import ORDER_TEXTS_SQL, query, quote
 from .finding_sql import findings_sql
 
@@ -39,6 +40,54 @@ def offsets(t):
                        F.md5(F.array_join(F.transform("t", lambda x: x["token"]), " ")).alias("tokens"))
 
 
+# The vocabulary of the registered subword queries; SQL learns the same one and walks by its longest matches.
+_SIZE, _LONGEST = 4000, 8
+_SUBWORDS = f"""texts AS (SELECT doc_id AS id, text FROM documents), {_tokens_sql('texts')},
+words AS (SELECT token AS word, count(*) AS n FROM tokens GROUP BY 1),
+starts AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS s FROM words),
+cuts AS (SELECT word, n, s, unnest(range(1, least({_LONGEST}, length(word) - s + 1) + 1)) AS l FROM starts),
+cut AS (SELECT word, n, s, l, CASE WHEN s > 1 THEN '##' ELSE '' END || substr(word, s, l) AS piece FROM cuts),
+pieces AS (SELECT piece, l, sum(n) AS n FROM cut GROUP BY piece, l),
+vocabulary AS (SELECT piece FROM pieces WHERE l = 1 UNION ALL (SELECT piece FROM pieces WHERE l > 1 ORDER BY n * (l - 1) DESC, piece LIMIT {_SIZE})),
+longest AS (SELECT word, s, max(l) AS l FROM cut JOIN vocabulary USING (piece) GROUP BY word, s),
+walk AS (SELECT word, 1::BIGINT AS s, 0 AS j FROM words UNION ALL SELECT word, walk.s + l, j + 1 FROM walk JOIN longest USING (word, s)),
+parts AS (SELECT word, s, j, l, CASE WHEN s > 1 THEN '##' ELSE '' END || substr(word, s, l) AS piece FROM walk JOIN longest USING (word, s)),
+subtokens AS (SELECT id, k, j, piece AS token, t."start" + s - 1 AS "start", t."start" + s - 1 + l AS "end" FROM tokens t JOIN parts ON word = token)"""
+
+
+def _subwords(t):
+    """(id, text, t): whole documents with their subword tokens. The vocabulary has a bounded number of pieces."""
+    texts = t.texts()
+    pieces = sorted(r["piece"] for r in learn_vocabulary(texts, "text", _SIZE, _LONGEST).select("piece").collect())
+    return texts.withColumn("t", subword_tokens(F.col("text"), pieces))
+
+
+@query("subword_tokens", f"""WITH RECURSIVE {_SUBWORDS} SELECT x.id, count(j) AS n, CAST(coalesce(sum("start"), 0) AS BIGINT) AS starts,
+  CAST(coalesce(sum("end"), 0) AS BIGINT) AS ends, md5(coalesce(string_agg(token, ' ' ORDER BY k, j), '')) AS tokens
+FROM texts x LEFT JOIN subtokens USING (id) GROUP BY x.id""")
+def subwords(t):
+    """Every subword token of every document, summed up per document to be comparable."""
+    return _subwords(t).select("id", F.size("t").cast("long").alias("n"),
+                               F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a + x["start"]).alias("starts"),
+                               F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a + x["end"]).alias("ends"),
+                               F.md5(F.array_join(F.transform("t", lambda x: x["token"]), " ")).alias("tokens"))
+
+
+@query("subword_labels", f"""WITH RECURSIVE {_SUBWORDS}, {findings_sql('texts')},
+cover AS (SELECT s.id, s.k, s.j, s.token, count(*) AS n, arg_max(f.name, f.ordinal) AS name FROM subtokens s
+  JOIN found f ON f.id = s.id AND s."start" >= f."start" AND s."end" <= f."end" GROUP BY ALL),
+bare AS (SELECT id, replace(token, '##', '') AS token, CASE WHEN n = 1 THEN 'B-' ELSE 'I-' END || name AS label FROM cover)
+SELECT id, token, label FROM bare WHERE lower(token) NOT IN ({', '.join(quote(x) for x in IGNORED_TOKENS)}) AND length(token) >= 2
+  AND length(regexp_replace(token, '[^0-9]', '', 'g')) * 2 <= length(token) AND regexp_matches(token, '[^\\W_]')""")
+def subword_labels(t):
+    """The documents' findings as labels of subword tokens, without what a tagger is not trusted on."""
+    found = with_findings(_subwords(t), "text", "f")
+    spans = F.transform("f", lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), f["name"].alias("label")))
+    labelled = found.filter(F.size("f") > 0).select("id", spans_to_bio(F.col("t"), spans).alias("b"))
+    pairs = F.transform("b", lambda b: F.struct(b["token"].alias("token"), b["label"].alias("label")))
+    return labelled.select("id", F.explode(filter_token_labels(pairs)).alias("x")).select("id", "x.token", "x.label")
+
+
 def _gold(t):
     """(id, text, spans) with the findings as annotated spans, overlaps included."""
     return with_findings(t.order_texts(), "text", "f").select("id", "text", F.transform("f", lambda f: F.struct(

@@ -12,6 +12,7 @@ from ..operators.chat import build_context, sanitize_history
 from ..plans.analyze import analyze
 from ..sources.policy import Policy
 from .base import CORPUS_SQL, ORDER_TEXTS_SQL, query
+from .decisions import ENTITIES, ENTITIES_SQL, entity_mask_sql
 from .finding_sql import (ACTION_SQL, PARTIAL_TOKEN_SQL, REDACT_TOKEN_SQL, findings_sql, flags_sql, fold_sql,
                           merged_sql)
 
@@ -57,15 +58,17 @@ _tokens("partial_phone", "us_phone", "intl_phone")
 _tokens("partial_card", "credit_card")
 _tokens("partial_default", "ssn", "ipv4", "dob", "db_url", "rsa_token")
 
-_ENTITIES = "array('order', 'customer', 'USE', 'now', 'Order', 'customer 1', 'mail', 'foo')"
-_ENTITY_FOLD = "text"
-for _term in ["customer 1", "customer", "Order", "order", "mail", "USE", "foo", "now"]:
-    _ENTITY_FOLD = f"regexp_replace({_ENTITY_FOLD}, '\\b{_term}\\b', '[REDACTED_PII]', 'gi')"
+# Each document's own entities: its first six words of six or more ASCII letters between spaces.
+_OWN = ENTITIES.replace(", 1, 2)", ", 1, 6)")
+_OWN_SQL = ENTITIES_SQL.replace("[1:2]", "[1:6]")
 
 
-@query("mask_entities", f"WITH {ORDER_TEXTS_SQL} SELECT id, {_ENTITY_FOLD} AS masked FROM order_texts")
+@query("mask_entities", f"""WITH masked AS (SELECT doc_id AS id, text AS out FROM documents), tokens AS (SELECT doc_id AS id, {_OWN_SQL} AS entities FROM documents),
+{entity_mask_sql('tokens', 6)} SELECT id, len(list_distinct(entities)) AS n, out AS masked FROM veiled""")
 def entities(t):
-    return t.order_texts().select("id", mask_entities(F.col("text"), F.expr(_ENTITIES)).alias("masked"))
+    """Whole documents, each with the entities found in itself."""
+    rows = t.texts().withColumn("entities", F.expr(_OWN))
+    return rows.select("id", F.size(F.array_distinct("entities")).cast("long").alias("n"), mask_entities(F.col("text"), F.col("entities")).alias("masked"))
 
 
 _HALF_MASKED = """CASE id % 3 WHEN 0 THEN text || ' [REDACTED_EMAIL]@gmail.[REDACTED_PII] or [redacted_x] @ web . [REDACTED_TLD]'

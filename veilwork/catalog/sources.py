@@ -17,7 +17,7 @@ from ..sources.appends import append_once, read_appended
 from ..sources.sinks import audit_event_rows, chat_message_rows, client_agent, client_ip, policy_event_log, write_metrics
 from .base import CORPUS_SQL, SCORED_SQL, TEXTS_SQL, query, quote
 from .finding_sql import ACTION_SQL, findings_sql, flags_sql, merged_sql
-from .decisions import POLICY
+from .decisions import ENTITIES, ENTITIES_SQL, POLICY, entity_mask_sql
 
 # A JSON line per document with its whole text; every seventh is cut short.
 _OBJECT = "to_json(struct(doc_id AS id, text, 'safe' AS label))"
@@ -144,16 +144,18 @@ def chat_messages(t):
 
 
 @query("append_policy_event", f"""WITH RECURSIVE {TEXTS_SQL}, {findings_sql('texts')}, {merged_sql('texts')}, {flags_sql('texts', POLICY)},
-named AS (SELECT id, list(name ORDER BY ordinal) AS names FROM found GROUP BY id)
+named AS (SELECT id, list(name ORDER BY ordinal) AS names FROM found GROUP BY id),
+tokens AS (SELECT id, {ENTITIES_SQL} AS entities FROM texts), {entity_mask_sql('tokens')}
 SELECT CASE WHEN id % 4 > 0 THEN id END AS user_id, CASE {ACTION_SQL} WHEN 'mask' THEN 'chat_message_masked'
   WHEN 'block' THEN 'chat_message_blocked' ELSE 'chat_message' END AS policy_id, {ACTION_SQL} AS action,
-  CAST(to_json(coalesce(names, [])) AS VARCHAR) AS findings, '10.0.0.' || CAST(id % 256 AS VARCHAR) AS ip_address, 'unknown' AS user_agent,
-  CASE {ACTION_SQL} WHEN 'block' THEN '[BLOCKED BY POLICY]' WHEN 'mask' THEN coalesce(nullif(out, ''), '[MASKED]') ELSE text END AS raw_content,
+  CAST(to_json(list_concat(coalesce(names, []), list_sort(list_distinct(entities)))) AS VARCHAR) AS findings, '10.0.0.' || CAST(id % 256 AS VARCHAR) AS ip_address, 'unknown' AS user_agent,
+  CASE {ACTION_SQL} WHEN 'block' THEN '[BLOCKED BY POLICY]' WHEN 'mask' THEN coalesce(nullif(veiled.out, ''), '[MASKED]') ELSE text END AS raw_content,
   strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(id), '%Y-%m-%dT%H:%M:%S') AS created_at
-FROM texts JOIN flags USING (id) JOIN masked USING (id) LEFT JOIN named USING (id)""")
+FROM texts JOIN flags USING (id) JOIN veiled USING (id) LEFT JOIN named USING (id)""")
 def policy_log(t):
+    """Events with regex findings and entities; both are masked in what is stored."""
     path = fresh_dir(t.spark, "policy_events")
-    done = policy_events(analyze(t.texts()))
+    done = policy_events(analyze(t.texts().withColumn("entities", F.expr(ENTITIES)), entities=F.col("entities")))
     headers = F.create_map(F.lit("X-Real-IP"), F.concat(F.lit("10.0.0."), (F.col("id") % 256).cast("string")))
     at = F.expr("TIMESTAMP '2024-01-01 00:00:00' + id * INTERVAL '1' MINUTE")
     rows = policy_event_log(done, F.when(F.col("id") % 4 > 0, F.col("id")), F.col("policy_id"), F.col("action"),

@@ -145,13 +145,17 @@ def _quoted(term: Column) -> Column:
 
 
 def mask_entities(text: Column, entities: Column, token: str = REDACTED_ENTITY) -> Column:
-    """Each distinct entity as a whole word in any case; longest first, then by text."""
+    """Each entity as a whole word in any case; where several begin, the longest, then the first by text.
+
+    One pass over the text: the entities are the alternatives of one pattern, and what has been
+    replaced is not looked at again.
+    """
     keyed = F.array_sort(F.transform(F.array_distinct(entities), lambda e: F.struct(
         (-F.length(e)).alias("n"), e.alias("term"))))
     useful = F.filter(keyed, lambda k: F.length(F.trim(k["term"])) > 0)
-    replaced = F.aggregate(useful, text, lambda acc, k: F.regexp_replace(
-        acc, F.concat(F.lit("(?iU)" + BOUNDARY), _quoted(k["term"]), F.lit(BOUNDARY)), F.lit(token)))
-    return F.when(F.coalesce(F.size(entities), F.lit(0)) > 0, replaced).otherwise(text)
+    either = F.array_join(F.transform(useful, lambda k: _quoted(k["term"])), "|")
+    pattern = F.concat(F.lit("(?iU)" + BOUNDARY + "(?:"), either, F.lit(")" + BOUNDARY))
+    return F.when(F.coalesce(F.size(useful), F.lit(0)) > 0, F.regexp_replace(text, pattern, F.lit(token))).otherwise(text)
 
 
 def normalize_masked_email(text: Column) -> Column:
