@@ -198,3 +198,13 @@ def test_near_vectors(spark):
     for k in range(len(rows)):
         assert (got[k].n_links, got[k].component_id, got[k].kept) == (degree[k], expected[k], expected[k] == k)
     assert near_vectors(data.limit(0)).collect() == []
+
+
+def test_vectors_without_ids_and_with_many_dimensions(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(2, 3000))
+    rows = [(None, a, 1), (7, a, 1), (7, a * 2, 1), (3, a + 0.01 * b, 1), (None, b, 1), (9, b, 2), (None, b + 0.01 * a, 1)]
+    data = spark.createDataFrame([(i, [float(x) for x in v], l, 5) for i, v, l in rows], "vec_id long, embedding array<float>, label int, KEPT int")
+    got = near_vectors(data.repartition(3)).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in got) == [
+        (0, 1, 0), (0, 1, 0), (0, 3, 3), (3, 3, 3), (7, 3, 3), (7, 3, 3), (9, 0, 9)]

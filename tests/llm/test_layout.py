@@ -204,3 +204,18 @@ def test_movement_stays_in_changed_subtrees(spark):
     regions = lambda s: s // 12
     assert moved and not any(regions(a) == regions(b) == 0 for a, b in moved)
     assert all(regions(b) == 1 for _, b in moved)
+
+
+def test_token_files_of_an_empty_table_and_clashing_names(spark, tmp_path):
+    write_token_files(frame(spark, []), str(tmp_path / "none"), PATH)
+    assert token_counts(spark, str(tmp_path / "none")).collect() == []
+    docs = spark.createDataFrame([("a b", "x", 1), ("a b", "x", 1), (None, "x", 1)], "text string, ids string, VALUE int")
+    write_token_files(docs.coalesce(1), str(tmp_path / "some"), PATH)
+    assert sorted(r.n_tokens for r in token_counts(spark, str(tmp_path / "some")).collect()) == [0, 2, 2]
+
+
+def test_shards_of_very_long_texts(spark):
+    rows = [(i, "é" * 200_000 + str(i), "s") for i in range(4)] * 2
+    got = hash_tree_shards(frame(spark, rows), regular_tree(24)).collect()
+    assert len(got) == 8 and {r.size for r in got} == {400_009}
+    assert len({(r.shard, r.slot) for r in got}) == 8 and len({(r.doc_id, r.shard) for r in got}) == 4

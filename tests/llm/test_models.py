@@ -15,6 +15,7 @@ from veilwork.llm import language_id as lang_module, lm_scoring as lm
 from veilwork.llm.kernel import text_bytes, word_hashes
 from veilwork.llm.language_id import Model, drop_rejected, folded_grams, language_id, letter_table
 from veilwork.llm.lm_scoring import lm_scores
+from veilwork.session import fresh_dir
 from veilwork.llm.url_filter import url_verdicts
 
 SCHEMA = "doc_id long, text string, lang string, row string, held string, score int, pred string"
@@ -225,7 +226,9 @@ def test_language_id_keeps_every_gram(spark, monkeypatch):
         counts.setdefault(l, Counter()).update(folded[i].tolist())
     model = Model(langs, [(np.array(list(counts[l]), np.uint64), np.array(list(counts[l].values()))) for l in langs])
     want = {i: model.costs(g).mean(axis=0) for i, g in folded.items() if len(g)}
-    docs = frame(spark, rows).repartition(3).localCheckpoint()
+    folder = fresh_dir(spark, "documents")
+    frame(spark, rows).repartition(3).write.parquet(folder)
+    docs = spark.read.parquet(folder)
     seen = []
     for cells in (lang_module.CELLS, 40_000, 0):
         monkeypatch.setattr(lang_module, "CELLS", cells)
@@ -285,3 +288,11 @@ def test_url_model_learns(spark):
     assert sum((r.verdict == "block") == (r.page_id % 2 == 1) for r in got) >= 98
     one = url_verdicts(spark.createDataFrame(rows[:5], "page_id long, url string"), [], labelled=labelled.filter("block"))
     assert {r.verdict for r in one.collect()} == {"block"}
+
+
+def test_urls_with_null_ids_and_very_long_ones(spark):
+    long = "http://a.example.net/" + "xy/" * 40_000
+    rows = [(None, "http://x.org/a", "r"), (None, "http://x.org/a", "r"), (1, long, "r"), (2, "http://b.com/de/1", "r")]
+    got = url_verdicts(spark.createDataFrame(rows, "page_id long, url string, rule string"), [("allow", "org", "/"), ("block", "com", "/de/")]).collect()
+    assert sorted((r.page_id or 0, r.verdict) for r in got if r.rule) == [(0, "allow"), (0, "allow"), (2, "block")]
+    assert [r.path for r in got if r.page_id == 1] == ["/" + "xy/" * 40_000]

@@ -92,8 +92,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
     Null texts count as empty and equal empty ones; empty texts are a group like any other. A
     row without an id comes after all ids: it stays only if its whole group has none, and
-    keep_id is null then. Of rows that repeat id and text one is kept. Other columns are
-    ignored; an empty table gives an empty result.
+    keep_id is null then. Of rows that repeat id and text one is kept. Very long texts are told
+    apart by as many rounds of bytes as they share, and are never cut. Rows are numbered in two
+    scans of `docs`, which must come in the same order, as plain reads of files do; write `docs`
+    first if it is computed. Other columns are ignored, whatever their names; an empty table
+    gives an empty result.
     """
     return radix_groups(docs, id_col, text).drop("row").withColumnRenamed("id", id_col)
 

@@ -76,7 +76,9 @@ def hash_tree_shards(docs: DataFrame, tree: Tree, grown: Tree | None = None, id_
 
     Null texts have no bytes and the sum of the empty text. Rows without an id descend by a
     hash of their text, so they spread as well. Rows that repeat an id share a shard and have
-    slots of their own. Other columns are ignored; an empty table gives an empty result.
+    slots of their own. Ties of two draws go to the smaller child; slots within a hash bucket go
+    by a hash of id and text, equal rows in any order. Texts of any length are only measured and
+    summed. Other columns are ignored, whatever their names; an empty table gives an empty result.
     Slots come from ranks inside hash buckets of a shard, shifted by the sizes of the buckets
     before: no shard is sorted in one task. The table of shifts has shards x BUCKETS rows.
     """

@@ -356,9 +356,11 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lan
     credited with CREDIT more characters at that quantile.
 
     Null texts and texts without letters get `und`, score 0, and are rejected. Rows without an
-    id count as held out when `held_out` is null. Repeated rows are predicted alike. Without any
-    language to learn, all are `und` with score 0 and only texts without letters are rejected.
-    Other columns are ignored; an empty table gives an empty result. `row` names a column to
+    id count as held out when `held_out` is null. Repeated rows are predicted alike, ties go to the
+    first language by name. Texts are whole whatever their length; a task holds a slice of them, or
+    one longer text. Without any language to learn, all are `und` with score 0 and only texts
+    without letters are rejected. Other columns are ignored, whatever their names; an empty table
+    gives an empty result. `row` names a column to
     return beside the id.
     """
     spark = docs.sparkSession

@@ -480,8 +480,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_
     base_score is that of a unigram model with one added to each count.
 
     Null and empty texts are the end alone. A row whose `held_out` is null (a null id) is held
-    out. Repeated rows score alike. Without learning texts each bit has probability 1/2 and
-    base_score is 0. Other columns are ignored; an empty table gives an empty result.
+    out. Repeated rows and ties score alike. Texts are whole whatever their length; a task works on
+    slices of them, or on one longer text. Without learning texts each bit has probability 1/2 and
+    base_score is 0. Other columns are ignored, whatever their names; an empty table gives an
+    empty result.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lm-scoring")
     held = F.coalesce(held_out, F.lit(True)) if held_out is not None else F.lit(False)

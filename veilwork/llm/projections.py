@@ -143,7 +143,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embe
     number link with nothing; vectors of different length do not link. Equal vectors are one
     class with a number of copies and never paired. A row without an id takes part in counts,
     but its component_id is null where its whole component has no id. Rows that repeat an id
-    count as rows of their own. Other columns are ignored; an empty table gives an empty result.
+    count as rows of their own. A cosine that equals the threshold links; of projections that tie
+    the order does not matter. Vectors may have any number of dimensions; a task holds a tile of
+    them. Other columns are ignored, whatever their names; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "near-vectors")

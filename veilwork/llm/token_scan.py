@@ -37,8 +37,10 @@ def _encode(path: str):
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, text: str = "text") -> None:
     """Write the documents as flat files of 16-bit ids: the tokenizer's plus 1, and SEPARATOR.
 
-    Null and empty texts are a separator alone. Spark's line writer does the work: a line is a
-    document's ids, the line's end the separator.
+    Null and empty texts are a separator alone, repeated rows documents of their own; texts are
+    whole whatever their length, and ids of any kind are not read. Other columns are ignored,
+    whatever their names; an empty table gives files without documents. Spark's line writer does
+    the work: a line is a document's ids, the line's end the separator.
     """
     line = SEPARATOR.to_bytes(2, "little").decode("utf-8")
     ids = docs.select(F.col(text).alias("text")).mapInArrow(_encode(tokenizer), "ids binary")

@@ -88,7 +88,9 @@ def url_verdicts(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id
 
     Null URLs and URLs without `://` have an empty host and path; no rule fits an empty path.
     Without labelled URLs of both classes the model says the class there is, or allow. Repeated
-    rows get equal verdicts. Other columns are ignored; an empty table gives an empty result.
+    rows get equal verdicts, rows with a null id are answered like any others. Very long URLs are
+    hashed whole. Other columns are ignored, whatever their names; an empty table gives an empty
+    result.
     """
     link = F.coalesce(F.col(url), F.lit(""))
     split = pages.select(F.col(id_col).alias("id"), host_of(link).alias("host"), path_of(link).alias("path"))
