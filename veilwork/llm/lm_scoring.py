@@ -39,7 +39,7 @@ _ORDERS = len(TABLE_BITS)
 _BYTES = _ORDERS - 1
 _BACK = max(CONTEXT_BYTES)
 #: Bytes of text that a task works on at a time, and units that it counts before it learns from them.
-SLICE, BLOCK = 1 << 20, 3 << 18
+SLICE, BLOCK = 3 << 18, 3 << 18
 #: Units whose costs a task remembers from slice to slice.
 REMEMBERED = 1 << 21
 _GATES = (_BYTES + 1) * 5 * 2 * 5 * 8
