@@ -201,3 +201,32 @@ def test_json_text(spark):
 def test_registered_models_have_real_sizes(spark):
     from veilwork.catalog import models
     assert (models.SIZES.boost_rounds, models.SIZES.boost_depth, models.SIZES.trees, models.SIZES.tree_depth) == (250, 7, 160, 16)
+
+
+def test_daily_findings_add_up(spark):
+    from veilwork.operators.summaries import daily_findings, over_days
+
+    kind = "array<struct<name:string,category:string,severity:string,match:string,start:int,end:int>>"
+    found = lambda *names: [(n, "c" + n[0], "high", f"{n}{i}", 0, 1) for i, n in enumerate(names)]
+    rows = [("d1", "mask", found("ax", "ay", "ax")), ("d1", "allow", []), ("d2", "mask", found("ax", "b")), (None, "allow", []),
+            *[("d3", "block", [("s", "cs", "low", f"m{i % 5000}", 0, 1)]) for i in range(20_000)]]
+    df = spark.createDataFrame(rows, f"day string, action string, findings {kind}").repartition(4)
+    daily = daily_findings(df, "day", "action")
+    got = {(r["day"], r["level"], r["value"]): (r["findings"], r["texts"]) for r in daily.collect()}
+    assert got["d1", "name", "ax"] == (2, 1) and got["d1", "category", "ca"] == (3, 1) and got["d1", "all", ""] == (3, 2)
+    assert got["d1", "action", "allow"] == (0, 1) and got[None, "all", ""] == (0, 1) and got["d2", "severity", "high"] == (2, 1)
+    whole = {(r["level"], r["value"]): r for r in over_days(daily).collect()}
+    assert (whole["all", ""]["findings"], whole["all", ""]["texts"]) == (20_005, 20_004) and whole["name", "ax"]["texts"] == 2
+    assert abs(whole["name", "s"]["distinct_matches"] - 5000) < 250 and whole["name", "ax"]["distinct_matches"] == 2
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 300, 501, 5000, 100_000])
+def test_sample_takes_the_lowest_hashes(spark, n):
+    import hashlib
+
+    from veilwork.operators.sampling import sample_n
+
+    ids = [*range(500), *[3] * 500]
+    got = [r["id"] for r in sample_n(spark.createDataFrame([(i, "t") for i in ids], "id long, text string").repartition(3), "id", n).collect()]
+    key = lambda i: hashlib.md5(f"42|{i}".encode()).hexdigest()
+    assert sorted(got) == sorted(sorted(ids, key=key)[:n])

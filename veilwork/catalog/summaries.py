@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from ..functions.decisions import any_finding
 from ..functions.detection import long_findings, with_findings
 from ..operators.features import explode_terms
-from ..operators.summaries import class_balance, class_counts, findings_summary, top_terms
-from .base import CORPUS_SQL, LABELLED_SQL, STOP_WORDS, query
+from ..operators.summaries import class_balance, class_counts, daily_findings, findings_summary, over_days, top_terms
+from ..plans.analyze import analyze
+from ..session import materialize
+from .base import CORPUS_SQL, LABELLED_SQL, STOP_WORDS, TEXTS_SQL, query
+from .decisions import POLICY
 from .features import _STOP
-from .finding_sql import findings_sql
+from .finding_sql import ACTION_SQL, findings_sql, flags_sql
 
 
 @query("class_counts", f"WITH {LABELLED_SQL} SELECT label, count(*) AS n FROM labelled GROUP BY label")
@@ -47,6 +50,23 @@ def summary(t):
     return findings_summary(t.corpus())
 
 
+_DAY = "CAST(DATE '2024-01-01' + CAST(id % 7 AS INT) AS STRING)"
+
+
+@query("daily_findings", f"""WITH {TEXTS_SQL}, {findings_sql('texts')}, {flags_sql('texts', POLICY)}, decided AS (SELECT id, {ACTION_SQL} AS action FROM flags),
+keyed AS (SELECT id, unnest([{{'level': 'name', 'value': name}}, {{'level': 'category', 'value': category}}, {{'level': 'severity', 'value': severity}}]) AS k, 1 AS n FROM found
+  UNION ALL SELECT id, unnest([{{'level': 'action', 'value': action}}, {{'level': 'all', 'value': ''}}]), coalesce(c, 0)
+  FROM decided LEFT JOIN (SELECT id, count(*) AS c FROM found GROUP BY id) USING (id))
+SELECT {_DAY} AS day, k.level AS level, k.value AS value, CAST(sum(n) AS BIGINT) AS findings, count(DISTINCT id) AS texts
+FROM keyed GROUP BY GROUPING SETS (({_DAY}, k.level, k.value), (k.level, k.value))""")
+def by_day(t):
+    """Findings and texts by name, category, severity, action and in all, per day and (day null) over all days."""
+    analysed = analyze(t.texts()).select(F.expr(_DAY).alias("day"), "action", "findings")
+    daily = materialize(daily_findings(analysed, "day", "action"), "daily")
+    total = over_days(daily).select(F.lit(None).cast("string").alias("day"), "level", "value", "findings", "texts")
+    return daily.select("day", "level", "value", "findings", "texts").unionByName(total)
+
+
 @query("top_terms_log_odds", f"""WITH {LABELLED_SQL},
 words AS (SELECT doc_id, label, list_filter(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({_STOP})) AS w FROM labelled),
 terms AS (SELECT DISTINCT doc_id, label, unnest(list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM words),
