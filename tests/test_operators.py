@@ -230,3 +230,13 @@ def test_sample_takes_the_lowest_hashes(spark, n):
     got = [r["id"] for r in sample_n(spark.createDataFrame([(i, "t") for i in ids], "id long, text string").repartition(3), "id", n).collect()]
     key = lambda i: hashlib.md5(f"42|{i}".encode()).hexdigest()
     assert sorted(got) == sorted(sorted(ids, key=key)[:n])
+
+
+def test_clean_up(spark, monkeypatch):
+    from veilwork import session
+
+    monkeypatch.setattr(session, "_made", {})
+    kept = session.materialize(spark.range(5), "left")
+    assert kept.count() == 5 and session.clean_up(spark) == 1 and session.clean_up(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.parquet(*kept.inputFiles()).count()

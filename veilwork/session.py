@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 _local: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def build_session(app: str = "veilwork", cpus: int | None = None, memory: str = "8g", **conf: str) -> SparkSession:
@@ -50,7 +51,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A new, not yet existing path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -59,6 +62,17 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def clean_up(spark: SparkSession) -> int:
+    """Delete all intermediate tables of this application that still exist, and return how many paths were tried.
+
+    Call it when no frame that an operator returned is read any more: they read these tables.
+    """
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        remove(spark, path)
+    return len(paths)
+
+
 class Scratch:
     """Intermediate tables of one job, dropped as soon as no later step reads them.
 
