@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilwork.operators.cleaning import assign_record_id
 from veilwork.sources.chat_log import _fragments, read_chat_log
 from veilwork.sources.lines import first_numbered, numbered_lines
+from veilwork.sources.tables import ranged
 
 
 @pytest.fixture
@@ -111,3 +112,11 @@ def test_record_ids_of_rows_without_an_index(spark):
     rows = spark.createDataFrame([("a", 5), ("a", 900_000), ("b", 1), ("a", 7)], "split string, at long")
     got = {(r["split"], r["at"]): r["id"] for r in assign_record_id(rows, "split", "at", width=10).collect()}
     assert got == {("a", 5): "a_0", ("a", 7): "a_1", ("a", 900_000): "a_2", ("b", 1): "b_0"}
+
+
+def test_pieces_grow_with_the_table(spark):
+    wide = ranged(spark.range(0, 600, 1, 60).select((F.lit(599) - F.col("id")).alias("id")), "id")
+    assert wide.rdd.getNumPartitions() == 240
+    assert [r["id"] for r in wide.collect()] == list(range(600))
+    few = ranged(spark.range(0, 600, 1, 1).select((F.lit(599) - F.col("id")).alias("id")), "id")
+    assert [r["id"] for r in few.collect()] == list(range(600))

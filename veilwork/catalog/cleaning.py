@@ -13,6 +13,7 @@ from ..session import fresh_dir
 from ..sources.jsonl import parse_lines
 from ..sources.lines import numbered_lines
 from ..sources.sinks import client_agent, client_ip
+from ..sources.tables import ranged
 from .base import LABELLED_SQL, hash_sql, query
 
 _FIELDS = ["doc_id", "CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN text END AS text",
@@ -40,7 +41,7 @@ def record_ids(t):
     """Ids from the physical lines of each split's files, really written; short texts are dropped after they are numbered."""
     path = fresh_dir(t.spark, "splits")
     rows = t.documents.select("lang", "doc_id", F.to_json(F.struct("text")).alias("value"))
-    rows.repartitionByRange(4, "lang", "doc_id").sortWithinPartitions("lang", "doc_id").drop("doc_id").write.partitionBy("lang").text(path)
+    ranged(rows, "lang", "doc_id").drop("doc_id").write.partitionBy("lang").text(path)
     lines = numbered_lines(t.spark, path, by="folder").withColumn("split", F.url_decode(F.regexp_extract("file", "/lang=([^/]*)/", 1)))
     parsed = parse_lines(with_record_id(lines, "split", "line_no").select("id", "value"), F.col("value"), "text STRING")
     return min_words(parsed.select("id", "text"))

@@ -10,6 +10,18 @@ def scan_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def ranged(df: DataFrame, *keys: str) -> DataFrame:
+    """The table dealt by ranges of its keys, in order within each, in pieces whose number grows with the table.
+
+    A piece is about a quarter of what a task scans; small tables come in as many pieces as Spark
+    shuffles anything into, which it may merge.
+    """
+    pieces = 4 * df.rdd.getNumPartitions()
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(pieces, *keys) if pieces > usual else df.repartitionByRange(*keys)
+    return dealt.sortWithinPartitions(*keys)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a share of a scan that comes in far fewer pieces than there are cores.
 
