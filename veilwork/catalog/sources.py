@@ -15,6 +15,7 @@ from ..sources.lines import first_numbered, numbered_lines
 from ..sources.policy import load_policy, policy_table
 from ..sources.appends import append_once, read_appended
 from ..sources.sinks import audit_event_rows, chat_message_rows, client_agent, client_ip, policy_event_log, write_metrics
+from ..sources.tables import ranged
 from .base import CORPUS_SQL, SCORED_SQL, TEXTS_SQL, query, quote
 from .finding_sql import ACTION_SQL, findings_sql, flags_sql, merged_sql
 from .decisions import ENTITIES, ENTITIES_SQL, POLICY, entity_mask_sql
@@ -47,7 +48,7 @@ def override(t):
 def first_n(t):
     """The first lines of each source's files, broken ones counted, from files really written."""
     path = fresh_dir(t.spark, "sources")
-    lines = _lines(t).repartitionByRange(4, "source", "doc_id").sortWithinPartitions("source", "doc_id")
+    lines = ranged(_lines(t), "source", "doc_id")
     lines.select("source", F.col("line").alias("value")).write.partitionBy("source").text(path)
     first = first_numbered(numbered_lines(t.spark, path, by="folder"), 20)
     named = first.select(F.url_decode(F.regexp_extract("file", "/source=([^/]*)/", 1)).alias("source"), "line_no", "value")
@@ -179,12 +180,12 @@ def chat_log_lines(t):
   {_LOG_ACTION} AS action, text || ' | more' AS text FROM conversations
 UNION ALL SELECT 2 * row_number() OVER (ORDER BY conv_id, turn) - 1, '2025-01-01T00:00:00+00:00', NULL, 'block', 'second' || chr(10) || 'line ' || conv_id FROM conversations""")
 def chat_log_records(t):
-    """A log of all conversations, written as a few files and read back; texts hold newlines and the field separator."""
+    """A log of all conversations, written as files and read back; texts hold newlines and the field separator."""
     path = fresh_dir(t.spark, "chat_log")
     first = log_line(_iso(F.expr(_AT)), F.expr(_LOG_USER), F.expr(_LOG_ACTION), F.concat("text", F.lit(" | more")))
     second = F.concat(F.lit("\n2025-01-01T00:00:00+00:00 | user=guest | block | second\nline "), F.col("conv_id").cast("string"))
     rows = t.conversations.select("conv_id", "turn", F.concat(first, second).alias("value"))
-    rows.repartitionByRange(3, "conv_id", "turn").sortWithinPartitions("conv_id", "turn").select("value").write.text(path)
+    ranged(rows, "conv_id", "turn").select("value").write.text(path)
     return read_chat_log(t.spark, path, by="folder").drop("file")
 
 
