@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilwork.operators.cleaning import assign_record_id
 from veilwork.sources.chat_log import _fragments, read_chat_log
 from veilwork.sources.lines import first_numbered, numbered_lines
-from veilwork.sources.tables import ranged
+from veilwork.sources.tables import ranged, spread
 
 
 @pytest.fixture
@@ -120,3 +120,10 @@ def test_pieces_grow_with_the_table(spark):
     assert [r["id"] for r in wide.collect()] == list(range(600))
     few = ranged(spark.range(0, 600, 1, 1).select((F.lit(599) - F.col("id")).alias("id")), "id")
     assert [r["id"] for r in few.collect()] == list(range(600))
+
+
+def test_few_rows_per_piece(spark):
+    table = spread(spark.range(0, 1000, 1, 9), rows=10)
+    assert table.rdd.getNumPartitions() == 100 and table.count() == 1000
+    assert max(table.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) <= 20
+    assert spread(spark.range(0, 1000, 1, 9)).rdd.getNumPartitions() == 9

@@ -18,6 +18,10 @@ STOP_WORDS = ("a an and are as at be by for from has he in is it its of on that
               "will with").split()
 
 
+#: A text per order is built and searched from a few bytes, so a split of the table is far too much for one task.
+ORDERS_PER_TASK = 100_000
+
+
 class Tables:
     """Given tables by attribute: t.documents, t.orders, ..."""
 
@@ -42,7 +46,7 @@ class Tables:
 
     def order_texts(self) -> DataFrame:
         """One derived text per order; together they hold every kind of finding."""
-        keys = spread(self.orders.select("o_orderkey", "o_custkey", "o_orderdate"))
+        keys = spread(self.orders.select("o_orderkey", "o_custkey", "o_orderdate"), ORDERS_PER_TASK)
         return keys.select(F.col("o_orderkey").alias("id"), F.expr(RECIPE).alias("text"))
 
     def labelled(self) -> DataFrame:

@@ -22,13 +22,17 @@ def ranged(df: DataFrame, *keys: str) -> DataFrame:
     return dealt.sortWithinPartitions(*keys)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Give every core a share of a scan that comes in far fewer pieces than there are cores.
 
     Only a table of a few files is shuffled; a large table has more splits than cores and
-    stays as it is.
+    stays as it is. With `rows`, a piece has about that many rows at most, whatever the table's
+    size: for narrow rows that are costly to work on, of which one split holds millions.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if rows is not None:
+        pieces = max(cores, -(-df.count() // rows))
+        return df if pieces <= df.rdd.getNumPartitions() else df.repartition(pieces)
     if df.rdd.getNumPartitions() * 2 <= cores:
         return df.repartition(cores)
     return df
