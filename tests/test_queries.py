@@ -29,3 +29,10 @@ def test_entry(spark):
     assert df.columns == ["id", "action", "masked_output", "unmasked", "regex_findings", "pii_entities", "secret_confidence", "ml_confidence", "sources"]
     assert df.filter("unmasked").count() == 0
     assert df.count() == 200
+
+
+@pytest.mark.parametrize("key", ["entity_prf", "entity_prf_averages", "top_entities_by_f1", "entity_counts_true_vs_pred"])
+def test_entities_are_searched_once(spark, key):
+    """Gold and predicted spans come from one search of the texts, which is over when they are compared."""
+    plan = entry.queries()[key](spark, entry.SMOKE)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and "regexp" not in plan

@@ -14,6 +14,7 @@ from ..functions.entities import (IGNORED_TOKENS, TAGGER_LABELS, bio_to_entities
 from ..operators.entities import entity_averages, entity_scores, label_counts, label_set, schema_form, top_by_f1
 from ..operators.ranking import hash_order
 from ..operators.subwords import learn_vocabulary, subword_tokens
+from ..session import materialize
 from .base import ORDER_TEXTS_SQL, query, quote
 from .finding_sql import findings_sql
 
@@ -163,7 +164,8 @@ def entities(t):
 
 
 def _gold_spans(t):
-    return long_findings(t.order_texts(), "id").select("id", F.col("name").alias("type"), "start", "end")
+    """The findings as spans, written: gold and predictions both read them, and texts are searched once."""
+    return materialize(long_findings(t.order_texts(), "id").select("id", F.col("name").alias("type"), "start", "end"), "gold")
 
 
 def _predicted(gold):
