@@ -8,7 +8,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from veilwork.functions.codes import code_slices
-from veilwork.operators.subwords import INNER, UNKNOWN, Trie, learn_vocabulary, subword_tokens
+from veilwork.operators.subwords import INNER, UNKNOWN, Trie, learn_vocabulary, split_slices, subword_tokens
 
 
 def plain(word, pieces):
@@ -54,3 +54,12 @@ def test_offsets_give_back_the_texts(spark):
         assert "".join(back) == re.sub(r"\s", " ", text)
     few = df.filter("id = 0").select(subword_tokens(F.col("text"), ["Hello", ",", "x", "##_"]).alias("t")).first()["t"]
     assert [tuple(x) for x in few] == [("Hello", 0, 5), (",", 5, 6), (UNKNOWN, 7, 12), (UNKNOWN, 12, 13), (UNKNOWN, 14, 15), (UNKNOWN, 15, 16), (UNKNOWN, 17, 20)]
+
+
+def test_slices_are_handed_on():
+    """Tokens of a batch never lie side by side whole: lists come slice by slice and are the same ones."""
+    texts = pa.array([f"some words {i}, and {'more ' * (i % 7)}" for i in range(400)] + [None, "", "x" * 3000], pa.string())
+    trie = Trie.of(["s", "w", "##o", "more"])
+    parts, whole = list(split_slices(trie, texts, 1000)), list(split_slices(trie, texts, 1 << 30))
+    assert len(whole) == 1 and len(parts) > 10 and max(len(p) for p in parts) < 60
+    assert pa.concat_arrays(parts).to_pylist() == whole[0].to_pylist()

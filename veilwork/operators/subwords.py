@@ -6,6 +6,7 @@ character of each at a time.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -130,6 +131,23 @@ def _strings(data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.string(), len(begin), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[at])])
 
 
+def split_slices(trie: Trie, column: pa.Array, limit: int = 1 << 20) -> Iterator[pa.Array]:
+    """Lists of (token, start, end) of the texts, for slices of about `limit` bytes or one longer text."""
+    data, offsets = utf8(column)
+    for first, end, codes, bounds in code_slices(column, limit):
+        begin, stop = words_of(codes, bounds)
+        word, start, last, known = trie.pieces(codes, begin, stop)
+        some = data[offsets[first]:offsets[end]]
+        places = np.append(np.flatnonzero((some & 0xC0) != 0x80), len(some))  # bytes of the code points
+        names = _strings(some, places[start], places[last])
+        names = pc.if_else(pa.array(start > begin[word]), pc.binary_join_element_wise(INNER, names, ""), names)
+        names = pc.if_else(pa.array(known), names, UNKNOWN)
+        rows = np.searchsorted(bounds, start, "right") - 1
+        starts, ends = (pa.array((at - bounds[rows]).astype(np.int32)) for at in (start, last))
+        limits = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=end - first))))
+        yield pa.ListArray.from_arrays(pa.array(limits.astype(np.int32)), pa.StructArray.from_arrays([names, starts, ends], ["token", "start", "end"]))
+
+
 def subword_tokens(text: Column, pieces: list[str]) -> Column:
     """array<struct<token, start, end>>: words and single marks as pieces of the vocabulary, with offsets in code points.
 
@@ -137,24 +155,11 @@ def subword_tokens(text: Column, pieces: list[str]) -> Column:
     """
     trie = Trie.of(pieces)
 
+    # An iterator, so that a slice of texts is handed on before the next is taken apart: tokens take
+    # some twenty times the room of their texts.
     @F.arrow_udf(_KIND)
-    def split(column: pa.Array) -> pa.Array:
-        data, offsets = utf8(column)
-        lists, counts = [], []
-        for first, end, codes, bounds in code_slices(column):
-            begin, stop = words_of(codes, bounds)
-            word, start, last, known = trie.pieces(codes, begin, stop)
-            some = data[offsets[first]:offsets[end]]
-            places = np.append(np.flatnonzero((some & 0xC0) != 0x80), len(some))  # bytes of the code points
-            names = _strings(some, places[start], places[last])
-            names = pc.if_else(pa.array(start > begin[word]), pc.binary_join_element_wise(INNER, names, ""), names)
-            names = pc.if_else(pa.array(known), names, UNKNOWN)
-            rows = np.searchsorted(bounds, start, "right") - 1
-            lists.append((names, start - bounds[rows], last - bounds[rows]))
-            counts.append(np.bincount(rows, minlength=end - first))
-        names = pa.concat_arrays([x[0] for x in lists]) if lists else pa.array([], pa.string())
-        starts, ends = (pa.array(np.concatenate([x[i] for x in lists]).astype(np.int32) if lists else np.zeros(0, np.int32)) for i in (1, 2))
-        limits = np.concatenate(([0], np.cumsum(np.concatenate(counts) if counts else np.zeros(0, np.int64))))
-        return pa.ListArray.from_arrays(pa.array(limits.astype(np.int32)), pa.StructArray.from_arrays([names, starts, ends], ["token", "start", "end"]))
+    def split(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield from split_slices(trie, column)
 
     return split(F.coalesce(text, F.lit("")))
