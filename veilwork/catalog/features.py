@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text_features import (FEATURES_5, FEATURES_13, entropy, pii_flags, secret_features, with_features_5,
                                        with_features_13)
-from ..operators.features import MAX_FEATURES, align_width, assemble, fit_scale, scale, tfidf_fit, tfidf_transform
+from ..operators.features import MAX_FEATURES, align_width, assemble, counted_terms, fit_scale, scale, tfidf_fit, tfidf_transform
+from ..session import materialize
 from .base import CORPUS_SQL, STOP_WORDS, query, quote
 
 _ENTROPY_CTE = """letters AS (SELECT id, unnest(string_split({text}, '')) AS c FROM {source} WHERE length({text}) > 0),
@@ -97,9 +98,9 @@ def fit(t):
 
 @query("tfidf_transform", f"""WITH {_TERMS_SQL} SELECT doc_id AS id, term, round(tfidf, 5) AS tfidf FROM tfidf""")
 def transform(t):
-    texts = t.texts()
-    vocabulary = tfidf_fit(texts, "id", "text", _FEATURES, stop_words=STOP_WORDS)
-    return tfidf_transform(texts, "id", "text", vocabulary, stop_words=STOP_WORDS).withColumn("tfidf", F.round("tfidf", 5))
+    counted = materialize(counted_terms(t.texts(), "id", "text", STOP_WORDS), "counted")
+    vocabulary = tfidf_fit(counted, "id", "text", _FEATURES)
+    return tfidf_transform(counted, "id", "text", vocabulary).withColumn("tfidf", F.round("tfidf", 5))
 
 
 @query("assemble_features", f"""WITH {_CLEAN_CTE}, f AS (SELECT id, {_THIRTEEN_SQL} FROM base)
