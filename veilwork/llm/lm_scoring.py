@@ -131,22 +131,37 @@ class Tallies:
         self.limit, self.held = limit, []
 
     def add(self, keys: np.ndarray, *more: np.ndarray) -> None:
-        self.held.append(self._merged(keys, np.ones(len(keys), np.int64), *more))
+        order, starts = runs(keys)
+        first = order[starts]
+        self.held.append((keys[first], np.diff(np.append(starts, len(keys))), *(m[first] for m in more)))
 
-    @staticmethod
-    def _merged(keys, counts, *more):
+    def _merged(self):
+        """All that is held, put together column by column; a column's pieces go before the next one's are joined."""
+        keys, counts, *more = ([h[k] for h in self.held] for k in range(len(self.held[0])))
+        self.held = []
+
+        def joined(pieces):
+            whole = np.concatenate(pieces)
+            pieces.clear()
+            return whole
+
+        keys = joined(keys)
         order, starts = runs(keys)
         first = order[starts]
-        return keys[first], np.add.reduceat(counts[order], starts) if len(starts) else counts, *(m[first] for m in more)
+        keys = keys[first]
+        counts = joined(counts)[order]
+        del order
+        counts = np.add.reduceat(counts, starts) if len(starts) else counts
+        return keys, counts, *(joined(m)[first] for m in more)
 
     def flush(self, last: bool = False):
         """(keys, counts, *more) of about `limit` keys or more, or what there is at last."""
         if self.held and (last or sum(len(h[0]) for h in self.held) > 2 * self.limit):
-            merged = self._merged(*(np.concatenate(x) for x in zip(*self.held)))
-            self.held = [merged]
+            merged = self._merged()
             if last or len(merged[0]) > self.limit:
-                self.held = []
                 yield merged
+            else:
+                self.held = [merged]
 
 
 def contexts(order: int, grams: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
@@ -155,21 +170,25 @@ def contexts(order: int, grams: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
 
 def half_nodes() -> np.ndarray:
     """For each half byte the four nodes of its bit tree, 1 to 15."""
-    half, depth = np.arange(16, dtype=np.uint64)[:, None], np.arange(4, dtype=np.uint64)
-    return (np.uint64(1) << depth) | (half >> (np.uint64(4) - depth))
+    half, depth = np.arange(16)[:, None], np.arange(4)
+    return (1 << depth) | (half >> (4 - depth))
 
 
 def slots(order: int, seen: np.ndarray, byte: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     """For contexts and their bytes the table slots of the eight bits; `nodes` are half_nodes()."""
-    bits, mask = np.uint64(64 - TABLE_BITS[order]), np.uint64((1 << TABLE_BITS[order]) - 1)
+    bits, mask = np.uint64(64 - TABLE_BITS[order]), np.int64((1 << TABLE_BITS[order]) - 1)
     upper = byte >> np.uint64(4)
     first = mix(seen + np.uint64(order << 56))
     second = mix(first + upper + np.uint64(1))
-    places = np.empty((len(seen), 8), np.uint64)
-    np.add(nodes[upper], (first >> bits)[:, None], out=places[:, :4])
-    np.add(nodes[byte & np.uint64(15)], (second >> bits)[:, None], out=places[:, 4:])
-    places &= mask
-    return places.view(np.int64)
+    places = np.empty((len(seen), 8), np.int64)
+    # Column by column: numpy is slow at rows of four.
+    for half, start, at in ((upper, first, 0), (byte & np.uint64(15), second, 4)):
+        half, start = half.astype(np.int64), (start >> bits).astype(np.int64)
+        for depth in range(4):
+            place = nodes[:, depth].take(half)
+            place += start
+            np.bitwise_and(place, mask, out=places[:, at + depth])
+    return places
 
 
 def bit_paths(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,23 +223,23 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers, units, names, texts = Powers(), Tallies(BLOCK), Tallies(BLOCK), 0
     online, rng = Online(), np.random.default_rng(5)
 
-    def take(n, grams, prefixes):
-        order = rng.permutation(len(n))  # counted units come in the order of their hashes
-        online.learn(grams[order], prefixes[order], n[order])
+    def take(last=False):
+        for keys, n, grams in units.flush(last):
+            give_back()
+            online.learn_keys(keys, grams, n, rng.permutation(len(n)))  # counted units come in the order of their hashes
 
     for batch in batches:
         texts += batch.num_rows
         for _, _, data, offsets in parts(batch.column(0), SLICE):
             stream, bounds, hashes, _ = byte_stream(data, offsets)
             grams, prefixes = byte_units(stream, bounds, powers)
-            units.add(unit_keys(grams, prefixes), grams, prefixes)
+            units.add(unit_keys(grams, prefixes), grams)
             names.add(hashes)
-            for _, n, *unit in units.flush():
-                take(n, *unit)
+            del stream, bounds, hashes, grams, prefixes
+            take()
             for keys, n in names.flush():
                 yield _rows(_WORD, key=keys.view(np.int64), n=n)
-    for _, n, *unit in units.flush(True):
-        take(n, *unit)
+    take(True)
     for keys, n in names.flush(True):
         yield _rows(_WORD, key=keys.view(np.int64), n=n)
     if texts:
@@ -375,9 +394,14 @@ class Online:
 
     def learn(self, grams: np.ndarray, prefixes: np.ndarray, n: np.ndarray) -> None:
         """Count the units' bits, then predict each as if one occurrence had not been seen, and learn from it."""
-        for first in range(0, len(grams), 1 << 16):
-            some = slice(first, first + (1 << 16))
-            self._learn(grams[some], n[some], self.mixer.places_of(grams[some], prefixes[some]))
+        self.learn_keys(unit_keys(grams, prefixes), grams, n, np.arange(len(n)))
+
+    def learn_keys(self, keys: np.ndarray, grams: np.ndarray, n: np.ndarray, order: np.ndarray) -> None:
+        """The same for units in `order` by their unit_keys(), from which the words so far come back."""
+        for first in range(0, len(order), 1 << 16):
+            some = order[first:first + (1 << 16)]
+            unit = grams[some]
+            self._learn(unit, n[some], self.mixer.places_of(unit, keys[some] ^ mix(unit)))
 
     def _learn(self, grams: np.ndarray, n: np.ndarray, places: list[np.ndarray]) -> None:
         mixer, first = self.mixer, 0
@@ -429,11 +453,23 @@ def _averaged(rows) -> tuple[np.ndarray, np.ndarray]:
     return weights.reshape(_GATES, _ORDERS + 1).astype(np.float32), refined
 
 
+def looked_up(names: np.ndarray, values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per key whether it is among the sorted names, and its value or 0. Each distinct key is sought once, in order."""
+    hit, value = np.zeros(len(keys), bool), np.zeros(len(keys))
+    if len(names) and len(keys):
+        order, starts = runs(keys)
+        found, times = keys[order[starts]], np.diff(np.append(starts, len(keys)))
+        at = np.minimum(np.searchsorted(names, found), len(names) - 1)
+        met = names[at] == found
+        hit[order], value[order] = np.repeat(met, times), np.repeat(np.where(met, values[at], 0), times)
+    return hit, value
+
+
 def _score(tables, rest):
     """(id, held, text) -> sums per row, and the words that the broadcast counts don't hold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, refined, names, counts = rest.value
-        mixer = Mixer([np.frombuffer(t, np.uint32) for t in tables.value], weights, refined)
+        mixer, gains = Mixer([np.frombuffer(t, np.uint32) for t in tables.value], weights, refined), np.log10(counts + 1.0)
         known, costs, powers = np.zeros(0, np.uint64), np.zeros(0), Powers()
         for batch in batches:
             for i, j, data, offsets in parts(batch.column(2), SLICE):
@@ -457,9 +493,7 @@ def _score(tables, rest):
                 spent[order] = np.repeat(cost, np.diff(np.append(starts, len(keys))))
                 total = np.bincount(rows, spent, j - i).astype(np.float64)
                 rows = np.repeat(np.arange(j - i), np.diff(word_bounds))
-                at = np.minimum(np.searchsorted(names, hashes), max(len(names) - 1, 0))
-                hit = names[at] == hashes if len(names) else np.zeros(len(hashes), bool)
-                gain = np.where(hit, np.log10(counts[at] + 1.0), 0) if len(names) else np.zeros(len(hashes))
+                hit, gain = looked_up(names, gains, hashes)
                 rare = np.concatenate(([0], np.cumsum(~hit)))[word_bounds]
                 other = hashes[~hit]
                 yield pa.RecordBatch.from_arrays([
