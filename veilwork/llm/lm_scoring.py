@@ -406,8 +406,11 @@ class Online:
     def _learn(self, grams: np.ndarray, n: np.ndarray, places: list[np.ndarray]) -> None:
         mixer, first = self.mixer, 0
         bits, often = bit_paths(grams)[1].astype(np.int64), np.repeat(n, 8)
+        added = often.astype(np.uint32)
         for table, place in zip(mixer.tables, places):
-            np.add.at(table, (place * 2 + bits).ravel(), often.astype(np.uint32))
+            at = place + place
+            at += bits
+            np.add.at(table, at.ravel(), added)
         while first < len(grams):
             some = slice(first, first + self.step)
             x, gates, nodes, ones = mixer.inputs(grams[some], [p[some] for p in places], True)
