@@ -411,6 +411,8 @@ class Online:
             at = place + place
             at += bits
             np.add.at(table, at.ravel(), added)
+            del at
+        del added
         while first < len(grams):
             some = slice(first, first + self.step)
             x, gates, nodes, ones = mixer.inputs(grams[some], [p[some] for p in places], True)
