@@ -39,11 +39,14 @@ _ORDERS = len(TABLE_BITS)
 _BYTES = _ORDERS - 1
 _BACK = max(CONTEXT_BYTES)
 #: Bytes of text that a task works on at a time, and units that it counts before it learns from them.
-SLICE, BLOCK = 3 << 18, 3 << 18
+SLICE, BLOCK = 3 << 18, 1 << 20
+#: Units that are counted and predicted together, each distinct context with its byte once.
+CHUNK = 1 << 16
 #: Units whose costs a task remembers from slice to slice.
-REMEMBERED = 1 << 21
+REMEMBERED = 1 << 22
 _GATES = (_BYTES + 1) * 5 * 2 * 5 * 8
 _STEPS, _REACH = 33, 8.0
+_MIDDLE, _COST, _NAMED = np.uint64(255 << 20), np.uint64((1 << 32) - 1), np.uint64(1 << 32)
 _PART, _WORD, _TEXT, _WEIGHT = 0, 1, 2, 3
 
 
@@ -83,26 +86,29 @@ class Powers:
 
 def byte_units(stream: np.ndarray, bounds: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
     """Per byte the 6-gram that ends there (line feeds stand before a row) and a hash of its word so far."""
-    wide = stream.astype(np.uint64)
-    grams = wide.copy()
-    for back in range(1, _BACK + 1):
-        grams[back:] |= wide[:max(len(wide) - back, 0)] << np.uint64(8 * back)
+    # Eight bytes up to each place at once, the last one lowest.
+    wide = np.ndarray(len(stream), ">u8", np.concatenate((np.full(7, 10, np.uint8), stream)).data, strides=(1,))
+    grams = wide.astype(np.uint64)
+    grams &= np.uint64((1 << 8 * (_BACK + 1)) - 1)
     # The first bytes of a row look back to what is not theirs.
     at = (bounds[:-1, None] + np.arange(_BACK))[np.arange(_BACK) < np.diff(bounds)[:, None]]
     into = at - bounds[np.searchsorted(bounds, at, "right") - 1]
-    early = wide[at]
+    early = stream[at].astype(np.uint64)
     for back in range(1, _BACK + 1):
-        early |= np.where(into < back, np.uint64(10), wide[np.maximum(at - back, 0)]) << np.uint64(8 * back)
+        early |= np.where(into < back, np.uint64(10), stream[np.maximum(at - back, 0)]) << np.uint64(8 * back)
     grams[at] = early
     stops = np.flatnonzero((stream == 32) | (stream == 10)) + 1
     starts = np.concatenate(([0], stops[:-1]))
-    first = np.repeat(starts, stops - starts)
     up, down = powers(len(stream))
     total = np.zeros(len(stream) + 1, np.uint64)
-    wide += np.uint64(1)
-    wide *= up
-    np.cumsum(wide, out=total[1:])
-    return grams, mix((total[:-1] - total[first]) * down[first])
+    hashed = stream.astype(np.uint64)
+    hashed += np.uint64(1)
+    hashed *= up
+    np.cumsum(hashed, out=total[1:])
+    prefixes = total[:-1]
+    prefixes -= np.repeat(total[starts], stops - starts)
+    prefixes *= np.repeat(down[starts], stops - starts)
+    return grams, mixed_in_place(prefixes)
 
 
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,8 +126,17 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1]))) if len(keys) else np.zeros(0, np.int64)
 
 
+def mixed_in_place(hashes: np.ndarray) -> np.ndarray:
+    """mix(), over pieces that stay in a near cache."""
+    for first in range(0, len(hashes), 1 << 14):
+        hashes[first:first + (1 << 14)] = mix(hashes[first:first + (1 << 14)])
+    return hashes
+
+
 def unit_keys(grams: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
-    return mix(grams) ^ prefixes
+    keys = mixed_in_place(grams.copy())
+    keys ^= prefixes
+    return keys
 
 
 class Tallies:
@@ -164,38 +179,73 @@ class Tallies:
                 self.held = [merged]
 
 
-def contexts(order: int, grams: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
-    return prefixes if order == _BYTES else (grams >> np.uint64(8)) & np.uint64((1 << 8 * CONTEXT_BYTES[order]) - 1)
+class Counted:
+    """Counts of units by key with their grams, given up in blocks of about `limit`.
 
+    A key has one place in a table, by its upper bits, and the first to come has it until the
+    block is given up. What finds its place taken is tallied beside the table.
+    """
 
-def half_nodes() -> np.ndarray:
-    """For each half byte the four nodes of its bit tree, 1 to 15."""
-    half, depth = np.arange(16)[:, None], np.arange(4)
-    return (1 << depth) | (half >> (4 - depth))
+    def __init__(self, limit: int):
+        self.limit, self.size, self.rest = limit, (2 * limit - 1).bit_length(), Tallies(limit)
+        self.held = self.grams = None
+
+    def add(self, keys: np.ndarray, grams: np.ndarray) -> None:
+        if self.held is None:
+            # Key and count side by side: both come with one fetch.
+            self.held, self.grams = np.zeros(2 << self.size, np.uint64), np.zeros(1 << self.size, np.uint64)
+        place = (keys >> np.uint64(64 - self.size)).astype(np.int64)
+        at = place + place
+        there = self.held.take(at)
+        # Of several keys that come to a free place one has it.
+        free = np.flatnonzero(there == 0)
+        self.held[at[free]] = keys[free]
+        there[free] = self.held.take(at[free])
+        has = there == keys
+        free = free[has[free]]
+        self.grams[place[free]] = grams[free]
+        at += 1
+        if not has.all():
+            self.rest.add(keys[~has], grams[~has])
+            at = at[has]
+        np.add.at(self.held, at, np.uint64(1))
 
+    def flush(self, last: bool = False):
+        """(keys, counts, grams) of more than `limit` keys, or what there is at last."""
+        if self.held is not None and (last or np.count_nonzero(self.held[1::2]) + sum(len(h[0]) for h in self.rest.held) > self.limit):
+            at = np.flatnonzero(self.held[1::2])
+            block = [[self.held[2 * at]], [self.held[2 * at + 1].view(np.int64)], [self.grams[at]]]
+            self.held = self.grams = at = None
+            for rest in self.rest.flush(True):
+                for pieces, more in zip(block, rest):
+                    pieces.append(more)
+            yield tuple(np.concatenate(pieces) for pieces in block)
 
-def slots(order: int, seen: np.ndarray, byte: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    """For contexts and their bytes the table slots of the eight bits; `nodes` are half_nodes()."""
-    bits, mask = np.uint64(64 - TABLE_BITS[order]), np.int64((1 << TABLE_BITS[order]) - 1)
-    upper = byte >> np.uint64(4)
-    first = mix(seen + np.uint64(order << 56))
-    second = mix(first + upper + np.uint64(1))
-    places = np.empty((len(seen), 8), np.int64)
-    # Column by column: numpy is slow at rows of four.
-    for half, start, at in ((upper, first, 0), (byte & np.uint64(15), second, 4)):
-        half, start = half.astype(np.int64), (start >> bits).astype(np.int64)
-        for depth in range(4):
-            place = nodes[:, depth].take(half)
-            place += start
-            np.bitwise_and(place, mask, out=places[:, at + depth])
-    return places
 
+def contexts(order: int, grams: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
+    return prefixes if order == _BYTES else (grams >> np.uint64(8)) & np.uint64((1 << 8 * CONTEXT_BYTES[order]) - 1)
+
+
+def byte_tables() -> dict[str, np.ndarray]:
+    """For each byte its eight bits, the nodes of its bit tree, and where its bits are counted in the runs of its two halves."""
+    byte, depth = np.arange(256)[:, None], np.arange(8)
+    bits, nodes = byte >> (7 - depth) & 1, 1 << depth | byte >> (8 - depth)
+    half, within = np.where(depth < 4, byte >> 4, byte & 15), depth % 4
+    counters = 2 * (1 << within | half >> (4 - within)) + bits
+    return {"nodes": nodes, "counters": counters, "ones": bits.astype(np.float32), "signs": (2 * bits - 1).astype(np.float32)}
 
-def bit_paths(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per gram the eight nodes of its last byte's bit tree and the bits taken there."""
-    byte = (grams & np.uint64(255))[:, None]
-    depth = np.arange(8, dtype=np.uint64)
-    return (np.uint64(1) << depth) | (byte >> (np.uint64(8) - depth)), (byte >> (np.uint64(7) - depth)) & np.uint64(1)
+
+def counters(order: int, first: np.ndarray, byte: np.ndarray, within: np.ndarray) -> np.ndarray:
+    """For hashes of contexts and their bytes where the eight bits are counted: twice the slot, and the bit."""
+    bits = np.uint64(64 - TABLE_BITS[order])
+    starts = np.empty((len(first), 2), np.int64)
+    starts[:, 0] = first >> bits
+    starts[:, 1] = mix(first + (byte >> 4).astype(np.uint64) + np.uint64(1)) >> bits
+    starts += starts
+    at = within.take(byte, axis=0)
+    at += np.repeat(starts.ravel(), 4).reshape(-1, 8)
+    at &= np.int64((2 << TABLE_BITS[order]) - 1)
+    return at
 
 
 _LEARNED = "kind int, at int, part int, key long, n long, value double, mass double, counts binary"
@@ -209,6 +259,12 @@ def _rows(kind: int, at=None, part=None, key=None, n=None, value=None, mass=None
     return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), *columns], ["kind", *given])
 
 
+def squeezed(counts: np.ndarray) -> bytes:
+    """What zlib.decompress() reads; runs of zeros are most of a table, and to look for nothing else is fast."""
+    small = zlib.compressobj(1, zlib.DEFLATED, zlib.MAX_WBITS, 9, zlib.Z_RLE)
+    return small.compress(counts.tobytes()) + small.flush()
+
+
 def _tidy(work):
     """The same work; what it held is given back once it has ended."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +276,7 @@ def _tidy(work):
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text) -> words, texts, this task's bit counts by part, and the weights it learned."""
-    powers, units, names, texts = Powers(), Tallies(BLOCK), Tallies(BLOCK), 0
+    powers, units, names, texts = Powers(), Counted(BLOCK), Tallies(BLOCK), 0
     online, rng = Online(), np.random.default_rng(5)
 
     def take(last=False):
@@ -250,7 +306,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     online = units = names = None
     for order in range(_ORDERS):
         table, tables[order] = tables[order], None
-        found = [(k, zlib.compress(piece.tobytes(), 1)) for k, piece in enumerate(table.reshape(-1, 2 << PART_BITS)) if piece.any()]
+        found = [(k, squeezed(piece)) for k, piece in enumerate(table.reshape(-1, 2 << PART_BITS)) if piece.any()]
         for first in range(0, len(found), 64):
             some = found[first:first + 64]
             yield _rows(_PART, at=[order] * len(some), part=[k for k, _ in some], counts=[c for _, c in some])
@@ -267,7 +323,7 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         most = np.maximum(pairs.max(axis=1, keepdims=True), 1)
         small = np.where(most > 65535, np.minimum(np.ceil(pairs * (65535 / most)), 65535), pairs).astype("<u2")
         return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()),
-                                           pa.array([zlib.compress(small.tobytes(), 1)], pa.binary())], ["order", "part", "counts"])
+                                           pa.array([squeezed(small)], pa.binary())], ["order", "part", "counts"])
 
     for batch in batches:
         for order, part, counts in zip(*(c.to_pylist() for c in batch.columns)):
@@ -309,6 +365,15 @@ def give_back() -> None:
         trim(0)
 
 
+def roomy(tables: list) -> list[np.ndarray]:
+    """Plain bytes as arrays, in place: numpy asks for large pages, which fetches from all over a table need."""
+    for k, table in enumerate(tables):
+        if isinstance(table, bytes):
+            tables[k] = np.array(np.frombuffer(table, np.uint32))
+        del table
+    return tables
+
+
 class Mixer:
     """Gated weights over the predictors' logits, and the map that refines the sum."""
 
@@ -316,71 +381,145 @@ class Mixer:
         self.tables = tables
         self.weights = np.full((_GATES, _ORDERS + 1), 0.3, np.float32) if weights is None else weights
         self.weights[:, _ORDERS] = 0 if weights is None else self.weights[:, _ORDERS]
-        self.refined, self.nodes = refined, half_nodes()
-
-    def places_of(self, grams: np.ndarray, prefixes: np.ndarray) -> list[np.ndarray]:
-        byte = grams & np.uint64(255)
-        return [slots(order, contexts(order, grams, prefixes), byte, self.nodes) for order in range(_ORDERS)]
-
-    def inputs(self, grams: np.ndarray, places: list[np.ndarray], left_out: bool):
-        """(logits, gates, nodes, bits) of all bits; `left_out`: without one occurrence of each unit."""
-        nodes, bits = bit_paths(grams)
-        ones = bits.astype(np.float32)
-        x = np.empty((_ORDERS + 1, *nodes.shape), np.float32)
-        x[_ORDERS] = 1
-        longest, times, sure, word = (np.zeros(nodes.shape, np.uint8) for _ in range(4))
+        self.refined, self.of_byte = refined, byte_tables()
+
+    @staticmethod
+    def distinct(grams: np.ndarray, prefixes: np.ndarray):
+        """Per order one unit of each distinct context with its byte, and for each unit which of them is its own."""
+        # The byte first and what stands before it after it: one sort does for all numbers of bytes.
+        backward = grams.byteswap()
+        backward |= np.arange(len(grams), dtype=np.uint64)
+        backward.sort()
+        by = (backward & np.uint64(CHUNK - 1)).astype(np.int64)
+        apart = backward[1:] ^ backward[:-1]
         for order in range(_ORDERS):
-            # One fetch for both counts: two 32-bit numbers while learning, two 16-bit ones after.
-            pair = np.uint64 if left_out else np.uint32
-            table = self.tables[order].view(pair)
-            n = table.take(places[order])
-            n = n.view(np.uint32 if left_out else np.uint16).reshape(*nodes.shape, 2)
-            zero, one = n[..., 0].astype(np.float32), n[..., 1].astype(np.float32)
-            if left_out:
-                one -= ones
-                zero += ones
-                zero -= 1
-                np.maximum(zero, 0, out=zero)
-                np.maximum(one, 0, out=one)
-            np.log((one + np.float32(0.3)) / (zero + np.float32(0.3)), out=x[order])
-            total, one_sided = zero + one, (np.minimum(zero, one) == 0).view(np.uint8)
-            often = (total > 0).view(np.uint8) + (total > 1) + (total > 3) + (total > 15)
-            met = often > 0
-            if order == _BYTES:
-                word = (met * (1 + one_sided + (often > 1) * 2)).astype(np.uint8)
+            if order < _BYTES:
+                new = np.concatenate(([True], apart >= np.uint64(1 << 64 - 8 * (CONTEXT_BYTES[order] + 1))))
+            else:
+                by, starts = runs((prefixes & ~_MIDDLE) | (grams & np.uint64(255)) << np.uint64(20))
+                new = np.zeros(len(by), bool)
+                new[starts] = True
+            row = np.empty(len(by), np.int64)
+            row[by] = np.cumsum(new) - 1
+            yield by[new], row
+
+    def predictions(self, grams: np.ndarray, prefixes: np.ndarray, n: np.ndarray | None = None) -> list[tuple]:
+        """Per order (logits, parts of the gate, row of each unit): a row for each distinct context with its byte.
+
+        For CHUNK units at most. With `n`, how often each unit occurs, the units' bits are counted
+        first and then predicted without one occurrence.
+        """
+        byte, out = (grams & np.uint64(255)).astype(np.int64), []
+        for order, (each, row) in enumerate(self.distinct(grams, prefixes) if len(grams) else ()):
+            first = mix(contexts(order, grams[each], prefixes[each]) + np.uint64(order << 56))
+            own = byte[each]
+            at = counters(order, first, own, self.of_byte["counters"])
+            # Two 32-bit counts a slot while learning, two 16-bit ones after.
+            table = self.tables[order].view(np.uint16 if n is None else np.uint32)
+            if n is not None:
+                np.add.at(table, at.ravel(), np.repeat(np.bincount(row, n, len(each)).astype(np.uint32), 8))
+            logits, parts = np.empty(at.shape, np.float32), np.empty(at.shape, np.uint8)
+            for k in range(0, len(each), 1 << 12):
+                some = slice(k, k + (1 << 12))
+                place = at[some]
+                taken = table.take(place).astype(np.float32)
+                place ^= 1
+                other = table.take(place).astype(np.float32)
+                if n is not None:
+                    taken -= 1
+                total, one_sided = taken + other, (np.minimum(taken, other) == 0).view(np.uint8)
+                met = (total > 0).view(np.uint8)
+                if order == _BYTES:
+                    part = one_sided + met + (total > 1).view(np.uint8) * 2
+                else:
+                    part = (met + (total > 1) + (total > 3) + (total > 15)) * 2 + one_sided + 10 * (order + 1)
+                np.multiply(part, met, out=parts[some])
+                taken += np.float32(0.3)
+                other += np.float32(0.3)
+                taken /= other
+                np.log(taken, out=taken)
+                np.multiply(taken, self.of_byte["signs"].take(own[some], axis=0), out=logits[some])
+            out.append((logits, parts, row))
+        return out
+
+    def inputs(self, grams: np.ndarray, found: list[tuple], some: slice):
+        """(logits, gates, nodes, bits) of all bits of `some` units, from their predictions()."""
+        byte = (grams[some] & np.uint64(255)).astype(np.int64)
+        x, longest = np.empty((_ORDERS, len(byte), 8), np.float32), np.zeros((len(byte), 8), np.uint8)
+        for order, (logits, parts, row) in enumerate(found):
+            at = row[some]
+            logits.take(at, axis=0, out=x[order], mode="clip")
+            if order < _BYTES:
+                # Parts of a longer context are larger.
+                np.maximum(longest, parts.take(at, axis=0), out=longest)
             else:
-                np.copyto(longest, order + 1, where=met)
-                np.copyto(times, often, where=met, casting="unsafe")
-                np.copyto(sure, one_sided, where=met)
-        gates = (((longest.astype(np.int32) * 5 + times) * 2 + sure) * 5 + word) * 8 + np.arange(8, dtype=np.int32)
-        return x.reshape(_ORDERS + 1, -1), gates.ravel().astype(np.int64), nodes.view(np.int64).ravel(), ones.ravel()
+                word = parts.take(at, axis=0)
+        gates = longest.astype(np.int64)
+        gates *= 5
+        gates += word
+        gates *= 8
+        gates = gates.ravel()
+        gates += np.tile(np.arange(8), len(byte))
+        return x.reshape(_ORDERS, -1), gates, self.of_byte["nodes"].take(byte, axis=0).ravel(), self.of_byte["ones"].take(byte, axis=0).ravel()
 
     def mixed(self, x: np.ndarray, gates: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(gates), np.float32)
-        for k in range(_ORDERS + 1):
-            total += x[k] * self.weights[:, k].take(gates)
+        weights = np.ascontiguousarray(self.weights.T)
+        total = weights[_ORDERS].take(gates)
+        for k in range(_ORDERS):
+            term = weights[k].take(gates)
+            term *= x[k]
+            total += term
         return np.clip(total, -20, 20, out=total)
 
     @staticmethod
     def places(logits: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The lower of the two map cells around a logit, and the share of the upper one."""
-        at = (np.clip(logits, -_REACH, _REACH) + _REACH) * ((_STEPS - 1) / (2 * _REACH))
-        low = np.minimum(at.astype(np.int64), _STEPS - 2)
-        return nodes * _STEPS + low, at - low
+        at = (np.clip(logits, -_REACH, _REACH) + _REACH) * np.float32((_STEPS - 1) / (2 * _REACH))
+        low = np.minimum(np.floor(at), np.float32(_STEPS - 2))
+        return nodes * _STEPS + low.astype(np.int64), at - low
 
-    def costs(self, grams: np.ndarray, prefixes: np.ndarray, block: int = 1 << 13) -> np.ndarray:
+    def costs(self, grams: np.ndarray, prefixes: np.ndarray, block: int = 1 << 12) -> np.ndarray:
         """-log10 of the probability of each unit's byte after the bytes before it."""
         out = np.empty(len(grams))
-        for first in range(0, len(grams), block):
-            some = slice(first, first + block)
-            x, gates, nodes, ones = self.inputs(grams[some], self.places_of(grams[some], prefixes[some]), False)
-            logits = self.mixed(x, gates)
-            p = 1 / (1 + np.exp(-logits))
-            if self.refined is not None:
-                cell, share = self.places(logits, nodes)
-                p = (p + self.refined[cell] * (1 - share) + self.refined[cell + 1] * share) / 2
-            p = np.clip(np.where(ones == 1, p, 1 - p), 1e-9, 1)
-            out[first:first + block] = -np.log10(p).reshape(-1, 8).sum(axis=1)
+        for begin in range(0, len(grams), CHUNK):
+            unit, costs = grams[begin:begin + CHUNK], out[begin:begin + CHUNK]
+            found = self.predictions(unit, prefixes[begin:begin + CHUNK])
+            for first in range(0, len(unit), block):
+                some = slice(first, first + block)
+                x, gates, nodes, ones = self.inputs(unit, found, some)
+                logits = self.mixed(x, gates)
+                p = 1 / (1 + np.exp(-logits))
+                if self.refined is not None:
+                    cell, share = self.places(logits, nodes)
+                    p = (p + self.refined.take(cell) * (1 - share) + self.refined.take(cell + 1) * share) / 2
+                p = np.clip(np.where(ones == 1, p, 1 - p), 1e-9, 1)
+                # Eight such factors are far from the least number.
+                costs[some] = -np.log10(p.reshape(-1, 8).prod(axis=1, dtype=np.float64))
+        return out
+
+
+class Known:
+    """Costs of units, kept from slice to slice: each has one place, by its key, and the last to come has it.
+
+    A place holds 32 further bits of the key and the cost, so that one fetch tells both.
+    """
+
+    def __init__(self, mixer: Mixer):
+        self.mixer, self.shift = mixer, np.uint64(64 - (REMEMBERED - 1).bit_length())
+        self.held = np.zeros(REMEMBERED, np.uint64)
+
+    def costs(self, grams: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
+        keys = unit_keys(grams, prefixes)
+        at = (keys >> self.shift).astype(np.int64)
+        names = (keys << np.uint64(24) | _NAMED) & ~_COST
+        held = self.held.take(at)
+        names ^= held
+        out, new = held.astype(np.uint32).view(np.float32), np.flatnonzero(names > _COST)
+        order, starts = runs(keys[new])
+        first, times = new[order[starts]], np.diff(np.append(starts, len(new)))
+        found = self.mixer.costs(grams[first], prefixes[first]).astype(np.float32)
+        out[new[order]] = np.repeat(found, times)
+        self.held[at[first]] = (names[first] ^ held[first]) & ~_COST | found.view(np.uint32)
         return out
 
 
@@ -398,39 +537,34 @@ class Online:
 
     def learn_keys(self, keys: np.ndarray, grams: np.ndarray, n: np.ndarray, order: np.ndarray) -> None:
         """The same for units in `order` by their unit_keys(), from which the words so far come back."""
-        for first in range(0, len(order), 1 << 16):
-            some = order[first:first + (1 << 16)]
+        for first in range(0, len(order), CHUNK):
+            some = order[first:first + CHUNK]
             unit = grams[some]
-            self._learn(unit, n[some], self.mixer.places_of(unit, keys[some] ^ mix(unit)))
-
-    def _learn(self, grams: np.ndarray, n: np.ndarray, places: list[np.ndarray]) -> None:
-        mixer, first = self.mixer, 0
-        bits, often = bit_paths(grams)[1].astype(np.int64), np.repeat(n, 8)
-        added = often.astype(np.uint32)
-        for table, place in zip(mixer.tables, places):
-            at = place + place
-            at += bits
-            np.add.at(table, at.ravel(), added)
-            del at
-        del added
-        while first < len(grams):
-            some = slice(first, first + self.step)
-            x, gates, nodes, ones = mixer.inputs(grams[some], [p[some] for p in places], True)
-            times = often[8 * first:8 * (first + self.step)]
-            first += self.step
-            weight = times.astype(np.float64)
+            self._learn(unit, n[some], keys[some] ^ mix(unit))
+
+    def _learn(self, grams: np.ndarray, n: np.ndarray, prefixes: np.ndarray) -> None:
+        mixer = self.mixer
+        found, often = mixer.predictions(grams, prefixes, n), np.repeat(n.astype(np.float32), 8)
+        for first in range(0, len(grams), self.step):
+            x, gates, nodes, ones = mixer.inputs(grams, found, slice(first, first + self.step))
+            weight = often[8 * first:8 * (first + self.step)]
             logits = mixer.mixed(x, gates)
             error = (ones - 1 / (1 + np.exp(-logits))) * weight
             here = np.bincount(gates, weight, _GATES)
-            slopes = np.stack([np.bincount(gates, error * x[k], _GATES) for k in range(_ORDERS + 1)], axis=1) / np.maximum(here, 1)[:, None]
+            slopes = [np.bincount(gates, error * x[k], _GATES) for k in range(_ORDERS)] + [np.bincount(gates, error, _GATES)]
+            slopes = np.stack(slopes, axis=1) / np.maximum(here, 1)[:, None]
             self.squares += slopes ** 2
             mixer.weights += (self.rate * slopes / np.sqrt(self.squares)).astype(np.float32)
             self.mass += here
             cell, share = mixer.places(logits, nodes)
-            for place, part in ((cell, weight * (1 - share)), (cell + 1, weight * share)):
-                self.cells[:, 0] += np.bincount(place, part * ones, len(self.cells))
-                self.cells[:, 1] += np.bincount(place, part, len(self.cells))
-            self.seen += weight.sum()
+            cell += cell
+            cell += ones.astype(np.int64)
+            upper = weight * share
+            for beyond, part in ((0, weight - upper), (2, upper)):
+                both = np.bincount(cell + beyond, part, 2 * len(self.cells)).reshape(-1, 2)
+                self.cells[:, 0] += both[:, 1]
+                self.cells[:, 1] += both.sum(axis=1)
+            self.seen += weight.sum(dtype=np.float64)
             if self.seen > self.forget:
                 # What early weights mapped counts less and less.
                 self.forget, self.cells = self.forget * 2, self.cells * 0.25
@@ -474,29 +608,13 @@ def _score(tables, rest):
     """(id, held, text) -> sums per row, and the words that the broadcast counts don't hold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, refined, names, counts = rest.value
-        mixer, gains = Mixer([np.frombuffer(t, np.uint32) for t in tables.value], weights, refined), np.log10(counts + 1.0)
-        known, costs, powers = np.zeros(0, np.uint64), np.zeros(0), Powers()
+        mixer, gains = Mixer(roomy(tables.value), weights, refined), np.log10(counts + 1.0)
+        known, powers = Known(mixer), Powers()
         for batch in batches:
             for i, j, data, offsets in parts(batch.column(2), SLICE):
                 stream, bounds, hashes, word_bounds = byte_stream(data, offsets)
-                grams, prefixes = byte_units(stream, bounds, powers)
-                keys = unit_keys(grams, prefixes)
-                order, starts = runs(keys)
-                first = order[starts]
-                found = keys[first]
-                if len(known) > REMEMBERED:
-                    known, costs = known[:0].copy(), costs[:0].copy()
-                at = np.minimum(np.searchsorted(known, found), max(len(known) - 1, 0))
-                new = known[at] != found if len(known) else np.ones(len(found), bool)
-                cost = costs[at] if len(known) else np.zeros(len(found))
-                cost[new] = mixer.costs(grams[first[new]], prefixes[first[new]])
-                by = np.argsort(found[new])
-                at = np.searchsorted(known, found[new][by])
-                known, costs = np.insert(known, at, found[new][by]), np.insert(costs, at, cost[new][by])
-                rows = np.repeat(np.arange(j - i), np.diff(bounds))
-                spent = np.empty(len(keys))
-                spent[order] = np.repeat(cost, np.diff(np.append(starts, len(keys))))
-                total = np.bincount(rows, spent, j - i).astype(np.float64)
+                # A row has one byte at least, its end.
+                total = np.add.reduceat(known.costs(*byte_units(stream, bounds, powers)), bounds[:-1], dtype=np.float64)
                 rows = np.repeat(np.arange(j - i), np.diff(word_bounds))
                 hit, gain = looked_up(names, gains, hashes)
                 rare = np.concatenate(([0], np.cumsum(~hit)))[word_bounds]
