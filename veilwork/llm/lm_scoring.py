@@ -10,7 +10,7 @@ Training is one pass in Spark. Each task counts the bits of its texts per slot a
 online, block by block of units - a byte, the five before it, the word so far - each predicted as
 if one occurrence had not been seen. Tasks that own a range of slots then add up what all others
 counted, which grows with the corpus, and the weights are averaged. A text's score needs each
-distinct unit of a task once.
+distinct unit of a slice once; most of those met before are remembered.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ _BACK = max(CONTEXT_BYTES)
 SLICE, BLOCK = 3 << 18, 1 << 20
 #: Units that are counted and predicted together, each distinct context with its byte once.
 CHUNK = 1 << 16
+#: Numbers that are worked on at a time where each step is short, so that they stay in a near cache.
+NEAR = 1 << 14
 #: Units whose costs a task remembers from slice to slice.
 REMEMBERED = 1 << 22
 _GATES = (_BYTES + 1) * 5 * 2 * 5 * 8
@@ -128,8 +130,8 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def mixed_in_place(hashes: np.ndarray) -> np.ndarray:
     """mix(), over pieces that stay in a near cache."""
-    for first in range(0, len(hashes), 1 << 14):
-        hashes[first:first + (1 << 14)] = mix(hashes[first:first + (1 << 14)])
+    for first in range(0, len(hashes), NEAR):
+        hashes[first:first + NEAR] = mix(hashes[first:first + NEAR])
     return hashes
 
 
@@ -194,21 +196,27 @@ class Counted:
         if self.held is None:
             # Key and count side by side: both come with one fetch.
             self.held, self.grams = np.zeros(2 << self.size, np.uint64), np.zeros(1 << self.size, np.uint64)
-        place = (keys >> np.uint64(64 - self.size)).astype(np.int64)
-        at = place + place
-        there = self.held.take(at)
-        # Of several keys that come to a free place one has it.
-        free = np.flatnonzero(there == 0)
-        self.held[at[free]] = keys[free]
-        there[free] = self.held.take(at[free])
-        has = there == keys
-        free = free[has[free]]
-        self.grams[place[free]] = grams[free]
-        at += 1
-        if not has.all():
-            self.rest.add(keys[~has], grams[~has])
-            at = at[has]
-        np.add.at(self.held, at, np.uint64(1))
+        missed = []
+        for begin in range(0, len(keys), NEAR):
+            some = keys[begin:begin + NEAR]
+            place = (some >> np.uint64(64 - self.size)).astype(np.int64)
+            at = place + place
+            there = self.held.take(at)
+            # Of several keys that come to a free place one has it.
+            free = np.flatnonzero(there == 0)
+            self.held[at[free]] = some[free]
+            there[free] = self.held.take(at[free])
+            has = there == some
+            free = free[has[free]]
+            self.grams[place[free]] = grams[begin + free]
+            at += 1
+            if not has.all():
+                missed.append(np.flatnonzero(~has) + begin)
+                at = at[has]
+            np.add.at(self.held, at, np.uint64(1))
+        if missed:
+            missed = np.concatenate(missed)
+            self.rest.add(keys[missed], grams[missed])
 
     def flush(self, last: bool = False):
         """(keys, counts, grams) of more than `limit` keys, or what there is at last."""
@@ -508,18 +516,25 @@ class Known:
         self.mixer, self.shift = mixer, np.uint64(64 - (REMEMBERED - 1).bit_length())
         self.held = np.zeros(REMEMBERED, np.uint64)
 
+    @staticmethod
+    def named(keys: np.ndarray) -> np.ndarray:
+        return (keys << np.uint64(24) | _NAMED) & ~_COST
+
     def costs(self, grams: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
-        keys = unit_keys(grams, prefixes)
-        at = (keys >> self.shift).astype(np.int64)
-        names = (keys << np.uint64(24) | _NAMED) & ~_COST
-        held = self.held.take(at)
-        names ^= held
-        out, new = held.astype(np.uint32).view(np.float32), np.flatnonzero(names > _COST)
+        keys, out, new = unit_keys(grams, prefixes), np.empty(len(grams), np.float32), []
+        for begin in range(0, len(keys), NEAR):
+            some = keys[begin:begin + NEAR]
+            held = self.held.take((some >> self.shift).astype(np.int64))
+            out[begin:begin + NEAR] = held.astype(np.uint32).view(np.float32)
+            held ^= self.named(some)
+            new.append(np.flatnonzero(held > _COST) + begin)
+        new = np.concatenate(new)
         order, starts = runs(keys[new])
         first, times = new[order[starts]], np.diff(np.append(starts, len(new)))
         found = self.mixer.costs(grams[first], prefixes[first]).astype(np.float32)
         out[new[order]] = np.repeat(found, times)
-        self.held[at[first]] = (names[first] ^ held[first]) & ~_COST | found.view(np.uint32)
+        first = keys[first]
+        self.held[(first >> self.shift).astype(np.int64)] = self.named(first) | found.view(np.uint32)
         return out
 
 
